@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.posts import json_lines
-from catalog.tables import DOCUMENTS_SQL, TURNS_SQL, documents, sql_rows, table
+from catalog.tables import DOCUMENTS_SQL, TURNS_SQL, documents, sql_rows, table, texts
 from topictide import schemas
 from topictide.operators import match
 
@@ -15,7 +15,7 @@ FIRST, SECOND = ["ung", "eau", "shwh"], ["ing", "tion", "ent", "que", "heit"]
 
 def _terms(strategy):
     return lambda spark, folder: match.match_terms(
-        table(spark, folder, "documents").select("doc_id", "text"), TERMS, strategy=strategy
+        texts(spark, folder).select("doc_id", "text"), TERMS, strategy=strategy
     ).select("doc_id", "term")
 
 
@@ -31,7 +31,7 @@ def _vocabulary(spark, folder):
     words = table(spark, folder, "benchmark").select(
         F.explode(F.split("text", "[ \n.,]+")).alias("term")
     ).where(F.length("term") >= 6)
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = texts(spark, folder).select("doc_id", "text")
     return match.match_terms(docs, words).select("doc_id", "term")
 
 
@@ -44,14 +44,14 @@ ORACLES["match_vocabulary"] = """
     WHERE contains(text, term)"""
 
 QUERIES["match_passages"] = lambda spark, folder: match.match_terms(
-    table(spark, folder, "documents").select("doc_id", "text"),
+    texts(spark, folder).select("doc_id", "text"),
     table(spark, folder, "benchmark").select(F.col("text").alias("term"), "item_id"),
 ).select("doc_id", "item_id")
 ORACLES["match_passages"] = """
     SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)"""
 
 QUERIES["match_two_sets"] = lambda spark, folder: match.match_two_sets(
-    table(spark, folder, "documents").select("doc_id", "text"), FIRST, SECOND, "text"
+    texts(spark, folder).select("doc_id", "text"), FIRST, SECOND, "text"
 ).select("doc_id", "term")
 ORACLES["match_two_sets"] = f"""
     SELECT doc_id, term FROM documents, (VALUES {sql_rows([(t,) for t in SECOND])}) t(term)

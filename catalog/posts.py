@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.tables import DOCUMENTS_SQL, TURNS_SQL, documents, table, with_previous_turn
+from catalog.tables import DOCUMENTS_SQL, TURNS_SQL, documents, table, texts, with_previous_turn
 from topictide import schemas
 from topictide.functions import clean_for_words, clean_post, heat, own_content
 from topictide.operators import counts, dedupe
@@ -116,14 +116,14 @@ CLEAN_SQL = _strip_sql(
     "replace(regexp_replace(replace(replace(replace(replace(text, '“', ''), '”', ''), '…', ''), "
     "'点击链接查看更多->', ''), '[a-zA-Z0-9.?/&=:_%,-~#《》]', '', 'g'), chr(10), ' ')"
 )
-QUERIES["clean_post"] = lambda spark, folder: table(spark, folder, "documents").select(
+QUERIES["clean_post"] = lambda spark, folder: texts(spark, folder).select(
     "doc_id", clean_post("text").alias("cleaned")
 )
 ORACLES["clean_post"] = f"""
     SELECT doc_id, CASE WHEN length(text) >= 10 AND length(c) >= 10 THEN c END AS cleaned
     FROM (SELECT doc_id, text, {CLEAN_SQL} AS c FROM documents)"""
 
-QUERIES["clean_for_words"] = lambda spark, folder: table(spark, folder, "pages").select(
+QUERIES["clean_for_words"] = lambda spark, folder: texts(spark, folder, "pages").select(
     "page_id", clean_for_words(F.concat_ws(" ", "url", "html")).alias("cleaned")
 )
 _NOISE_SQL = f"(https?://[^{_SPACE}]+|@[{_WORD}]+|#[{_WORD}]+#)"

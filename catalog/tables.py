@@ -7,6 +7,8 @@ given a day computed from its id; that only labels rows and drops none.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topictide.sources.spread import spread_small
+
 TOPIC_RULES = ["URGENT", "HIGH& F", "LOW& O"]
 
 
@@ -14,6 +16,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
+    """A table of texts for heavy text work, spread over all cores if it is small."""
+    return spread_small(table(spark, folder, name))
+
+
 def topics(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as topic rows: text from priority and status, heat from the price.
 
@@ -44,7 +51,7 @@ TOPICS_SQL = """
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a day, ``dt``, over six and a half years."""
-    return table(spark, folder, "documents").withColumn(
+    return texts(spark, folder).withColumn(
         "dt", F.date_add(F.lit("1995-01-01").cast("date"), (F.col("doc_id") % 2400).cast("int"))
     )
 
@@ -68,7 +75,7 @@ LOGGED_SQL = """
 
 def with_previous_turn(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns; a turn with a predecessor is a repost of it."""
-    turns = table(spark, folder, "conversations")
+    turns = texts(spark, folder, "conversations")
     previous = turns.select(
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("previous")
     )

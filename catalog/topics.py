@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.tables import TOPIC_RULES, TOPICS_SQL, sql_list, table, topics
+from catalog.tables import TOPICS_SQL, TOPIC_RULES, sql_list, table, texts, topics
 from topictide.functions import month_of
 from topictide.operators import dedupe, flags, share
 from topictide.sources.snapshots import explode_topics, parse_snapshots
@@ -97,18 +97,16 @@ PATTERNS = ["t.{0,3}tion", "qu.{0,3}eau"]
 TRIGGERS, SAVERS = ["tion", "eau"], ["heit", "there", "que"]
 
 QUERIES["flag_rules"] = lambda spark, folder: flags.flag_rules(
-    table(spark, folder, "documents").select("doc_id", "text"), DOC_RULES, multiline=True
+    texts(spark, folder).select("doc_id", "text"), DOC_RULES, multiline=True
 ).select("doc_id", "flag")
-ORACLES["flag_rules"] = """
+ORACLES["flag_rules"] = r"""
     SELECT doc_id, CAST(contains(text, 'Straße') OR contains(text, 'anything')
-        OR len(list_filter(string_split(text, chr(10)),
-             x -> contains(x, 'tion') AND contains(x, 'heit'))) > 0
-        OR len(list_filter(string_split(text, chr(10)),
-             x -> contains(x, 'http') AND contains(x, 'the'))) > 0 AS INTEGER) AS flag
+        OR regexp_matches(text, 'tion[^\n]*heit|heit[^\n]*tion')
+        OR regexp_matches(text, 'http[^\n]*the|the[^\n]*http') AS INTEGER) AS flag
     FROM documents"""
 
 QUERIES["exclude_matches"] = lambda spark, folder: flags.exclude_matches(
-    table(spark, folder, "documents"), EXCLUDED, PATTERNS
+    texts(spark, folder), EXCLUDED, PATTERNS
 ).select("doc_id", "lang")
 ORACLES["exclude_matches"] = """
     SELECT doc_id, lang FROM documents
@@ -117,7 +115,7 @@ ORACLES["exclude_matches"] = """
 
 
 def _saver(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", "text", F.lit(1).alias("flag"))
+    rows = texts(spark, folder).select("doc_id", "text", F.lit(1).alias("flag"))
     return flags.unflag_without_saver(rows, TRIGGERS, SAVERS).select("doc_id", "flag")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.posts import CLEAN_SQL
-from catalog.tables import sql_list, sql_rows, table
+from catalog.tables import sql_list, sql_rows, table, texts
 from topictide.functions import vocabulary_tokens, word_tokens
 from topictide.operators import dictionary as qualities
 from topictide.operators import vocabulary
@@ -26,7 +26,7 @@ _TERMS_SQL = f"(VALUES {sql_rows(_TERM_ROWS)}) t(kid, keyword, term)"
 
 
 def _posts(spark, folder):
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder).select(
         "doc_id", "lang", F.col("text").alias("weibo_content")
     )
 
@@ -91,7 +91,7 @@ def _stopwords(spark):
 
 def _word_counts(spark, folder):
     return vocabulary.word_counts(
-        table(spark, folder, "documents"), word_tokens("text"), stopwords=_stopwords(spark),
+        texts(spark, folder), word_tokens("text"), stopwords=_stopwords(spark),
         min_length=2,
     )
 
@@ -109,7 +109,7 @@ def _whitelisted(spark, folder):
         F.explode(word_tokens("text")).alias("word")
     )
     return _renamed(vocabulary.word_counts(
-        table(spark, folder, "documents"), word_tokens("text"), by=["lang"], whitelist=known,
+        texts(spark, folder), word_tokens("text"), by=["lang"], whitelist=known,
         min_length=2, max_length=4,
     ))
 
@@ -138,7 +138,7 @@ ORACLES["frequent_words"] = f"""
     WHERE count > (SELECT count(*) FROM documents) * 0.05"""
 
 QUERIES["word_frequency"] = lambda spark, folder: _renamed(vocabulary.word_frequency(
-    table(spark, folder, "documents"), by=["lang"], stopwords=_stopwords(spark),
+    texts(spark, folder), by=["lang"], stopwords=_stopwords(spark),
     min_length=1, share=0.02,
 ))
 ORACLES["word_frequency"] = rf"""
@@ -157,7 +157,7 @@ VOCABULARY = ["tion", "ation", "nation", "the", "there", "heit", "ung", "eaux",
 
 def _known_words(spark, folder):
     tokens = vocabulary_tokens("text", VOCABULARY)
-    return _renamed(vocabulary.word_counts(table(spark, folder, "documents"), tokens))
+    return _renamed(vocabulary.word_counts(texts(spark, folder), tokens))
 
 
 QUERIES["vocabulary_word_counts"] = _known_words

@@ -12,14 +12,19 @@ def _col(column: Column | str) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
+def _day_text(day: Column | str) -> Column:
+    # A date prints as yyyy-MM-dd; cutting that is cheaper than formatting a timestamp.
+    return _col(day).cast("date").cast("string")
+
+
 def month_of(day: Column | str) -> Column:
     """``yyyy-MM``."""
-    return F.date_format(_col(day), "yyyy-MM")
+    return F.substring(_day_text(day), 1, 7)
 
 
 def year_of(day: Column | str) -> Column:
     """``yyyy``."""
-    return F.date_format(_col(day), "yyyy")
+    return F.substring(_day_text(day), 1, 4)
 
 
 def quarter_of(day: Column | str) -> Column:

@@ -6,8 +6,14 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters Unicode counts as white space, plus the four ASCII separators.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+# White space in the Unicode sense, plus the four ASCII separators: as code points
+# for trimming, and as the same set for use inside a regex class.
+SPACE_POINTS = [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]
+SPACE_CHARACTERS = "".join(map(chr, SPACE_POINTS))
+SPACE = "".join(rf"\x{{{point:x}}}" for point in SPACE_POINTS)
 # Letters, numbers and the underscore; Java's (?U)\w would add combining marks.
 WORD = r"\p{L}\p{N}_"
 
@@ -18,7 +24,7 @@ MIN_CLEAN_LENGTH = 10
 
 # What cleaning for word counts deletes and keeps.
 NOISE = rf"(https?://[^{SPACE}]+|@[{WORD}]+|#[{WORD}]+#)"
-NOT_KEPT = rf"[^{WORD}一-鿿，。！？]"
+NOT_KEPT = rf"[^{WORD}\x{{4e00}}-\x{{9fff}}，。！？]"
 
 
 def _col(column: Column | str) -> Column:
@@ -27,7 +33,7 @@ def _col(column: Column | str) -> Column:
 
 def strip(column: Column | str) -> Column:
     """Cut white space of any kind at both ends (``trim`` only knows the blank)."""
-    return F.regexp_replace(_col(column), rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(_col(column), F.lit(SPACE_CHARACTERS))
 
 
 def full_content(content: Column | str, reposted: Column | str, is_retweet: Column | str) -> Column:

@@ -28,7 +28,7 @@ def _scan_hits(texts: DataFrame, known: list[tuple[str, list[str]]]) -> DataFram
         for term, kids in known
     ])
     hits = F.filter(entries, lambda entry: F.contains(F.col("text"), entry["term"]))
-    return texts.withColumn("hits", hits).where(F.size("hits") > 0)
+    return texts.withColumn("hits", hits)
 
 
 def _anchor_hits(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -88,7 +88,8 @@ def term_counts(
     if weighted:
         weight = weight * F.size(_kids_of_hits())
     return (
-        found.select(*by, weight.alias("_w"), F.explode("hits").alias("hit"))
+        found.withColumn("_w", weight)
+        .select(*by, "_w", F.explode("hits").alias("hit"))
         .groupBy(*by, F.col("hit.term").alias("term"))
         .agg(F.sum("_w").alias("count"))
     )

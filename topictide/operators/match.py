@@ -2,10 +2,10 @@
 
 Two exact strategies give the same rows. Up to ``SCAN_TERMS`` terms, every term
 is tested with ``contains`` in one projection. Beyond, each term is known by
-one rare piece of it, the anchor: the text is cut once into its distinct
-overlapping pieces, these are looked up in a broadcast table of anchors, and
-only the hits are verified with ``contains``. Both are map-side, so a term or
-a text that holds much of the data moves nothing.
+one rare piece of it, the anchor: the overlapping pieces of a text are taken
+in one pass, those that are anchors are looked up in a broadcast table, and
+only these hits are verified with ``contains``. Both are map-side, so a term
+or a text that holds much of the data moves nothing.
 """
 
 import math
@@ -16,14 +16,20 @@ from pyspark.sql import functions as F
 
 from topictide import schemas
 from topictide.functions.periods import month_of
+from topictide.functions.rows import only_if
 from topictide.lineage import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, cut_lineage
 from topictide.operators.dedupe import distinct_posts
 from topictide.sources.posts import parse_posts, with_any_term
 
 # Above this many terms the anchor join beats one contains test per term (measured).
-SCAN_TERMS = 256
-# Piece lengths. A term uses the longest that fits, so few passes over a text suffice.
-ANCHOR_LENGTHS = (8, 4, 2, 1)
+SCAN_TERMS = 128
+# Terms of SHORT characters and fewer are their own anchors; longer ones share one
+# anchor length, so a text is cut once for all of them.
+SHORT = 3
+LONGEST_ANCHOR = 8
+# Up to this many terms, the pieces of a text are tested against all anchors
+# before they become rows.
+INLINE_TERMS = 20_000
 
 
 def _pieces(column: Column, length: int) -> Column:
@@ -31,22 +37,20 @@ def _pieces(column: Column, length: int) -> Column:
     return F.regexp_extract_all(column, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
 
 
-def _anchor_length(term: Column) -> Column:
-    length = F.length(term)
-    chosen = F.lit(ANCHOR_LENGTHS[-1])
-    for size in reversed(ANCHOR_LENGTHS[:-1]):
-        chosen = F.when(length >= size, F.lit(size)).otherwise(chosen)
-    return chosen
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
-def _with_anchors(terms: DataFrame, term: str) -> DataFrame:
-    """Give each term the piece it shares with the fewest other terms."""
-    size = _anchor_length(F.col(term))
-    pieces = F.lit(None).cast("array<string>")
-    for length in ANCHOR_LENGTHS:
-        pieces = F.when(size == length, _pieces(F.col(term), length)).otherwise(pieces)
-    words = terms.select(term).distinct()
-    cut = words.select(term, F.explode(F.array_distinct(pieces)).alias("_anchor"))
+def _literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _with_anchors(terms: DataFrame, term: str, length: int) -> DataFrame:
+    """Give each term the piece of ``length`` it shares with the fewest other terms."""
+    pieces = F.when(F.length(term) <= SHORT, F.array(F.col(term))).otherwise(
+        F.array_distinct(_pieces(F.col(term), length))
+    )
+    cut = terms.select(term).distinct().select(term, F.explode(pieces).alias("_anchor"))
     use = cut.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_use"))
     anchors = cut.join(use, "_anchor").groupBy(term).agg(
         F.min(F.struct("_use", "_anchor")).getField("_anchor").alias("_anchor")
@@ -54,42 +58,80 @@ def _with_anchors(terms: DataFrame, term: str) -> DataFrame:
     return terms.join(anchors, term)
 
 
+def _places(text: str, terms: list[str]) -> Column:
+    """Places in the list, from 0, of the terms inside the text."""
+    known = F.array(*[F.struct(F.lit(place).alias("place"), F.lit(value).alias("term"))
+                      for place, value in enumerate(terms)])
+    hits = F.filter(known, lambda entry: F.contains(F.col(text), entry["term"]))
+    return F.transform(hits, lambda entry: entry["place"])
+
+
 def _scan(df: DataFrame, terms: list[str], text: str, term: str) -> DataFrame:
     known = F.array(*[F.lit(value) for value in terms])
     hits = F.filter(known, lambda value: F.contains(F.col(text), value))
     return df.select("*", F.explode(hits).alias(term))
 
 
-def _anchor_join(
-    df: DataFrame, terms: DataFrame, text: str, term: str, on: list[str], block_rows: int
-) -> DataFrame:
-    known = terms.where(F.length(term) > 0).distinct()
-    known = cut_lineage(_with_anchors(known, term))
-    rows, size, lengths = known.agg(
-        F.count(F.lit(1)),
-        F.coalesce(F.sum(F.octet_length(term) + F.octet_length("_anchor") + 64), F.lit(0)),
-        F.collect_set(F.length("_anchor")),
-    ).first()
-    pieces = F.array_distinct(
-        F.concat(*[_pieces(F.col(text), length) for length in sorted(lengths or [1])])
-    )
-    cut = df.select("*", F.explode(pieces).alias("_anchor"))
-    # Term tables beyond the broadcast bound are split into blocks below it, one
-    # map-side pass over the texts per block; every term is in exactly one block.
-    blocks = max(1, math.ceil(rows / block_rows), math.ceil(size / BROADCAST_MAX_BYTES))
-    result = None
-    for block in range(blocks):
-        part = known
-        if blocks > 1:
-            part = known.where(F.pmod(F.xxhash64(term), F.lit(blocks)) == block)
-        hits = (
-            cut.join(F.broadcast(part), ["_anchor", *on])
-            .where(F.contains(F.col(text), F.col(term)))
-            .drop("_anchor")
+class _Anchored:
+    """A term table with anchors, and the texts' candidate anchors against it."""
+
+    def __init__(self, terms: DataFrame, term: str, block_rows: int):
+        self.term = term
+        self.columns = terms.columns
+        spark = terms.sparkSession
+        known = cut_lineage(terms.where(F.length(term) > 0).distinct())
+        self.rows, shortest = known.agg(
+            F.count(F.lit(1)), F.min(F.when(F.length(term) > SHORT, F.length(term)))
+        ).first()
+        length = min(shortest or 1, LONGEST_ANCHOR)
+        self.inline = None
+        if 0 < self.rows <= INLINE_TERMS:
+            # Few rows: one task finds the anchors and the driver hands them on as literals.
+            known = _with_anchors(known.coalesce(1), term, length)
+            local = known.collect()
+            known = spark.createDataFrame(local, known.schema)
+            self.inline = sorted({row["_anchor"] for row in local})
+            lengths = {len(anchor) for anchor in self.inline}
+            size = sum(len(row[term].encode()) + 128 for row in local)
+        else:
+            known = cut_lineage(_with_anchors(known, term, length))
+            size, lengths = known.agg(
+                F.sum(F.octet_length(term) + 128), F.collect_set(F.length("_anchor"))
+            ).first()
+        self.known = known
+        self.lengths = sorted(lengths or []) or [1]
+        # Term tables beyond the broadcast bound are split into blocks below it, one
+        # map-side pass over the texts per block; every term is in exactly one block.
+        self.blocks = max(
+            1, math.ceil(self.rows / block_rows), math.ceil((size or 0) / BROADCAST_MAX_BYTES)
+        )
+
+    def candidates(self, text: str) -> Column:
+        """Distinct pieces of a text that may be anchors, as an array."""
+        if self.inline is None:
+            pieces = [_pieces(F.col(text), length) for length in self.lengths]
+            return F.array_distinct(F.concat(*pieces))
+        # Thousands of literals: one SQL text is built far faster than a Column of each.
+        cuts = ", ".join(
+            f"regexp_extract_all({_name(text)}, '(?s)(?=(.{{{length}}}))', 1)"
+            for length in self.lengths
         )
-        result = hits if result is None else result.unionByName(hits)
-    order = [*df.columns, *[name for name in terms.columns if name not in on]]
-    return result.select(*order)
+        known = ", ".join(map(_literal, self.inline))
+        return F.expr(f"array_distinct(filter(concat({cuts}), piece -> piece IN ({known})))")
+
+    def verify(self, cut: DataFrame, text: str, on: list[str]) -> DataFrame:
+        """Rows with an ``_anchor`` once per term of that anchor really inside the text."""
+        result = None
+        for block in range(self.blocks):
+            part = self.known
+            if self.blocks > 1:
+                part = part.where(F.pmod(F.xxhash64(self.term), F.lit(self.blocks)) == block)
+            hits = cut.join(F.broadcast(part), ["_anchor", *on]).where(
+                F.contains(F.col(text), F.col(self.term))
+            )
+            result = hits if result is None else result.unionByName(hits)
+        kept = [name for name in cut.columns if name != "_anchor"]
+        return result.select(*kept, *[name for name in self.columns if name not in on])
 
 
 def match_terms(
@@ -117,7 +159,9 @@ def match_terms(
         terms = df.sparkSession.createDataFrame([(value,) for value in words], f"`{term}` STRING")
     elif strategy == "scan":
         raise ValueError("the scan strategy takes a list of terms")
-    return _anchor_join(df, terms, text, term, on, block_rows)
+    anchored = _Anchored(terms, term, block_rows)
+    cut = df.select("*", F.explode(anchored.candidates(text)).alias("_anchor"))
+    return anchored.verify(cut, text, on)
 
 
 def match_two_sets(
@@ -137,11 +181,26 @@ def extract_posts(
     Lines are tested raw, so a hit may lie in any field, and misses are never parsed.
     """
     second = list(second)
-    hits = match_two_sets(lines, first, second, "value", "_term")
-    posts = parse_posts(hits, keep=("dt", "_term"))
-    # array_position counts from 1, keyword ids from 0.
-    place = F.array_position(F.array(*[F.lit(value) for value in second]), F.col("_term")) - 1
-    return distinct_posts(posts.withColumn("keyword_id", place.cast("string")))
+    lines = with_any_term(lines, first)
+    if len(second) <= SCAN_TERMS:
+        # The places found travel as one array, so a line is parsed once for all its terms.
+        places = only_if(_places("value", second), lambda found: F.size(found) > 0)
+        lines = lines.select("*", F.explode(places).alias("_places"))
+        posts = parse_posts(lines, keep=("dt", "_places"))
+        posts = posts.withColumn("keyword_id", F.explode("_places"))
+    else:
+        rows = [(value, place) for place, value in enumerate(second)]
+        terms = lines.sparkSession.createDataFrame(rows, "_term STRING, keyword_id INT")
+        hits = match_terms(lines, terms, "value", "_term")
+        posts = parse_posts(hits, keep=("dt", "keyword_id"))
+    return distinct_posts(posts.withColumn("keyword_id", F.col("keyword_id").cast("string")))
+
+
+def _month_topics(topics: DataFrame) -> DataFrame:
+    return topics.select(
+        F.col("month").alias("_month"), F.col("text").alias("_topic"),
+        F.col("id").alias("keyword_id"),
+    )
 
 
 def match_topics(
@@ -152,20 +211,31 @@ def match_topics(
     ``topics`` has ``id, month, text``; the result has the columns of
     ``lines`` and ``keyword_id``.
     """
-    known = topics.select(
-        F.col("month").alias("_month"), F.col("text").alias("_topic"),
-        F.col("id").alias("keyword_id"),
-    )
     hits = match_terms(
-        lines.withColumn("_month", month_of(day)), known, text, "_topic", on=["_month"]
+        lines.withColumn("_month", month_of(day)), _month_topics(topics), text, "_topic",
+        on=["_month"],
     )
     return hits.select(*lines.columns, "keyword_id")
 
 
-def extract_topic_posts(lines: DataFrame, topics: DataFrame) -> DataFrame:
+def extract_topic_posts(
+    lines: DataFrame, topics: DataFrame, block_rows: int = BROADCAST_MAX_ROWS
+) -> DataFrame:
     """Distinct posts whose raw line holds a topic of their month, once per topic."""
-    hits = match_topics(lines, topics)
-    return distinct_posts(parse_posts(hits, keep=("dt", "keyword_id")))
+    anchored = _Anchored(_month_topics(topics), "_topic", block_rows)
+    dated = lines.withColumn("_month", month_of("dt"))
+    if anchored.inline is not None:
+        # Only lines with a candidate are parsed, and each once for all its topics.
+        some = only_if(anchored.candidates("value"), lambda found: F.size(found) > 0)
+        found = dated.select("*", F.explode(some).alias("_anchors"))
+        posts = parse_posts(found, keep=("dt", "_month", "value", "_anchors"))
+        cut = posts.select("*", F.explode("_anchors").alias("_anchor")).drop("_anchors")
+        posts = anchored.verify(cut, "value", ["_month"])
+    else:
+        cut = dated.select("*", F.explode(anchored.candidates("value")).alias("_anchor"))
+        hits = anchored.verify(cut, "value", ["_month"])
+        posts = parse_posts(hits, keep=("dt", "keyword_id"))
+    return distinct_posts(posts)
 
 
 def post_columns() -> list[str]:

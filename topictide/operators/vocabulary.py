@@ -70,14 +70,18 @@ def top_share(counts: DataFrame, share: float = 0.1) -> DataFrame:
 
 
 def frequent_words(
-    counts: DataFrame, texts: DataFrame, share: float = 0.05, by: Iterable[str] = ()
+    counts: DataFrame, texts: DataFrame, share: float = 0.05, by: Iterable[str] = (),
+    text: str | None = None,
 ) -> DataFrame:
-    """Words counted more often than ``share`` of the texts (per ``by``)."""
+    """Words counted more often than ``share`` of the texts (per ``by``).
+
+    With ``text`` given, only rows where it is not null are texts.
+    """
     by = list(by)
+    number = F.count(F.lit(1)) if text is None else F.count(text)
     if not by:
-        texts_number = texts.agg(F.count(F.lit(1))).scalar()
-        return counts.where(F.col("count") > texts_number * F.lit(share))
-    numbers = texts.groupBy(*by).agg(F.count(F.lit(1)).alias("_texts"))
+        return counts.where(F.col("count") > texts.agg(number).scalar() * F.lit(share))
+    numbers = texts.groupBy(*by).agg(number.alias("_texts"))
     return counts.join(numbers, by).where(F.col("count") > F.col("_texts") * share).drop("_texts")
 
 
@@ -93,13 +97,12 @@ def word_frequency(
 ) -> DataFrame:
     """Frequent words of cleaned texts: clean, cut into tokens, count, keep the frequent ones.
 
-    ``tokenizer`` maps a text column to an array column.
+    ``tokenizer`` maps a text column to an array column. Texts that cleaning
+    empties have no words and do not count.
     """
     by = list(by)
-    cleaned = texts.select(*by, clean_post(text).alias("_clean")).where(
-        F.col("_clean").isNotNull()
-    )
+    cleaned = texts.select(*by, clean_post(text).alias("_clean"))
     counts = word_counts(
         cleaned, tokenizer(F.col("_clean")), by, stopwords, None, min_length, max_length
     )
-    return frequent_words(counts, cleaned, share, by)
+    return frequent_words(counts, cleaned, share, by, "_clean")

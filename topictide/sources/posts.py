@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topictide import schemas
+from topictide.functions.rows import only_if
 from topictide.functions.rules import contains_any
 from topictide.functions.text import full_content, strip
 from topictide.sources.paths import day_of_file
@@ -63,8 +64,7 @@ def _parse(lines: DataFrame, post: Column, keep: Iterable[str]) -> DataFrame:
             present = present & fields[name].isNotNull()
         return present
 
-    # Filtering a one-element array keeps the parse in one place of the plan.
-    posts = lines.select(*keep, F.explode(F.filter(F.array(post), complete)).alias("post"))
+    posts = lines.select(*keep, F.explode(only_if(post, complete)).alias("post"))
     content = full_content("post.weibo_content", "post.r_weibo_content", "post.is_retweet")
     return posts.select(
         *keep,

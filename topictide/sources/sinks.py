@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BYTE_ORDER_MARK = "﻿"
+BYTE_ORDER_MARK = chr(0xFEFF)
 
 
 def write_texts_by_key(df: DataFrame, path: str, key: str | list[str], text: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topictide import schemas
+from topictide.functions.rows import only_if
 from topictide.functions.rules import match_rules
 from topictide.functions.text import heat, strip
 from topictide.sources.paths import day_of_file
@@ -33,15 +34,13 @@ def parse_snapshots(lines: DataFrame, list_type: str = REAL_TIME_LIST) -> DataFr
     """Parse ``value, date`` lines into ``timestamp, date, cards``."""
     body = F.get(F.split(strip("value"), "\t"), 1)
     outer = F.from_json(body, schemas.SNAPSHOT_OUTER)
-    # A one-element array that is filtered and exploded keeps the parse in one
-    # place: a plain filter would be pushed below it and parse a second time.
-    wanted = F.filter(F.array(outer), lambda snapshot: snapshot["type"] == list_type)
+    wanted = only_if(outer, lambda snapshot: snapshot["type"] == list_type)
     inner = F.from_json("snapshot.bangdan", schemas.SNAPSHOT_INNER)
+    pages = only_if(inner, lambda page: page["cards"].isNotNull())
     return (
         lines.select("date", F.explode(wanted).alias("snapshot"))
         .select("date", F.col("snapshot.crawler_time_stamp").alias("timestamp"),
-                F.explode(F.filter(F.array(inner), lambda page: page["cards"].isNotNull()))
-                .alias("page"))
+                F.explode(pages).alias("page"))
         .select("timestamp", "date", F.col("page.cards").alias("cards"))
     )
 

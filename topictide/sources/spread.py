@@ -1,0 +1,15 @@
+"""Spreading small inputs over all cores."""
+
+from pyspark.sql import DataFrame
+
+
+def spread_small(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores, dealt out over all cores; a larger one as it is.
+
+    For text work that costs far more than moving the text. At scale there are
+    more splits than cores and nothing is shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() < cores:
+        return scan.repartition(cores)
+    return scan
