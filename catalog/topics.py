@@ -174,7 +174,7 @@ def snapshot_lines(spark, folder):
         F.when(F.col("o_orderstatus") == "P", "2").otherwise("1").alias("type"),
         F.to_json(F.struct(cards.alias("cards"))).alias("bangdan"),
     ))
-    return table(spark, folder, "orders").select(
+    return texts(spark, folder, "orders").select(
         F.concat_ws("\t", "o_orderkey", outer).alias("value"),
         F.col("o_orderdate").cast("date").alias("date"),
     )
@@ -205,7 +205,7 @@ def _repaired(spark, folder):
               F.col("o_orderpriority"), F.floor("o_totalprice").cast("string")]
     row = F.concat_ws(",", *fields, F.lit("1"))
     glued = F.concat(row, F.concat_ws(",", *fields[:3], F.lit("7"), F.lit("0")))
-    lines = table(spark, folder, "orders").select(
+    lines = texts(spark, folder, "orders").select(
         F.when(F.col("o_orderstatus") == "P", glued)
         .when(F.col("o_orderstatus") == "F", row)
         .otherwise(F.concat_ws(",", row, F.lit("extra"))).alias("value")

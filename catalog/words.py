@@ -166,3 +166,20 @@ ORACLES["vocabulary_word_counts"] = f"""
       SELECT unnest(regexp_extract_all(text,
         '{"|".join(sorted(VOCABULARY, key=lambda w: (-len(w), w)))}')) AS word FROM documents)
     GROUP BY word"""
+
+
+def _counted_vocabulary(spark, folder):
+    words = table(spark, folder, "benchmark").select(
+        F.explode(word_tokens("text", min_length=5)).alias("word")
+    ).distinct()
+    return _renamed(vocabulary.vocabulary_counts(texts(spark, folder), words, by=["lang"]))
+
+
+QUERIES["vocabulary_match_counts"] = _counted_vocabulary
+ORACLES["vocabulary_match_counts"] = r"""
+    SELECT lang, word, CAST(sum((length(text) - length(replace(text, word, ''))) // length(word))
+           AS BIGINT) AS cnt
+    FROM documents, (SELECT DISTINCT word FROM (
+        SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS word FROM benchmark)
+      WHERE length(word) >= 5) w
+    WHERE contains(text, word) GROUP BY lang, word"""

@@ -33,6 +33,15 @@ def test_word_frequency_cleans_and_groups(spark):
     ]
 
 
+def test_vocabulary_of_unspaced_text(spark):
+    words = vocabulary.domain_vocabulary(["亲子教育", "孩子"])
+    assert words == ["孩子", "鸡娃", "双减", "亲子", "教育"]
+    df = spark.createDataFrame([("鸡娃鸡娃双减",), ("孩子鸡娃",), (None,)], "text STRING")
+    known = spark.createDataFrame([(w,) for w in words], "word STRING")
+    got = vocabulary.vocabulary_counts(df, known)
+    assert {r.word: r["count"] for r in got.collect()} == {"鸡娃": 3, "双减": 1, "孩子": 1}
+
+
 @pytest.mark.parametrize("share,n", [(0.1, 50), (0.0001, 1), (1.0, 500)])
 def test_top_share_equals_a_full_sort(spark, share, n):
     words = [(f"w{i}", (i * i) % 7 + (100 if i < 5 else 0)) for i in range(500)]

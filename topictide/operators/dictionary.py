@@ -6,6 +6,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topictide.functions.rows import only_if
 from topictide.functions.rules import contains_any
 from topictide.functions.text import own_content
 from topictide.operators.match import SCAN_TERMS, match_terms
@@ -28,7 +29,7 @@ def _scan_hits(texts: DataFrame, known: list[tuple[str, list[str]]]) -> DataFram
         for term, kids in known
     ])
     hits = F.filter(entries, lambda entry: F.contains(F.col("text"), entry["term"]))
-    return texts.withColumn("hits", hits)
+    return texts.select("*", F.explode(only_if(hits, lambda h: F.size(h) > 0)).alias("hits"))
 
 
 def _anchor_hits(texts: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topictide import terms
 from topictide.functions.text import clean_post, word_tokens
 from topictide.lineage import cut_lineage
+from topictide.operators.match import match_terms
 from topictide.operators.rank import smallest_digests
 
 
@@ -43,6 +45,29 @@ def word_counts(
     return counts.select(*by, "word", "count")
 
 
+def domain_vocabulary(words: Iterable[str]) -> list[str]:
+    """A vocabulary with the domain words kept whole and the split hint taken apart."""
+    kept = dict.fromkeys([*words, *terms.DOMAIN_WORDS, *terms.SPLIT_HINT])
+    kept.pop("".join(terms.SPLIT_HINT), None)
+    return list(kept)
+
+
+def vocabulary_counts(
+    df: DataFrame, vocabulary: DataFrame, text: str = "text", by: Iterable[str] = ()
+) -> DataFrame:
+    """``word, count`` (per ``by``): occurrences of each word of a table inside unspaced text.
+
+    For vocabularies too large for ``vocabulary_tokens``. Words are found by
+    the anchor join and counted without overlaps of a word with itself; a word
+    inside a longer one counts too, as no segmentation takes place.
+    """
+    by = list(by)
+    hits = match_terms(df.select(*by, text), vocabulary.select("word"), text, "word")
+    rest = F.length(F.replace(F.col(text), F.col("word"), F.lit("")))
+    times = ((F.length(text) - rest) / F.length("word")).cast("bigint")
+    return hits.groupBy(*by, "word").agg(F.sum(times).alias("count"))
+
+
 def top_share(counts: DataFrame, share: float = 0.1) -> DataFrame:
     """The most counted ``share`` of the words, rounded down and at least one.
 
