@@ -55,7 +55,7 @@ def test_anchor_join_is_map_side(spark, plan):
 def test_rare_anchor_is_chosen(spark):
     # All terms share their beginning; the anchor must be what tells them apart.
     table = spark.createDataFrame([(f"共同的开头{i:04d}",) for i in range(300)], "term STRING")
-    anchors = match._with_anchors(table, "term", 8)
+    anchors = match._anchors_of(table, "term", 8)
     assert anchors.select("_anchor").distinct().count() == 300
 
 

@@ -54,19 +54,17 @@ def distinct_posts(posts: DataFrame) -> DataFrame:
 def topic_ids(topics: DataFrame, day: str = "date", text: str = "text") -> DataFrame:
     """Add ``month`` and ``id``, a running ``year-n`` by day and text.
 
-    Rows are numbered within their month and shifted by the sizes of the
-    earlier months, so no task sees more than one month of the topic table.
+    Rows are numbered within their day and shifted by the sizes of the earlier
+    days of the year, so no task sorts more than the topics of one day.
     """
     dated = topics.withColumn("month", month_of(day)).withColumn("_year", year_of(day))
-    sizes = dated.groupBy("_year", "month").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy("_year").orderBy("month").rowsBetween(
+    sizes = dated.groupBy("_year", day).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy("_year").orderBy(day).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    shifts = sizes.select(
-        "month", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift")
-    )
-    within = Window.partitionBy("month").orderBy(day, text)
-    numbered = dated.withColumn("_n", F.row_number().over(within)).join(shifts, "month")
+    shifts = sizes.select(day, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"))
+    within = Window.partitionBy(day).orderBy(text)
+    numbered = dated.withColumn("_n", F.row_number().over(within)).join(shifts, day)
     return numbered.withColumn(
         "id", F.concat("_year", F.lit("-"), (F.col("_n") + F.col("_shift")).cast("string"))
     ).select(*topics.columns, "month", "id")

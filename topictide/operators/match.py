@@ -45,17 +45,16 @@ def _literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _with_anchors(terms: DataFrame, term: str, length: int) -> DataFrame:
-    """Give each term the piece of ``length`` it shares with the fewest other terms."""
+def _anchors_of(words: DataFrame, term: str, length: int) -> DataFrame:
+    """``term, _anchor``: the piece of ``length`` each word shares with the fewest other words."""
     pieces = F.when(F.length(term) <= SHORT, F.array(F.col(term))).otherwise(
         F.array_distinct(_pieces(F.col(term), length))
     )
-    cut = terms.select(term).distinct().select(term, F.explode(pieces).alias("_anchor"))
+    cut = words.select(term, F.explode(pieces).alias("_anchor"))
     use = cut.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_use"))
-    anchors = cut.join(use, "_anchor").groupBy(term).agg(
+    return cut.join(use, "_anchor").groupBy(term).agg(
         F.min(F.struct("_use", "_anchor")).getField("_anchor").alias("_anchor")
     )
-    return terms.join(anchors, term)
 
 
 def _places(text: str, terms: list[str]) -> Column:
@@ -78,33 +77,30 @@ class _Anchored:
     def __init__(self, terms: DataFrame, term: str, block_rows: int):
         self.term = term
         self.columns = terms.columns
-        spark = terms.sparkSession
         known = cut_lineage(terms.where(F.length(term) > 0).distinct())
-        self.rows, shortest = known.agg(
-            F.count(F.lit(1)), F.min(F.when(F.length(term) > SHORT, F.length(term)))
+        rows, size, words, shortest = known.agg(
+            F.count(F.lit(1)),
+            F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 64), F.lit(0)),
+            F.count_distinct(term),
+            F.min(F.when(F.length(term) > SHORT, F.length(term))),
         ).first()
         length = min(shortest or 1, LONGEST_ANCHOR)
         self.inline = None
-        if 0 < self.rows <= INLINE_TERMS:
-            # Few rows: one task finds the anchors and the driver hands them on as literals.
-            known = _with_anchors(known.coalesce(1), term, length)
-            local = known.collect()
-            known = spark.createDataFrame(local, known.schema)
+        if 0 < words <= INLINE_TERMS:
+            # Few words: one task finds the anchors and the driver hands them on as literals.
+            local = _anchors_of(known.select(term).distinct().coalesce(1), term, length).collect()
+            schema = f"{_name(term)} STRING, _anchor STRING"
+            anchors = F.broadcast(terms.sparkSession.createDataFrame(local, schema))
             self.inline = sorted({row["_anchor"] for row in local})
             lengths = {len(anchor) for anchor in self.inline}
-            size = sum(len(row[term].encode()) + 128 for row in local)
         else:
-            known = cut_lineage(_with_anchors(known, term, length))
-            size, lengths = known.agg(
-                F.sum(F.octet_length(term) + 128), F.collect_set(F.length("_anchor"))
-            ).first()
-        self.known = known
-        self.lengths = sorted(lengths or []) or [1]
+            anchors = cut_lineage(_anchors_of(known.select(term).distinct(), term, length))
+            lengths = anchors.agg(F.collect_set(F.length("_anchor"))).first()[0]
+        self.known = known.join(anchors, term)
+        self.lengths = sorted(lengths) or [1]
         # Term tables beyond the broadcast bound are split into blocks below it, one
         # map-side pass over the texts per block; every term is in exactly one block.
-        self.blocks = max(
-            1, math.ceil(self.rows / block_rows), math.ceil((size or 0) / BROADCAST_MAX_BYTES)
-        )
+        self.blocks = max(1, math.ceil(rows / block_rows), math.ceil(size / BROADCAST_MAX_BYTES))
 
     def candidates(self, text: str) -> Column:
         """Distinct pieces of a text that may be anchors, as an array."""
@@ -126,8 +122,10 @@ class _Anchored:
             part = self.known
             if self.blocks > 1:
                 part = part.where(F.pmod(F.xxhash64(self.term), F.lit(self.blocks)) == block)
+            # A short term is its own anchor and needs no look at the text.
             hits = cut.join(F.broadcast(part), ["_anchor", *on]).where(
-                F.contains(F.col(text), F.col(self.term))
+                (F.col("_anchor") == F.col(self.term))
+                | F.contains(F.col(text), F.col(self.term))
             )
             result = hits if result is None else result.unionByName(hits)
         kept = [name for name in cut.columns if name != "_anchor"]
