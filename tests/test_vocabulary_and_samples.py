@@ -64,6 +64,16 @@ def test_smallest_digests_equal_a_sort_per_group(spark, monkeypatch):
                          key=lambda i: hashlib.md5(f"3|{i}".encode()).hexdigest())
             expected |= {(g, i) for i in ids[:quota]}
         assert {(r.g, r.i) for r in got.collect()} == expected
+        if quota <= rank.GROUP_LIMIT:
+            first = rank.first_digests(df, "g", ["i"], quota, seed=3)
+            assert {(r.g, r.i) for r in first.collect()} == expected
+
+
+def test_group_limits_apply_before_the_shuffle(spark, plan):
+    df = spark.createDataFrame([("a", 1)], "g STRING, i INT")
+    assert plan(rank.first_digests(df, "g", ["i"], 300)).count("Partial") == 2
+    with pytest.raises(ValueError):
+        rank.first_digests(df, "g", ["i"], 1001)
 
 
 def test_sample_per_group_is_seeded_and_complete(spark):
@@ -103,6 +113,7 @@ def test_sample_matching(spark):
                                "dt STRING, i INT, weibo_content STRING")
     assert sample.sample_matching(df, "努力", ["i"], 4).count() == 4
     assert sample.sample_matching(df, ["努力", "无"], ["i"], 300).count() == 10
+    assert sample.sample_matching(df, "努力", ["i"], 2000).count() == 9
 
 
 def test_split_join_equals_a_join(spark):

@@ -52,16 +52,25 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
 
 
 def split_join(
-    big: DataFrame, small: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS
+    big: DataFrame,
+    small: DataFrame,
+    key: str,
+    how: str = "inner",
+    hot_rows: int = HOT_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Equi-join with a ``small`` side of distinct keys, where one key may hold much of ``big``.
 
     Keys of more than ``hot_rows`` rows, at most ``rows / hot_rows`` many, are
     joined map-side; the others are shuffled. The result is that of one join.
+    ``rows`` is the size of ``big`` if it is known: a table of no more than
+    ``hot_rows`` rows has no such key.
     """
+    if rows is not None and rows <= hot_rows:
+        return big.join(small, key, how)
     counted = big.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    hot, rows, _ = measured(counted.where(F.col("_rows") > hot_rows).select(key))
-    if rows == 0 or rows > BROADCAST_MAX_ROWS:
+    hot, keys, _ = measured(counted.where(F.col("_rows") > hot_rows).select(key))
+    if keys == 0 or keys > BROADCAST_MAX_ROWS:
         return big.join(small, key, how)
     hot = F.broadcast(hot)
     few = F.broadcast(small.join(hot, key, "left_semi"))

@@ -45,7 +45,7 @@ def _cells(
     return hashed.select(key, F.explode(F.array(*[cell(t) for t in range(tables)])).alias("cell"))
 
 
-def _components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def _components(edges: DataFrame, hot_rows: int = HOT_ROWS, rounds: int = 64) -> DataFrame:
     """``node, root`` with the smallest node of each connected part as its root.
 
     Each round takes the smallest root among the neighbours and then follows
@@ -57,6 +57,7 @@ def _components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     )
     roots = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
                         .select("node", F.least("node", "root").alias("root")))
+    nodes = roots.count()
     for _ in range(rounds):
         near = (
             both.join(roots, both["a"] == roots["node"])
@@ -68,7 +69,7 @@ def _components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         )
         jump = roots.select(F.col("node").alias("via"), F.col("root").alias("next"))
         step = cut_lineage(
-            split_join(moved, jump, "via", "left").select(
+            split_join(moved, jump, "via", "left", hot_rows, nodes).select(
                 "node", "old", F.least("via", F.coalesce("next", "via")).alias("root")
             )
         )
@@ -105,15 +106,15 @@ def density_cluster(
     )
     # A cell may hold any part of the points: heavy cells are joined map-side.
     heads = cut_lineage(
-        split_join(cells, dense, "cell", hot_rows=hot_rows)
+        split_join(cells, dense, "cell", hot_rows=hot_rows, rows=cells.count())
         .groupBy(key)
         .agg(F.min("head").alias("head"), F.collect_set("head").alias("heads"))
     )
     links = heads.select(F.col("head").alias("a"), F.explode("heads").alias("b")).distinct()
-    roots = _components(links)
+    roots = _components(links, hot_rows)
     named = split_join(
         heads.select(key, "head"), roots.withColumnRenamed("node", "head"), "head",
-        hot_rows=hot_rows,
+        hot_rows=hot_rows, rows=heads.count(),
     ).select(key, F.col("root").alias("prediction"))
     return df.select(key).join(named, key, "left").select(
         key, F.coalesce("prediction", F.lit(NOISE)).alias("prediction")

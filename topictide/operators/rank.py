@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from topictide.lineage import broadcast_if_small, cut_lineage
 
 BUCKET_DIGITS = 3  # hexadecimal digits: 4096 buckets per group
+GROUP_LIMIT = 1000  # the rank up to which Spark limits groups before the shuffle
 
 
 def key_digest(key: Iterable[str], *salts: object) -> Column:
@@ -21,6 +22,28 @@ def key_digest(key: Iterable[str], *salts: object) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+def first_digests(
+    df: DataFrame, group: str, key: Iterable[str], n: int, seed: object = 0
+) -> DataFrame:
+    """The first ``n`` rows of each group in digest order, in one pass; for small ``n``.
+
+    Rows are limited per group and bucket first, which Spark also does before
+    the shuffle (window group limit), so the last step sees at most ``n`` rows
+    per bucket.
+    """
+    if n > GROUP_LIMIT:
+        raise ValueError(f"n must be at most {GROUP_LIMIT}; use smallest_digests")
+    key = list(key)
+    rows = df.withColumn("_digest", key_digest(key, seed))
+    spread = rows.withColumn("_bucket", F.substring("_digest", 1, 2))
+    for parts in ([group, "_bucket"], [group]):
+        window = Window.partitionBy(*parts).orderBy("_digest", *key)
+        spread = spread.withColumn("_place", F.row_number().over(window)).where(
+            F.col("_place") <= n
+        )
+    return spread.select(*df.columns)
+
+
 def smallest_digests(
     df: DataFrame,
     group: str | None,

@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topictide.functions.rules import contains_any
-from topictide.operators.rank import key_digest, smallest_digests
+from topictide.operators.rank import (
+    GROUP_LIMIT,
+    first_digests,
+    key_digest,
+    smallest_digests,
+)
 
 # Up to this many draws are separate aggregates of one pass over the rows.
 DRAWS_IN_COLUMNS = 50
@@ -76,6 +81,8 @@ def sample_matching(
     """``n`` rows per group that hold the term (or any of the terms); all of them if fewer."""
     words = [terms] if isinstance(terms, str) else list(terms)
     matching = df.where(contains_any(text, words))
+    if n <= GROUP_LIMIT:
+        return first_digests(matching, group, key, n, seed)
     return smallest_digests(
         matching, group, key, lambda size, _: F.least(size, F.lit(n)), seed
     )

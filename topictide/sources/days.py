@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from topictide.sources.paths import day_of_file
 
-DAY_STEM = r"(?:^|/)\d{4}-\d{2}-\d{2}\.parquet$"
+DAY_STEM = r"^\d{4}-\d{2}-\d{2}\.parquet$"
 
 
 def read_days(
@@ -37,7 +37,7 @@ def read_day_files(spark: SparkSession, root: str, year: int | None = None) -> D
     """Rows of flat ``yyyy-mm-dd.parquet`` files with their day as ``dt``; other files are ignored."""
     pattern = f"{year if year is not None else '*'}-*.parquet"
     files = spark.read.option("pathGlobFilter", pattern).parquet(root)
-    return files.where(F.col("_metadata.file_path").rlike(DAY_STEM)).withColumn("dt", day_of_file())
+    return files.where(F.col("_metadata.file_name").rlike(DAY_STEM)).withColumn("dt", day_of_file())
 
 
 def write_days(df: DataFrame, root: str) -> None:
