@@ -127,10 +127,17 @@ QUERIES["clean_for_words"] = lambda spark, folder: texts(spark, folder, "pages")
     "page_id", clean_for_words(F.concat_ws(" ", "url", "html")).alias("cleaned")
 )
 _NOISE_SQL = f"(https?://[^{_SPACE}]+|@[{_WORD}]+|#[{_WORD}]+#)"
+
+
+def words_sql(text):
+    return _strip_sql(
+        f"regexp_replace(regexp_replace({text}, '{_NOISE_SQL}', '', 'g'), "
+        f"'[^{_WORD}一-鿿，。！？]', '', 'g')"
+    )
+
+
 ORACLES["clean_for_words"] = f"""
-    SELECT page_id, {_strip_sql(
-        f"regexp_replace(regexp_replace(url || ' ' || html, '{_NOISE_SQL}', '', 'g'), "
-        f"'[^{_WORD}一-鿿，。！？]', '', 'g')")} AS cleaned FROM pages"""
+    SELECT page_id, {words_sql("url || ' ' || html")} AS cleaned FROM pages"""
 
 QUERIES["dedupe_posts"] = lambda spark, folder: dedupe.dedupe_posts(
     table(spark, folder, "documents"), day="lang", key="text", order=["doc_id"]

@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from catalog.posts import CLEAN_SQL
+from catalog.posts import CLEAN_SQL, words_sql
 from catalog.tables import sql_list, sql_rows, table, texts
 from topictide.functions import vocabulary_tokens, word_tokens
 from topictide.operators import dictionary as qualities
 from topictide.operators import vocabulary
+from topictide.plans import top_words
 from topictide.sources.dictionaries import dictionary_frame
 
 QUERIES, ORACLES = {}, {}
@@ -183,3 +184,21 @@ ORACLES["vocabulary_match_counts"] = r"""
         SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS word FROM benchmark)
       WHERE length(word) >= 5) w
     WHERE contains(text, word) GROUP BY lang, word"""
+
+
+def _top_words(spark, folder):
+    docs = texts(spark, folder).withColumnRenamed("text", "cleaned_weibo_content")
+    found = top_words(docs, tokenizer=lambda text: vocabulary_tokens(text, VOCABULARY), share=0.5)
+    return _renamed(found)
+
+
+QUERIES["top_words_of_cleaned_texts"] = _top_words
+ORACLES["top_words_of_cleaned_texts"] = f"""
+    SELECT word, cnt FROM (
+      SELECT word, cnt, row_number() OVER (ORDER BY cnt DESC, md5('0|' || word)) AS n,
+             count(*) OVER () AS words
+      FROM (SELECT word, count(*) AS cnt FROM (
+              SELECT unnest(regexp_extract_all({words_sql('text')},
+                '{"|".join(sorted(VOCABULARY, key=lambda w: (-len(w), w)))}')) AS word
+              FROM documents) GROUP BY word))
+    WHERE n <= greatest(CAST(floor(words * 0.5) AS BIGINT), 1)"""

@@ -5,10 +5,15 @@ from pyspark.sql import functions as F
 from test_match import line
 from test_sources import entry, snapshot
 from topictide import terms as fixed
+from topictide.functions import vocabulary_tokens
 from topictide.plans import (
     extract_days,
+    gathered_texts,
     keyword_trends,
     quality_vocabulary,
+    sampled_topics,
+    text_clusters,
+    top_words,
     topic_post_days,
     topic_share,
     topics_from_snapshots,
@@ -38,6 +43,41 @@ def test_topic_share_plan(spark, tmp_path):
     assert (row.flagged, row.total) == (200, 900)
 
 
+def test_sampled_topics(spark, tmp_path):
+    topics = topics_from_snapshots(spark, snapshots(tmp_path / "lists"))
+    got = sampled_topics(topics, 10, seed=1).collect()
+    # One flagged topic with heat in each month, however often it was listed.
+    assert sorted((r.month, r.text) for r in got) == [
+        ("2020-01", "家长如何带孩子"), ("2020-12", "家长如何带孩子")]
+
+
+def test_words_and_clusters_of_cleaned_posts(spark):
+    rows = [(f"w{i}", "2020-01-01", "鸡娃的孩子" if i % 2 else "双减的孩子") for i in range(40)]
+    rows += [("n1", "2021-01-01", None), ("n2", "2021-01-01", "鸡娃鸡娃鸡娃" * 20)]
+    posts = spark.createDataFrame(rows, "weibo_id STRING, dt STRING, cleaned_weibo_content STRING"
+                                  ).withColumn("dt", F.to_date("dt"))
+
+    def tokens(text):
+        return vocabulary_tokens(text, ["鸡娃", "双减", "孩子"])
+
+    assert [(r.word, r["count"]) for r in top_words(posts, 2020, tokenizer=tokens).collect()] == [
+        ("孩子", 40)]
+    assert [(r.word, r["count"]) for r in top_words(posts, tokenizer=tokens).collect()] == [
+        ("鸡娃", 80)]
+    texts = gathered_texts(posts)
+    assert texts.count() == 41
+    vectors = spark.createDataFrame(
+        [(r[0], [100.0 * (i % 2), 0.0, 1.0] if r[0] != "n2" else [9e3, 9e3, 9e3])
+         for i, r in enumerate(rows)], "weibo_id STRING, embedding ARRAY<FLOAT>")
+    found = text_clusters(texts, vectors, width=5.0)
+    assert sorted(r.prediction for r in found["texts"].select("prediction").distinct().collect()
+                  ) == ["w0", "w1"]
+    assert found["texts"].count() == 40 and found["labels"].count() == 41
+    assert found["silhouette"] > 0.9 and found["calinski_harabasz"].first().clusters == 3
+    few = text_clusters(texts.limit(3), vectors, width=5.0)
+    assert few["silhouette"] is None and few["texts"].count() == 0
+
+
 def posts(folder):
     folder.mkdir(exist_ok=True)
     made = {

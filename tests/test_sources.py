@@ -84,13 +84,13 @@ def test_posts_of_each_layout_by_file_day(spark, tmp_path, rows):
         "4\t" + json.dumps(post(weibo_id="w4", zhuan=None)), "5\t{bad", "no tab",
         "6\t" + json.dumps(post(weibo_id="w6", r_weibo_content=None)),
     ]
-    (tmp_path / "weibo_freshdata.2020-01-01").write_text("\n".join(json_day))
+    (tmp_path / "feed.2020-01-01").write_text("\n".join(json_day))
     tsv = ["\t".join(positional(23)), "\t".join(positional(24, weibo_id="t1")),
            "\t".join(positional(30, weibo_id="t2", is_retweet="1", r_weibo_content="原"))]
-    (tmp_path / "weibo_freshdata.2016-07-24.csv").write_text("\n".join(tsv))
+    (tmp_path / "feed.2016-07-24.csv").write_text("\n".join(tsv))
     csv = ['"' + '","'.join(positional(39, weibo_id="c1", is_retweet="1",
                                        r_weibo_content="双子座")) + '"', '"a","b"']
-    (tmp_path / "weibo_2020-06-30.csv").write_text("\n".join(csv))
+    (tmp_path / "feed_2020-06-30.csv").write_text("\n".join(csv))
     got = posts.read_posts(spark, str(tmp_path))
     assert rows(got.select(F.col("dt").cast("string"), "weibo_id", "weibo_content")) == sorted([
         ("2020-01-01", "w1", "早安 孩子"), ("2020-01-01", "w2", "早安 孩子//原文"),

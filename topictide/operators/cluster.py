@@ -8,10 +8,10 @@ number of points, also where a third of them are copies in one cell.
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.feature import BucketedRandomProjectionLSH, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topictide.lineage import HOT_ROWS, cut_lineage, split_join
@@ -19,6 +19,11 @@ from topictide.lineage import HOT_ROWS, cut_lineage, split_join
 NOISE = -1
 
 
+def _in_cluster(label: str) -> Column:
+    # Compared as text, for labels are keys of any type.
+    return F.col(label).cast("string") != str(NOISE)
+
+
 def _vectors(df: DataFrame, vector: str) -> DataFrame:
     """Add ``_features``: the array column as an ML vector."""
     doubles = F.transform(vector, lambda value: value.cast("double"))
@@ -116,8 +121,9 @@ def density_cluster(
         heads.select(key, "head"), roots.withColumnRenamed("node", "head"), "head",
         hot_rows=hot_rows, rows=heads.count(),
     ).select(key, F.col("root").alias("prediction"))
+    kind = df.schema[key].dataType
     return df.select(key).join(named, key, "left").select(
-        key, F.coalesce("prediction", F.lit(NOISE)).alias("prediction")
+        key, F.coalesce("prediction", F.lit(NOISE).cast(kind)).alias("prediction")
     )
 
 
@@ -135,14 +141,16 @@ def silhouette(
     df: DataFrame, vector: str = "embedding", label: str = "prediction"
 ) -> float | None:
     """Mean silhouette by squared distance; None under two clusters besides noise."""
-    if df.where(F.col(label) != NOISE).select(label).distinct().limit(2).count() < 2:
+    if df.where(_in_cluster(label)).select(label).distinct().limit(2).count() < 2:
         return None
     evaluator = ClusteringEvaluator(
         featuresCol="_features", predictionCol="_label", metricName="silhouette",
         distanceMeasure="squaredEuclidean",
     )
-    rows = _vectors(df, vector).select("_features", F.col(label).cast("double").alias("_label"))
-    return evaluator.evaluate(rows)
+    # The evaluator wants numbered labels and itself holds one row per cluster on the driver.
+    rows = _vectors(df, vector).select("_features", F.col(label).cast("string").alias("_name"))
+    indexer = StringIndexer(inputCol="_name", outputCol="_label")
+    return evaluator.evaluate(indexer.fit(rows).transform(rows))
 
 
 def calinski_harabasz(
@@ -184,4 +192,4 @@ def texts_by_cluster(
     texts: DataFrame, clusters: DataFrame, key: str = "id", label: str = "prediction"
 ) -> DataFrame:
     """Texts with the label of their cluster, noise left out."""
-    return texts.join(clusters.where(F.col(label) != NOISE).select(key, label), key)
+    return texts.join(clusters.where(_in_cluster(label)).select(key, label), key)
