@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from topictide.llm.store import saved
-from topictide.llm.tokens import word_memo
+from topictide.llm.tokens import word_encoder
 
 
 @dataclasses.dataclass(frozen=True)
@@ -56,18 +56,19 @@ def token_pieces(
     schema = StructType.fromDDL(schema + (", ids array<int>" if with_ids else ""))
 
     def cut(batches):
-        memo = word_memo(tokenizer_path)
+        encoder, end, size = word_encoder(tokenizer_path), np.uint32(end_id).astype("<u4").tobytes(), 4 * tokens
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array(memo.encode(text or "") + [end_id], "<u4")
-                for piece, start in enumerate(range(0, len(ids), tokens)):
-                    part = ids[start : start + tokens]
-                    row = (doc, piece, start, len(part), zlib.crc32(part.tobytes()))
-                    rows.append(row + (part.astype(np.int32),) if with_ids else row)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
+            encoded = encoder.encode([text or "" for text in batch.column(1).to_pylist()])
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids += end
+                for piece, at in enumerate(range(0, len(ids), size)):
+                    part = ids[at : at + size]
+                    row = (doc, piece, at // 4, len(part) // 4, zlib.crc32(part))
+                    rows.append(row + (np.frombuffer(part, "<i4"),) if with_ids else row)
             if rows:
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
