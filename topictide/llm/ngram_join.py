@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 
 from topictide.llm.graph import components
 from topictide.llm.store import saved
+from topictide.llm.texts import in_slices
 
 #: Similarity as a fraction: linked if NUM[0] * union <= NUM[1] * intersection.
 SIMILARITY = (90, 100)
 #: Rows of one block.
 BLOCK_ROWS = 4096
 #: Word hashes kept in one worker's memo; the memo starts anew beyond it.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 #: One spare range for so many; and cuts that are tried where too many ranges are empty.
 SPARE, LEVELS = 80, 8
 
@@ -110,7 +111,7 @@ def _described(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFram
     names = ["doc_id", "n_shingles", "sig1", "sig2", "keys"]
 
     def describe(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [ngram_set(t or "", n) for t in batch.column(1).to_pylist()]
             keys = [range_keys(s, similarity).view(np.int64) for s in sets]
             signs = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)

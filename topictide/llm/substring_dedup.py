@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topictide.llm.store import saved
+from topictide.llm.texts import in_slices
 
 LENGTH, GRAM = 100, 32
 #: Bytes of stretches in one block, and different stretches of one gram that stay together.
@@ -155,7 +156,7 @@ def _found_stretches(docs: DataFrame, length: int) -> DataFrame:
     names = ["key", "sid", "_id", "place"]
 
     def find(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             parts = []
             for ident, salt, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
@@ -179,7 +180,7 @@ def _texts_at(places: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     names = ["key", "_id", "place", "data"]
 
     def cut(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = []
             for ident, salt, text, items in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 data = text.encode("utf-8", "surrogatepass")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -19,6 +19,13 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller record batches, so that what is made from their texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def per_text(function: Callable[[str], tuple], schema: str) -> Callable[[Column], Column]:
     """A column function that maps a text to a struct of ``schema``; a null text counts as empty."""
     kind = StructType.fromDDL(schema)
