@@ -175,9 +175,9 @@ def _start(place: Column) -> Column:
 
 
 def _texts_at(places: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """``places`` (key, _id, place) with the bytes of each stretch as ``data``; by document."""
-    listed = places.groupBy("_id").agg(F.collect_list(F.struct("key", "place")).alias("_list"))
-    names = ["key", "_id", "place", "data"]
+    """``places`` (key, _id, place, many) with the bytes of each stretch as ``data``; by document."""
+    listed = places.groupBy("_id").agg(F.collect_list(F.struct("key", "place", "many")).alias("_list"))
+    names = ["key", "_id", "place", "many", "data"]
 
     def cut(batches):
         for batch in in_slices(batches):
@@ -188,13 +188,13 @@ def _texts_at(places: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                     place = item["place"]
                     if place >> START_BITS + COUNT_BITS == salt:
                         start, count = place >> COUNT_BITS & (1 << START_BITS) - 1, place & (1 << COUNT_BITS) - 1
-                        rows.append((item["key"], ident, place, data[start : start + count + length - 1]))
+                        rows.append((item["key"], ident, place, item["many"], data[start : start + count + length - 1]))
             if rows:
-                kinds = pa.int64(), pa.int64(), pa.int64(), pa.binary()
+                kinds = pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     joined = docs.join(listed, "_id").select("_id", "_salt", "_text", "_list")
-    return joined.mapInArrow(cut, "key long, _id long, place long, data binary")
+    return joined.mapInArrow(cut, "key long, _id long, place long, many boolean, data binary")
 
 
 def _block_spans(rows: DataFrame, length: int) -> DataFrame:
@@ -252,14 +252,13 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         (_start(F.col("place")) + count + length - 1).alias("end"),
     )
     several = alike.groupBy("key").agg(F.count(F.lit(1)).alias("_kinds")).where(F.col("_kinds") > 1)
-    wanted = alike.join(several, "key")
-    blocks = wanted.where(F.col("_kinds") <= GRAM_STRETCHES)
-    split = wanted.where(F.col("_kinds") > GRAM_STRETCHES)
-    n_blocks = max(1, math.ceil(blocks.count() * (length + (length - GRAM) // 2) / BLOCK_BYTES))
-    texts = _texts_at(blocks.select("key", "_id", "place"), docs, length)
-    spans = spans.unionByName(_block_spans(texts.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks))), length))
-    if split.limit(1).count():
-        spans = spans.unionByName(_window_spans(_texts_at(split.select("key", "_id", "place"), docs, length), length))
+    wanted = alike.join(several, "key").select("key", "_id", "place", (F.col("_kinds") > GRAM_STRETCHES).alias("many"))
+    texts = saved(_texts_at(wanted, docs, length))
+    few, many = texts.where(~F.col("many")), texts.where("many")
+    n_blocks = max(1, math.ceil((few.agg(F.sum(F.octet_length("data"))).first()[0] or 0) / BLOCK_BYTES))
+    spans = spans.unionByName(_block_spans(few.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks))), length))
+    if many.limit(1).count():
+        spans = spans.unionByName(_window_spans(many, length))
     return spans
 
 
