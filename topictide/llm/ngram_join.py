@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from topictide.llm.graph import components
 from topictide.llm.store import saved
-from topictide.llm.texts import in_slices
+from topictide.llm.texts import in_slices, worker_memo
 
 #: Similarity as a fraction: linked if NUM[0] * union <= NUM[1] * intersection.
 SIMILARITY = (90, 100)
 #: Rows of one block.
 BLOCK_ROWS = 4096
 #: Word hashes kept in one worker's memo; the memo starts anew beyond it.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 #: One spare range for so many; and cuts that are tried where too many ranges are empty.
 SPARE, LEVELS = 80, 8
 
@@ -46,17 +46,12 @@ class _Words(dict):
         return value
 
 
-@functools.lru_cache(maxsize=1)
-def _memo() -> _Words:
-    return _Words()
-
-
 def ngram_set(text: str, n: int = 3) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams; of all words, if they are fewer."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only
     if not words:
         return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(_memo().__getitem__, words), np.uint64, len(words))
+    ids = np.fromiter(map(worker_memo("ngrams", _Words).__getitem__, words), np.uint64, len(words))
     size = min(n, len(words))
     grams = _mix(ids[: len(ids) - size + 1] + np.uint64(size))
     for k in range(1, size):

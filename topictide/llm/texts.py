@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -19,10 +19,21 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Smaller record batches, so that what is made from their texts stays small."""
+_memo: list = ["", None]
+
+
+def worker_memo(name: str, make: Callable[[], object]) -> object:
+    """What a worker remembers from batch to batch. It has one memo, that of the last user."""
+    if _memo[0] != name:
+        _memo[:] = ["", None]
+        _memo[:] = [name, make()]
+    return _memo[1]
+
+
+def in_slices(batches: Iterable, rows: int = 500) -> Iterator:
+    """Smaller record batches or arrays, so that what is made from their texts stays small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
+        for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
 
 
@@ -33,7 +44,7 @@ def per_text(function: Callable[[str], tuple], schema: str) -> Callable[[Column]
     names = kind.names
 
     def batch(texts: pa.Array) -> pa.Array:
-        rows = [function(text or "") for text in texts.to_pylist()]
+        rows = [function(text or "") for part in in_slices([texts]) for text in part.to_pylist()]
         columns = zip(*rows, strict=True) if rows else [[] for _ in names]
         arrays = [pa.array(values, kind) for values, kind in zip(columns, types, strict=True)]
         return pa.StructArray.from_arrays(arrays, names=names)

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import functools
 import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from topictide.llm.texts import worker_memo
+
 #: Words kept with their ids in one worker; the memo starts anew beyond it.
 MEMO_WORDS = 450_000
 #: Longer pieces between blanks are encoded each time.
 MEMO_CHARS = 40
 #: Characters of the texts that are encoded together; a longer text is encoded alone.
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 4 << 20
 #: A comma or full stop after a letter and before white space is a word of its own.
 LATIN_ENDS = re.compile(r"(?<=[a-zß-öø-ÿ])([,.])(?=[ \n])")
 
@@ -110,7 +111,6 @@ class WordEncoder:
         return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-@functools.lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    """One encoder for each vocabulary and Python worker."""
-    return WordEncoder(path)
+    """The encoder of a vocabulary in this worker."""
+    return worker_memo(f"tokens:{path}", lambda: WordEncoder(path))
