@@ -30,7 +30,7 @@ def integer_vectors(embeddings: DataFrame, scale: int = 256) -> DataFrame:
 
 
 def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
 def _few_copies(vectors: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:

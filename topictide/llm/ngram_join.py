@@ -27,7 +27,7 @@ SIMILARITY = (90, 100)
 #: Rows of one block.
 BLOCK_ROWS = 4096
 #: Word hashes kept in one worker's memo; the memo starts anew beyond it.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 #: One spare range for so many; and cuts that are tried where too many ranges are empty.
 SPARE, LEVELS = 80, 8
 

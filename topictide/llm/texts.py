@@ -26,6 +26,7 @@ def worker_memo(name: str, make: Callable[[], object]) -> object:
     """What a worker remembers from batch to batch. It has one memo, that of the last user."""
     if _memo[0] != name:
         _memo[:] = ["", None]
+        pa.default_memory_pool().release_unused()
         _memo[:] = [name, make()]
     return _memo[1]
 
