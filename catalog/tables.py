@@ -7,8 +7,6 @@ given a day computed from its id; that only labels rows and drops none.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topictide.sources.spread import spread_small
-
 TOPIC_RULES = ["URGENT", "HIGH& F", "LOW& O"]
 
 
@@ -17,8 +15,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
-    """A table of texts for heavy text work, spread over all cores if it is small."""
-    return spread_small(table(spark, folder, name))
+    """A table of texts for heavy text work."""
+    return table(spark, folder, name)
 
 
 def topics(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ one line of the text.
 
 from collections.abc import Iterable
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,10 +16,19 @@ def _col(column: Column | str) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
+def any_of(tests: Iterable[Column]) -> Column:
+    """Does a test hold? A balanced tree, so that long lists stay shallow expressions."""
+    tests = list(tests)
+    while len(tests) > 1:
+        pairs = zip(tests[::2], tests[1::2], strict=False)
+        tests = [a | b for a, b in pairs] + (tests[-1:] if len(tests) % 2 else [])
+    return tests[0] if tests else F.lit(False)
+
+
 def contains_any(column: Column | str, terms: Iterable[str]) -> Column:
-    """Does the text hold at least one term?"""
+    """Does the text hold at least one term? An empty term is none."""
     text = _col(column)
-    return reduce(or_, (F.contains(text, F.lit(term)) for term in terms), F.lit(False))
+    return any_of(F.contains(text, F.lit(term)) for term in terms if term)
 
 
 def _all_words(text: Column, words: list[str]) -> Column:
@@ -40,7 +49,7 @@ def match_rules(column: Column | str, rules: Iterable[str], multiline: bool = Fa
             tests.append(_all_words_on_a_line(text, words))
         else:
             tests.append(_all_words(text, words))
-    return reduce(or_, tests, F.lit(False))
+    return any_of(tests)
 
 
 def matches_excluded(
@@ -48,7 +57,7 @@ def matches_excluded(
 ) -> Column:
     """Does the text hold an excluded word or match an excluded pattern?"""
     text = _col(column)
-    return reduce(or_, (text.rlike(pattern) for pattern in patterns), contains_any(text, words))
+    return any_of([contains_any(text, words), *(text.rlike(pattern) for pattern in patterns)])
 
 
 def conditional_keep(

@@ -50,7 +50,7 @@ def _cells(
     return hashed.select(key, F.explode(F.array(*[cell(t) for t in range(tables)])).alias("cell"))
 
 
-def _components(edges: DataFrame, hot_rows: int = HOT_ROWS, rounds: int = 64) -> DataFrame:
+def _components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``node, root`` with the smallest node of each connected part as its root.
 
     Each round takes the smallest root among the neighbours and then follows
@@ -63,7 +63,7 @@ def _components(edges: DataFrame, hot_rows: int = HOT_ROWS, rounds: int = 64) ->
     roots = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
                         .select("node", F.least("node", "root").alias("root")))
     nodes = roots.count()
-    for _ in range(rounds):
+    while True:
         near = (
             both.join(roots, both["a"] == roots["node"])
             .groupBy("b").agg(F.min("root").alias("near"))
@@ -82,7 +82,6 @@ def _components(edges: DataFrame, hot_rows: int = HOT_ROWS, rounds: int = 64) ->
         roots = step.select("node", "root")
         if not changed:
             return roots
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def density_cluster(

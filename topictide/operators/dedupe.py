@@ -42,8 +42,20 @@ def dedupe_posts(
     key: str = "weibo_id",
     order: Iterable[str] = ("keyword_id",),
 ) -> DataFrame:
-    """One row per post and day, the one of the smallest keyword id."""
-    return first_per_key(posts, [day, key], order)
+    """One row per post and day, the one of the smallest keyword id.
+
+    Ids are compared by their numbers, so 2 comes before 10 and 2022-9 before
+    2022-10. Ties go to the smallest of all other columns.
+    """
+    by = [part for name in order for part in _by_numbers(name)]
+    rest = [name for name in posts.columns if name not in {day, key, *order}]
+    return first_per_key(posts, [day, key], by + rest)
+
+
+def _by_numbers(name: str) -> list[Column]:
+    """Sort keys of an id: its first two numbers, then its text."""
+    numbers = F.regexp_extract_all(F.col(name).cast("string"), F.lit(r"(\d+)"), F.lit(1))
+    return [F.get(numbers, i).try_cast("decimal(38,0)") for i in (0, 1)] + [F.col(name)]
 
 
 def distinct_posts(posts: DataFrame) -> DataFrame:
@@ -55,16 +67,20 @@ def topic_ids(topics: DataFrame, day: str = "date", text: str = "text") -> DataF
     """Add ``month`` and ``id``, a running ``year-n`` by day and text.
 
     Rows are numbered within their day and shifted by the sizes of the earlier
-    days of the year, so no task sorts more than the topics of one day.
+    days of the year, so no task sorts more than the topics of one day. Topics
+    without a date stay, with a null month and id.
     """
     dated = topics.withColumn("month", month_of(day)).withColumn("_year", year_of(day))
     sizes = dated.groupBy("_year", day).agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy("_year").orderBy(day).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    shifts = sizes.select(day, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"))
+    before = F.coalesce(F.sum("_size").over(earlier), F.lit(0))
+    shifts = sizes.select(F.col(day).alias("_day"), before.alias("_shift"))
     within = Window.partitionBy(day).orderBy(text)
-    numbered = dated.withColumn("_n", F.row_number().over(within)).join(shifts, day)
-    return numbered.withColumn(
+    numbered = dated.withColumn("_n", F.row_number().over(within)).join(
+        shifts, F.col(day).eqNullSafe(F.col("_day"))
+    )
+    return numbered.drop("_day").withColumn(
         "id", F.concat("_year", F.lit("-"), (F.col("_n") + F.col("_shift")).cast("string"))
     ).select(*topics.columns, "month", "id")

@@ -13,8 +13,8 @@ from topictide.operators.match import SCAN_TERMS, match_terms
 
 
 def _known_terms(dictionary: DataFrame) -> DataFrame:
-    """One row per term with the qualities it belongs to."""
-    return dictionary.groupBy("term").agg(F.sort_array(F.collect_set("kid")).alias("kids"))
+    """One row per term with the qualities it belongs to; an empty term is none."""
+    return dictionary.where(F.col("term") != "").groupBy("term").agg(F.sort_array(F.collect_set("kid")).alias("kids"))
 
 
 def _bounded_terms(dictionary: DataFrame) -> list[tuple[str, list[str]]] | None:

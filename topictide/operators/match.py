@@ -60,7 +60,7 @@ def _anchors_of(words: DataFrame, term: str, length: int) -> DataFrame:
 def _places(text: str, terms: list[str]) -> Column:
     """Places in the list, from 0, of the terms inside the text."""
     known = F.array(*[F.struct(F.lit(place).alias("place"), F.lit(value).alias("term"))
-                      for place, value in enumerate(terms)])
+                      for place, value in enumerate(terms) if value])
     hits = F.filter(known, lambda entry: F.contains(F.col(text), entry["term"]))
     return F.transform(hits, lambda entry: entry["place"])
 
@@ -187,7 +187,7 @@ def extract_posts(
         posts = parse_posts(lines, keep=("dt", "_places"))
         posts = posts.withColumn("keyword_id", F.explode("_places"))
     else:
-        rows = [(value, place) for place, value in enumerate(second)]
+        rows = [(value, place) for place, value in enumerate(second) if value]
         terms = lines.sparkSession.createDataFrame(rows, "_term STRING, keyword_id INT")
         hits = match_terms(lines, terms, "value", "_term")
         posts = parse_posts(hits, keep=("dt", "keyword_id"))

@@ -18,7 +18,9 @@ GROUP_LIMIT = 1000  # the rank up to which Spark limits groups before the shuffl
 
 def key_digest(key: Iterable[str], *salts: object) -> Column:
     """Digest of a row key: a fixed pseudo-random order, the same under any partitioning."""
-    parts = [F.lit(str(salt)) for salt in salts] + [F.col(name).cast("string") for name in key]
+    # a null part keeps its place, so (null, a) and (a, null) differ
+    values = [F.coalesce(F.col(name).cast("string"), F.lit("\0")) for name in key]
+    parts = [F.lit(str(salt)) for salt in salts] + values
     return F.md5(F.concat_ws("|", *parts))
 
 
@@ -73,7 +75,7 @@ def smallest_digests(
         .where((F.col("_upto") >= F.col("_quota"))
                & (F.col("_upto") - F.col("_n") < F.col("_quota")))
         .select(
-            F.col(name),
+            F.col(name).alias("_group"),
             F.col("_bucket").alias("_last"),
             (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_rest"),
         )
@@ -82,7 +84,7 @@ def smallest_digests(
     taken = (
         rows.withColumn("_digest", digest)
         .withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS))
-        .join(broadcast_if_small(last), name)
+        .join(broadcast_if_small(last), F.col(name).eqNullSafe(F.col("_group")))
         .where(F.col("_bucket") <= F.col("_last"))
     )
     within = Window.partitionBy(name, "_bucket").orderBy("_digest", *key)

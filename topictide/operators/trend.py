@@ -40,7 +40,7 @@ def daily_term_counts(
     Days count if they are logged and have posts, or, with
     ``all_logged_days``, if they are logged.
     """
-    quality_of = {word: quality for quality, words in terms.items() for word in words}
+    quality_of = {word: quality for quality, words in terms.items() for word in words if word}
     rows = posts
     if originals_only:
         rows = rows.where(F.col("is_retweet") == "0")

@@ -42,13 +42,21 @@ def keyword_trends(
     return daily_term_counts(child_posts(posts, child_terms), logged, terms)
 
 
-def trend_tables(daily: DataFrame, logged: DataFrame) -> dict[str, DataFrame]:
-    """The trend tables by month and year, by keyword and quality, and the yearly mix."""
+# Fixed value: the year that the study leaves out of the mix for its faulty data.
+FAULTY_YEARS = ("2018",)
+
+
+def trend_tables(
+    daily: DataFrame, logged: DataFrame, left_out: Iterable[str] = FAULTY_YEARS
+) -> dict[str, DataFrame]:
+    """The trend tables by month and year, by keyword and quality, and the yearly mix.
+
+    ``left_out`` names years that do not count in the mix.
+    """
     tables = {
         f"{grain}_{by}": term_trend(daily, logged, grain, by)
         for grain in ("month", "year")
         for by in ("keyword", "quality")
     }
-    # Fixed value: the year left out of the mix for its faulty data.
-    tables["year_quality_share"] = share_within(tables["year_quality"], exclude=["2018"])
+    tables["year_quality_share"] = share_within(tables["year_quality"], exclude=list(left_out))
     return tables

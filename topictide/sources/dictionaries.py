@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topictide import schemas
+from topictide.functions.text import strip
 
 LIST_MARK = "、"
 
@@ -29,11 +30,18 @@ def dictionary_frame(spark: SparkSession, dictionary: dict) -> DataFrame:
 
 
 def dictionary_terms(entries: DataFrame) -> DataFrame:
-    """One row per quality and distinct term; a term in both lists counts as a synonym."""
+    """One row per quality and distinct term; a term in both lists counts as a synonym.
+
+    A missing list is empty, and empty terms are none.
+    """
+    synonyms, antonyms = (
+        F.filter(F.coalesce(name, F.array().cast("array<string>")), lambda t: t != "")
+        for name in ("synonyms", "antonyms")
+    )
     terms = F.array_union(
-        F.transform("synonyms", lambda t: F.struct(t.alias("term"), F.lit("synonym").alias("p"))),
+        F.transform(synonyms, lambda t: F.struct(t.alias("term"), F.lit("synonym").alias("p"))),
         F.transform(
-            F.array_except("antonyms", "synonyms"),
+            F.array_except(antonyms, synonyms),
             lambda t: F.struct(t.alias("term"), F.lit("antonym").alias("p")),
         ),
     )
@@ -54,7 +62,9 @@ def build_dictionary(spark: SparkSession, path: str, header: bool = True) -> Dat
         rows = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
     table = _whole_text(spark, path).select(F.posexplode(rows).alias("pos", "line"))
     parsed = table.select(
-        "pos", F.from_csv("line", "keyword STRING, synonyms STRING, antonyms STRING").alias("r")
+        "pos", F.from_csv(
+            "line", "keyword STRING, synonyms STRING, antonyms STRING", {"escape": '"'}
+        ).alias("r")
     )
     return parsed.select(
         (F.col("pos") + 1).cast("string").alias("kid"),
@@ -80,9 +90,11 @@ def read_stopwords(spark: SparkSession, path: str, trim: bool = True) -> DataFra
     """Distinct stop words as ``word``; a missing file is an empty list."""
     try:
         lines = spark.read.text(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "word STRING")
-    word = F.trim("value") if trim else F.col("value")
+    word = strip("value") if trim else F.col("value")
     return lines.select(word.alias("word")).distinct()
 
 

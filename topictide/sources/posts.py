@@ -1,6 +1,8 @@
 """Raw posts in their three layouts: JSON, tab separated and quoted CSV."""
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,16 +39,19 @@ def with_any_term(lines: DataFrame, terms: Iterable[str], column: str = "value")
 
 
 def _json_post() -> Column:
-    return F.from_json(F.get(F.split(strip("value"), "\t"), 1), schemas.POST_JSON)
+    """``post, keys``: the fields, and the names that the line has, with a value or with null."""
+    text = F.get(F.split(strip("value"), "\t"), 1)
+    return F.struct(
+        F.from_json(text, schemas.POST_JSON).alias("post"), F.json_object_keys(text).alias("keys")
+    )
 
 
 def _positional_post(fields: Column) -> Column:
     long_enough = F.size(fields) >= schemas.POST_MIN_FIELDS
-    return F.when(
-        long_enough,
-        F.struct(*[F.get(fields, schemas.POST_POSITIONS[name]).alias(name)
-                   for name in schemas.POST_FIELDS]),
-    )
+    post = F.struct(*[F.get(fields, schemas.POST_POSITIONS[name]).alias(name)
+                      for name in schemas.POST_FIELDS])
+    keys = F.array(*[F.lit(name) for name in schemas.POST_FIELDS])
+    return F.when(long_enough, F.struct(post.alias("post"), keys.alias("keys")))
 
 
 def _tsv_post() -> Column:
@@ -58,13 +63,15 @@ def _csv_post() -> Column:
 
 
 def _parse(lines: DataFrame, post: Column, keep: Iterable[str]) -> DataFrame:
-    def complete(fields: Column) -> Column:
-        present = fields["r_weibo_content"].isNotNull() | (fields["is_retweet"] == "0")
-        for name in schemas.POST_COLUMNS:
-            present = present & fields[name].isNotNull()
-        return present
-
-    posts = lines.select(*keep, F.explode(only_if(post, complete)).alias("post"))
+    def complete(found: Column) -> Column:
+        # A key may hold null, but it must be there; a repost needs its reposted text.
+        has = {name: F.coalesce(F.array_contains(found["keys"], name), F.lit(False))
+               for name in schemas.POST_FIELDS}
+        reposted = has["r_weibo_content"] | (found["post"]["is_retweet"] == "0")
+        return reduce(and_, (has[name] for name in schemas.POST_COLUMNS), reposted)
+
+    found = lines.select(*keep, F.explode(only_if(post, complete)).alias("found"))
+    posts = found.select(*keep, F.col("found.post").alias("post"))
     content = full_content("post.weibo_content", "post.r_weibo_content", "post.is_retweet")
     return posts.select(
         *keep,
@@ -89,10 +96,16 @@ def parse_posts_csv(lines: DataFrame, keep: Iterable[str] = ("dt",)) -> DataFram
 
 
 def parse_posts(lines: DataFrame, keep: Iterable[str] = ("dt",)) -> DataFrame:
-    """Posts of ``value, dt`` lines in the layout of their day, in one scan for all layouts."""
-    day = F.col("dt")
+    """Posts of ``value, dt`` lines in the layout of their day, in one scan for all layouts.
+
+    A line without a day is read in the layout that it shows: an object after the first
+    tab, fields between quotes, or tabs.
+    """
+    day, value = F.col("dt"), strip("value")
     post = (
-        F.when(day == F.lit(CSV_DAY).cast("date"), _csv_post())
+        F.when(day.isNull() & value.rlike(r"^[^\t]*\t\s*\{"), _json_post())
+        .when(day.isNull() & ~value.contains("\t") & value.contains('","'), _csv_post())
+        .when(day == F.lit(CSV_DAY).cast("date"), _csv_post())
         .when(day >= F.lit(FIRST_JSON_DAY).cast("date"), _json_post())
         .otherwise(_tsv_post())
     )

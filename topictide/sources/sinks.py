@@ -42,7 +42,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mark: bool = Fal
         if mark:
             first = df.columns[0]
             df = df.withColumnRenamed(first, BYTE_ORDER_MARK + first)
-        df.write.mode("overwrite").csv(path, header=True)
+        df.write.mode("overwrite").csv(path, header=True, escape='"')
     elif fmt == "json":
         df.write.mode("overwrite").json(path)
     elif fmt == "parquet":

@@ -14,7 +14,7 @@ MISSING_NUMBERS = [
 
 def read_topics(spark: SparkSession, path: str | list[str], header: bool = False) -> DataFrame:
     """Topic rows ``timestamp, date, text, hot, flag``; ``hot`` is null when missing."""
-    raw = spark.read.schema(schemas.TOPIC_CSV).csv(path, header=header)
+    raw = spark.read.schema(schemas.TOPIC_CSV).csv(path, header=header, escape='"')
     return typed_topics(raw)
 
 
@@ -64,5 +64,5 @@ def write_topics_by_month(topics: DataFrame, path: str) -> None:
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("month")
-        .csv(path, header=True)
+        .csv(path, header=True, escape='"')
     )
