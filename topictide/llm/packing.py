@@ -59,7 +59,7 @@ def token_pieces(
     def cut(batches):
         encoder, end, size = word_encoder(tokenizer_path), np.uint32(end_id).astype("<u4").tobytes(), 4 * tokens
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-        for batch in in_slices(batches, 2000):
+        for batch in in_slices(batches, 3000):
             rows = []
             encoded = encoder.encode([text or "" for text in batch.column(1).to_pylist()])
             for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
