@@ -1,5 +1,4 @@
 import math
-from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -30,39 +29,68 @@ def frame(spark):
     return spark.createDataFrame(rows, "id LONG, embedding ARRAY<FLOAT>, truth INT").repartition(6)
 
 
-def connected_by_cells(cells, min_size):
-    """Clusters restated: union of points over all cells with enough points."""
-    members = defaultdict(list)
-    for key, cell in cells:
-        members[cell].append(key)
-    parent = {}
-
-    def root(x):
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for keys in members.values():
-        if len(keys) >= min_size:
-            for key in keys:
-                a, b = root(keys[0]), root(key)
-                parent[max(a, b)] = min(a, b)
-    return {key: root(key) if key in parent else -1 for key, _ in cells}
-
-
-@pytest.mark.parametrize("width,hot", [(2.0, 10**6), (2.0, 50), (0.15, 10**6)])
-def test_density_clusters_equal_brute_force(frame, width, hot):
+def connected_by_distance(points, eps, min_size):
+    """All pairs: core points within eps of each other are one cluster; None beside them."""
+    x = np.array(points, float)
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= eps
+    core = near.sum(1) >= min_size
+    label = {}
+    for i in np.flatnonzero(core):
+        if i in label:
+            continue
+        todo = [i]
+        while todo:
+            j = todo.pop()
+            if j not in label:
+                label[j] = i
+                todo += list(np.flatnonzero(near[j] & core))
+    return label
+
+
+@pytest.mark.parametrize("eps,hot", [(2.0, 10**6), (2.0, 50), (0.5, 10**6)])
+def test_density_clusters_equal_all_pairs(frame, eps, hot):
+    got = {r.id: r.prediction for r in cluster.density_cluster(
+        frame, eps=eps, min_size=10, hot_rows=hot).collect()}
+    known = connected_by_distance(blobs()[0], eps, 10)
+    assert got == {i: known.get(i, -1) for i in got}
+    assert set(got.values()) > {-1} and len(set(got.values())) == 4
+
+
+def test_far_points_of_one_cell_are_no_cluster(spark):
+    rng = np.random.default_rng(3)
+    points = rng.normal(0, 1, (300, 64))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    near = points[:12] * 0.001 + points[0]
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate([*points, *near])]
+    rows += [(900, None), (901, [1.0]), (902, [float("nan")] * 64), (903, [])]
+    df = spark.createDataFrame(rows, "id LONG, embedding ARRAY<DOUBLE>")
+    # a side so wide that one cell of a table holds nearly all points
+    for side in (None, 60.0):
+        got = {r.id: r.prediction for r in cluster.density_cluster(
+            df, eps=0.6, min_size=10, tables=8, side=side).collect()}
+        assert len(got) == len(rows)
+        if side is None:
+            found = {i for i in got if got[i] != -1}
+            assert found == {0, *range(300, 312)} and {got[i] for i in found} == {0}
+        else:
+            assert set(got.values()) == {-1}
+    empty = cluster.density_cluster(df.where("false"))
+    assert empty.count() == 0
+
+
+def test_distances_close_every_chain(spark):
+    """No cluster joins parts farther apart than eps, and copies are one cluster."""
+    rng = np.random.default_rng(4)
+    points = [*rng.uniform(0, 30, (400, 2)), *([np.array([50.0, 50.0])] * 300)]
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)],
+                               "id LONG, embedding ARRAY<DOUBLE>")
     got = {r.id: r.prediction for r in cluster.density_cluster(
-        frame, width=width, min_size=10, hot_rows=hot).collect()}
-    cells = [tuple(r) for r in cluster._cells(frame, "id", "embedding", width, 4, 6, 42).collect()]
-    assert got == connected_by_cells(cells, 10)
-    if width == 2.0:
-        truth = {r.id: r.truth for r in frame.select("id", "truth").collect()}
-        pairs = Counter((truth[i], got[i]) for i in got)
-        assert len(pairs) == 4 and pairs[-1, -1] == 10
-        for label in set(got.values()) - {-1}:
-            assert label == min(i for i in got if got[i] == label)
+        df, eps=1.5, min_size=5, tables=24, hashes=2, side=2.0, hot_rows=100).collect()}
+    known = connected_by_distance(points, 1.5, 5)
+    assert {got[i] for i in range(400, 700)} == {400}
+    clustered = [i for i in got if got[i] != -1]
+    assert clustered and set(clustered) <= set(known)
+    assert len({(got[i], known[i]) for i in clustered}) == len({got[i] for i in clustered})
 
 
 def test_long_chains_settle(spark):
@@ -82,6 +110,9 @@ def test_scores(frame):
     row = cluster.calinski_harabasz(frame, label="truth").first()
     assert (row.points, row.clusters) == (n, k)
     assert math.isclose(row.score, (between / (k - 1)) / (within / (n - k)), rel_tol=1e-6)
+    far = frame.selectExpr("transform(embedding, x -> double(x) + 1e6) embedding", "truth")
+    assert math.isclose(cluster.calinski_harabasz(far, label="truth").first().score, row.score,
+                        rel_tol=1e-3)
     assert 0.5 < cluster.silhouette(frame, label="truth") <= 1
     assert cluster.silhouette(frame.where("truth = 0"), label="truth") is None
 

@@ -1,14 +1,18 @@
 """Clusters of embedding vectors and their scores.
 
-``density_cluster`` compares no pairs of points. Every point falls into one
-cell per table of random projections; cells with enough points are dense, and
-dense cells that share a point belong together. The work grows with the
-number of points, also where a third of them are copies in one cell.
+``density_cluster`` compares no pairs of points. Cells of random projections
+only propose groups; what counts is the distance to the mean of a cell. Points
+within half of ``eps`` of it are all neighbours of each other, so ``min_size``
+of them are core points and belong together, and balls that share a point are
+one cluster. The work grows with the number of points, also where a third of
+them are copies in one cell.
 """
 
+import hashlib
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import BucketedRandomProjectionLSH, StringIndexer
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -17,6 +21,8 @@ from pyspark.sql import functions as F
 from topictide.lineage import HOT_ROWS, cut_lineage, split_join
 
 NOISE = -1
+# Components count in steps of one over this number when points are put into cells.
+SCALE = 1 << 20
 
 
 def _in_cluster(label: str) -> Column:
@@ -30,24 +36,53 @@ def _vectors(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("_features", array_to_vector(doubles))
 
 
+def signs(hashes: int, size: int, seed: object) -> list[list[int]]:
+    """The random directions: 1 or -1 for each place, read off the bits of digests."""
+    def bits(h: int) -> str:
+        blocks = (hashlib.md5(f"{seed}/{h}/{i}".encode()).digest() for i in range(size // 128 + 1))
+        return "".join(f"{byte:08b}" for block in blocks for byte in block)
+
+    return [[1 if bit == "1" else -1 for bit in bits(h)[:size]] for h in range(hashes)]
+
+
 def _cells(
-    df: DataFrame, key: str, vector: str, width: float, tables: int, hashes: int, seed: int
+    df: DataFrame, key: str, vector: str, side: float, tables: int, hashes: int, seed: object
 ) -> DataFrame:
-    """``key, cell``: one cell per point and table."""
-    model = BucketedRandomProjectionLSH(
-        inputCol="_features", outputCol="_hashes", bucketLength=width,
-        numHashTables=tables * hashes, seed=seed,
-    ).fit(_vectors(df, vector).limit(1))
-    hashed = model.transform(_vectors(df, vector).select(key, "_features"))
+    """``key, cell``: one cell per point and table. Whole numbers, so that sums are exact.
 
-    def cell(table: int):
-        places = [
-            vector_to_array(F.get("_hashes", table * hashes + i))[0].cast("bigint").cast("string")
-            for i in range(hashes)
-        ]
-        return F.concat_ws("_", F.lit(str(table)), *places)
+    Vectors that are null, hold null or infinite parts, or are longer or shorter than the
+    first have no cell.
+    """
+    first = df.where(F.size(vector) > 0).select(F.size(vector)).first()
+    directions = signs(tables * hashes, first[0] if first else 0, seed)
+    known = F.lit([directions[t * hashes:(t + 1) * hashes] for t in range(tables)])
+    width = round(side * SCALE)
+
+    def place(whole: Column, direction: Column, h: Column) -> Column:
+        parts = F.zip_with(whole, direction, lambda x, sign: x * sign)
+        total = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, b: a + b)
+        # Each direction has its own shift of the grid.
+        return F.floor((total + h.cast("bigint") * width / (tables * hashes)) / width)
 
-    return hashed.select(key, F.explode(F.array(*[cell(t) for t in range(tables)])).alias("cell"))
+    def cell(whole: Column, table: Column, t: Column) -> Column:
+        places = F.transform(table, lambda direction, i: place(whole, direction, t * hashes + i))
+        return F.aggregate(
+            places, t.cast("string"), lambda name, x: F.concat(name, F.lit("_"), x.cast("string"))
+        )
+
+    # Whole numbers are made once per point: as the one entry of an array, bound by a lambda.
+    wholes = F.array(
+        F.transform(vector, lambda x: F.round(x.cast("double") * SCALE).try_cast("bigint"))
+    )
+    cells = F.flatten(F.transform(
+        wholes, lambda whole: F.transform(known, lambda table, t: cell(whole, table, t))
+    ))
+    return df.select(key, F.explode(cells).alias("cell")).where(F.col("cell").isNotNull())
+
+
+def _distance(a: Column, b: Column) -> Column:
+    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda x, y: x + y))
 
 
 def _components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -88,29 +123,54 @@ def density_cluster(
     df: DataFrame,
     key: str = "id",
     vector: str = "embedding",
-    width: float = 1.0,
+    eps: float = 1.0,
     min_size: int = 10,
-    tables: int = 4,
+    tables: int = 8,
     hashes: int = 6,
-    seed: int = 42,
+    side: float | None = None,
+    seed: object = 42,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``key, prediction``: the smallest key of the point's cluster, or -1 for noise.
 
-    ``width`` is the side of a cell along each random direction: points nearer
-    than that tend to share a cell. A cell is dense with ``min_size`` points;
-    a cluster is all points linked through dense cells.
+    ``min_size`` points of a cell within ``eps / 2`` of the cell's mean form a
+    ball: any two of them are within ``eps``. With r as the ball's radius, each
+    point within ``eps - r`` of the mean is a neighbour of the whole ball and
+    thus a core point as well. Clusters are the balls linked by shared points,
+    so no link joins points that lack a chain of distances up to ``eps``. Core
+    points that share no cell with enough neighbours stay noise; more ``tables``
+    make that rarer. ``side`` is the side of a cell along each direction
+    (default ``4 * eps``, in sums of signed components). Points without a usable
+    vector are noise. ``key`` identifies a point.
     """
-    cells = cut_lineage(_cells(df, key, vector, width, tables, hashes, seed))
-    dense = (
-        cells.groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("head"))
-        .where(F.col("n") >= min_size)
-        .select("cell", "head")
+    cells = cut_lineage(_cells(df, key, vector, side or 4 * eps, tables, hashes, seed))
+    rows = cells.count()
+    full = (
+        cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= min_size).select("cell")
     )
     # A cell may hold any part of the points: heavy cells are joined map-side.
+    members = split_join(cells, full, "cell", hot_rows=hot_rows, rows=rows)
+    points = df.select(key, F.transform(vector, lambda x: x.cast("double")).alias("_point"))
+    placed = cut_lineage(members.join(points, key))
+    means = placed.groupBy("cell").agg(
+        vector_to_array(Summarizer.mean(array_to_vector("_point"))).alias("_mean")
+    )
+    far = split_join(placed, means, "cell", hot_rows=hot_rows, rows=rows).select(
+        key, "cell", _distance(F.col("_point"), F.col("_mean")).alias("_far")
+    )
+    far = cut_lineage(far.where(F.col("_far") <= eps))
+    inside = F.col("_far") <= eps / 2
+    balls = (
+        far.groupBy("cell").agg(F.count_if(inside).alias("n"),
+                                F.max(F.when(inside, F.col("_far"))).alias("_radius"))
+        .where(F.col("n") >= min_size).select("cell", "_radius")
+    )
+    near = split_join(far, balls, "cell", hot_rows=hot_rows, rows=rows)
+    near = cut_lineage(near.where(F.col("_far") <= eps - F.col("_radius")).select(key, "cell"))
+    named_balls = near.groupBy("cell").agg(F.min(key).alias("head"))
     heads = cut_lineage(
-        split_join(cells, dense, "cell", hot_rows=hot_rows, rows=cells.count())
+        split_join(near, named_balls, "cell", hot_rows=hot_rows, rows=rows)
         .groupBy(key)
         .agg(F.min("head").alias("head"), F.collect_set("head").alias("heads"))
     )
@@ -158,7 +218,8 @@ def calinski_harabasz(
     """``points, clusters, score``: scatter between over scatter within; noise is a cluster.
 
     One grouping leaves a mean, a variance and a count per cluster; the rest is
-    arithmetic on clusters times dimensions.
+    arithmetic on clusters times dimensions. Means are held against the mean of all
+    points, so nothing cancels where they lie far from the origin.
     """
     stats = _vectors(df, vector).groupBy(label).agg(
         Summarizer.metrics("mean", "variance", "count").summary(F.col("_features")).alias("s")
@@ -168,13 +229,16 @@ def calinski_harabasz(
         F.posexplode(F.arrays_zip(vector_to_array("s.mean").alias("m"),
                                   vector_to_array("s.variance").alias("v"))).alias("d", "x"),
     )
-    parts = cells.groupBy("d").agg(
+    cells = cut_lineage(cells)
+    middle = cells.groupBy("d").agg(
+        (F.sum(F.col("n") * F.col("x.m")) / F.sum("n")).alias("_middle")
+    )
+    off = F.col("x.m") - F.col("_middle")
+    parts = cells.join(middle, "d").groupBy("d").agg(
         F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("n"),
         F.sum(F.col("x.v") * (F.col("n") - 1)).alias("within"),
-        (F.sum(F.col("n") * F.col("x.m") * F.col("x.m"))
-         - F.sum(F.col("n") * F.col("x.m")) * F.sum(F.col("n") * F.col("x.m")) / F.sum("n"))
-        .alias("between"),
+        F.sum(F.col("n") * off * off).alias("between"),
     )
     sums = parts.agg(
         F.max("n").alias("points"), F.max("k").alias("clusters"),

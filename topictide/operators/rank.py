@@ -18,10 +18,22 @@ GROUP_LIMIT = 1000  # the rank up to which Spark limits groups before the shuffl
 
 def key_digest(key: Iterable[str], *salts: object) -> Column:
     """Digest of a row key: a fixed pseudo-random order, the same under any partitioning."""
-    # a null part keeps its place, so (null, a) and (a, null) differ
-    values = [F.coalesce(F.col(name).cast("string"), F.lit("\0")) for name in key]
-    parts = [F.lit(str(salt)) for salt in salts] + values
-    return F.md5(F.concat_ws("|", *parts))
+    return _digest([F.lit(str(salt)) for salt in salts], key)
+
+
+def _digest(salts: list[Column], key: Iterable[str]) -> Column:
+    # A null part keeps its place, and a bar inside a part is doubled, so different keys differ.
+    values = [
+        F.coalesce(F.replace(F.col(name).cast("string"), F.lit("|"), F.lit("||")), F.lit("\0"))
+        for name in key
+    ]
+    return F.md5(F.concat_ws("|", *salts, *values))
+
+
+def draw_digest(key: Iterable[str], seed: object, draw: Column) -> Column:
+    """The digest of a row key for one numbered draw."""
+    numbered = F.concat_ws("|", F.lit(str(seed)), draw.cast("string"))
+    return _digest([numbered], key)
 
 
 def first_digests(
@@ -80,15 +92,18 @@ def smallest_digests(
             (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_rest"),
         )
     )
-    # One row per group, measured before it is broadcast. Pass 2 then filters map-side.
+    # One row per group, measured before it is broadcast. Pass 2 then filters map-side, and
+    # only the bucket where the pick ends is shuffled and numbered.
     taken = (
         rows.withColumn("_digest", digest)
         .withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS))
         .join(broadcast_if_small(last), F.col(name).eqNullSafe(F.col("_group")))
-        .where(F.col("_bucket") <= F.col("_last"))
     )
-    within = Window.partitionBy(name, "_bucket").orderBy("_digest", *key)
-    numbered = taken.withColumn("_place", F.row_number().over(within))
-    return numbered.where(
-        (F.col("_bucket") < F.col("_last")) | (F.col("_place") <= F.col("_rest"))
-    ).select(*df.columns)
+    below = taken.where(F.col("_bucket") < F.col("_last"))
+    within = Window.partitionBy(name).orderBy("_digest", *key)
+    ending = (
+        taken.where(F.col("_bucket") == F.col("_last"))
+        .withColumn("_place", F.row_number().over(within))
+        .where(F.col("_place") <= F.col("_rest"))
+    )
+    return below.select(*df.columns).unionByName(ending.select(*df.columns))

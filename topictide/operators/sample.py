@@ -2,19 +2,22 @@
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topictide.functions.rules import contains_any
+from topictide.lineage import broadcast_if_small
+from topictide.operators.dedupe import first_per_key
+from topictide.operators.match import match_terms
 from topictide.operators.rank import (
     GROUP_LIMIT,
+    draw_digest,
     first_digests,
-    key_digest,
     smallest_digests,
 )
 
-# Up to this many draws are separate aggregates of one pass over the rows.
-DRAWS_IN_COLUMNS = 50
+# Draws per pass over the rows, each a minimum of its own.
+DRAWS_PER_PASS = 50
 
 
 def sample_per_group(
@@ -23,27 +26,38 @@ def sample_per_group(
     """``min(n, size)`` draws with replacement per group, as rows with their ``draw`` number.
 
     Draw j of a group is the row with the smallest digest of (seed, j, key):
-    every row is equally likely and draws are independent. Minima combine
-    map-side, so a group of any size reaches the reducer as one row per task.
+    every row is equally likely and draws are independent. ``key`` identifies a
+    row. Only whole numbers are aggregated, in a hash table and map-side, so a
+    group of any size reaches the reducer as one row per task; the drawn rows
+    are then found again by their digests in a second pass that moves no data.
     """
     key = list(key)
-    row = F.struct(*df.columns)
-    if n <= DRAWS_IN_COLUMNS:
-        draws = [F.min_by(row, key_digest(key, seed, j)).alias(f"_d{j}") for j in range(1, n + 1)]
-        picked = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"), *draws)
-        drawn = F.array(*[F.struct(F.lit(j).alias("draw"), F.col(f"_d{j}").alias("row"))
-                          for j in range(1, n + 1)])
-        rows = picked.select("_size", F.explode(drawn).alias("d")).select("_size", "d.*")
-    else:
-        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"),
-                                   *[F.col(name).cast("string") for name in key]))
-        rows = (
-            df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
-            .groupBy(group, "draw")
-            .agg(F.count(F.lit(1)).alias("_size"), F.min_by(row, digest).alias("row"))
-            .select("_size", "draw", "row")
-        )
-    return rows.where(F.col("draw") <= F.col("_size")).select("draw", "row.*")
+    picked = None
+    for start in range(1, n + 1, DRAWS_PER_PASS):
+        part = range(start, min(start + DRAWS_PER_PASS, n + 1))
+        least = [F.min(_number(key, seed, F.lit(j))).alias(f"_d{j}") for j in part]
+        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"), *least)
+        draws = F.array(*[F.struct(F.lit(j).alias("draw"), F.col(f"_d{j}").alias("_least"))
+                          for j in part])
+        drawn = sizes.select(F.col(group).alias("_group"), "_size", F.explode(draws).alias("d"))
+        drawn = drawn.select("_group", "d.*").where(F.col("draw") <= F.col("_size"))
+        picked = drawn if picked is None else picked.unionByName(drawn)
+    # At most n rows per group, measured before they are broadcast.
+    wanted = broadcast_if_small(picked.groupBy("_group").agg(
+        F.map_from_entries(F.collect_list(F.struct("draw", "_least"))).alias("_draws")
+    ))
+    rows = df.join(wanted, F.col(group).eqNullSafe(F.col("_group")))
+    hits = F.filter(
+        F.map_entries("_draws"), lambda e: e["value"] == _number(key, seed, e["key"])
+    )
+    found = rows.withColumn("draw", F.explode(F.transform(hits, lambda e: e["key"])))
+    # Two keys of one digest are a tie: the smaller key is drawn.
+    return first_per_key(found, [group, "draw"], key).select("draw", *df.columns)
+
+
+def _number(key: list[str], seed: object, draw: Column) -> Column:
+    """The leading 60 bits of the digest of (seed, draw, key) as a whole number."""
+    return F.conv(F.substring(draw_digest(key, seed, draw), 1, 15), 16, 10).cast("bigint")
 
 
 def sample_proportional(
@@ -80,9 +94,29 @@ def sample_matching(
 ) -> DataFrame:
     """``n`` rows per group that hold the term (or any of the terms); all of them if fewer."""
     words = [terms] if isinstance(terms, str) else list(terms)
-    matching = df.where(contains_any(text, words))
+    return _first_n(df.where(contains_any(text, words)), key, n, group, seed)
+
+
+def sample_each_term(
+    df: DataFrame,
+    terms: Iterable[str],
+    key: Iterable[str],
+    n: int = 300,
+    text: str = "weibo_content",
+    group: str = "dt",
+    seed: object = 0,
+) -> DataFrame:
+    """``n`` rows per group and term that hold the term, with the ``term``; all of them if fewer.
+
+    A row of several terms may be drawn once for each. The pick of a term is that of
+    ``sample_matching`` with this term alone.
+    """
+    hits = match_terms(df, terms, text, "term")
+    both = hits.withColumn("_both", F.struct(group, "term"))
+    return _first_n(both, key, n, "_both", seed).drop("_both")
+
+
+def _first_n(df: DataFrame, key: Iterable[str], n: int, group: str, seed: object) -> DataFrame:
     if n <= GROUP_LIMIT:
-        return first_digests(matching, group, key, n, seed)
-    return smallest_digests(
-        matching, group, key, lambda size, _: F.least(size, F.lit(n)), seed
-    )
+        return first_digests(df, group, key, n, seed)
+    return smallest_digests(df, group, key, lambda size, _: F.least(size, F.lit(n)), seed)
