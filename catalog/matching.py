@@ -30,7 +30,7 @@ for _name in ("match_terms", "match_terms_anchor"):
 def _vocabulary(spark, folder):
     words = table(spark, folder, "benchmark").select(
         F.explode(F.split("text", "[ \n.,]+")).alias("term")
-    ).where(F.length("term") >= 6)
+    ).where(F.col("term") != "")
     docs = texts(spark, folder).select("doc_id", "text")
     return match.match_terms(docs, words).select("doc_id", "term")
 
@@ -40,7 +40,7 @@ ORACLES["match_vocabulary"] = """
     SELECT doc_id, term FROM documents, (
         SELECT DISTINCT term FROM (
           SELECT unnest(regexp_split_to_array(text, '[ \n.,]+')) AS term FROM benchmark)
-        WHERE length(term) >= 6) t
+        WHERE term <> '') t
     WHERE contains(text, term)"""
 
 QUERIES["match_passages"] = lambda spark, folder: match.match_terms(
@@ -109,19 +109,30 @@ ORACLES["extract_posts"] = f"""
         SELECT 1 FROM (VALUES {sql_rows([(t,) for t in FIRST])}) f(a) WHERE contains(line, a))"""
 
 
-def _topic_posts(spark, folder):
-    topics = month_topics(spark, folder).where(F.col("month").startswith("2001"))
-    months = topics.withColumn("month", F.lit("2022-01")).select("month", "text").distinct()
-    return match.extract_topic_posts(
-        json_lines(spark, folder), months.withColumn("id", F.col("text"))
-    ).select("keyword_id", "weibo_id", "weibo_content")
+def _dated_lines(spark, folder):
+    """JSON lines on days over six and a half years of that layout, by conversation."""
+    number = F.split("value", "-")[0].cast("int")
+    return json_lines(spark, folder).withColumn(
+        "dt", F.date_add(F.lit("2021-01-01").cast("date"), number % 2400)
+    )
+
 
+def _later_topics(spark, folder):
+    """The topics of months, 26 years on."""
+    year = (F.substring("month", 1, 4).cast("int") + 26).cast("string")
+    return month_topics(spark, folder).withColumn(
+        "month", F.concat(year, F.substring("month", 5, 3))
+    )
 
-QUERIES["extract_topic_posts"] = _topic_posts
+
+QUERIES["extract_topic_posts"] = lambda spark, folder: match.extract_topic_posts(
+    _dated_lines(spark, folder), _later_topics(spark, folder)
+).select("keyword_id", "weibo_id", "weibo_content")
 ORACLES["extract_topic_posts"] = f"""
-    SELECT DISTINCT term AS keyword_id,
+    SELECT DISTINCT month || '/' || term AS keyword_id,
            CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS weibo_id,
            content AS weibo_content
     FROM ({_LINE_SQL}) c
-    JOIN (SELECT DISTINCT term FROM ({MONTH_TOPICS_SQL}) WHERE month LIKE '2001%') t
-      ON contains(c.line, t.term)"""
+    JOIN ({MONTH_TOPICS_SQL}) t ON contains(c.line, t.term)
+      AND strftime(DATE '2021-01-01' + CAST(conv_id % 2400 AS INTEGER), '%Y-%m')
+          = CAST(CAST(t.month[:4] AS INTEGER) + 26 AS VARCHAR) || t.month[5:]"""

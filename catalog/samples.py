@@ -6,6 +6,7 @@ from catalog.tables import TOPICS_SQL, table
 from catalog.topics import flagged
 from topictide.functions import month_of
 from topictide.operators import sample
+from topictide.operators.dedupe import hottest_per_text
 
 QUERIES, ORACLES = {}, {}
 
@@ -54,3 +55,28 @@ ORACLES["sample_matching"] = """
       SELECT source, doc_id, row_number() OVER (PARTITION BY source
         ORDER BY md5('0|' || CAST(doc_id AS VARCHAR))) AS n
       FROM documents WHERE contains(text, 'tion')) WHERE n <= 20"""
+
+QUERIES["sample_each_term"] = lambda spark, folder: sample.sample_each_term(
+    table(spark, folder, "documents"), ["tion", "ation", "heit"], ["doc_id"], n=20, text="text",
+    group="source",
+).select("source", "term", "doc_id")
+ORACLES["sample_each_term"] = """
+    SELECT source, term, doc_id FROM (
+      SELECT source, term, doc_id, row_number() OVER (PARTITION BY source, term
+        ORDER BY md5('0|' || CAST(doc_id AS VARCHAR))) AS n
+      FROM documents, (VALUES ('tion'), ('ation'), ('heit')) t(term)
+      WHERE contains(text, term)) WHERE n <= 20"""
+
+
+def _hottest_draws(spark, folder):
+    return sample.sample_per_group(
+        hottest_per_text(
+            flagged(spark, folder).where("flag = 1").withColumn("month", month_of("date"))
+        ), "month", ["timestamp"], 10, seed=7,
+    ).select("month", "draw", "timestamp", "text")
+
+
+QUERIES["sample_hottest_per_group"] = _hottest_draws
+ORACLES["sample_hottest_per_group"] = _draws_sql(10).replace(f"({TOPICS_SQL})", f"""(
+    SELECT * FROM ({TOPICS_SQL}) WHERE flag = 1 AND hot IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY month, text ORDER BY hot DESC, ts) = 1)""")

@@ -171,7 +171,7 @@ ORACLES["vocabulary_word_counts"] = f"""
 
 def _counted_vocabulary(spark, folder):
     words = table(spark, folder, "benchmark").select(
-        F.explode(word_tokens("text", min_length=5)).alias("word")
+        F.explode(word_tokens("text")).alias("word")
     ).distinct()
     return _renamed(vocabulary.vocabulary_counts(texts(spark, folder), words, by=["lang"]))
 
@@ -181,8 +181,7 @@ ORACLES["vocabulary_match_counts"] = r"""
     SELECT lang, word, CAST(sum((length(text) - length(replace(text, word, ''))) // length(word))
            AS BIGINT) AS cnt
     FROM documents, (SELECT DISTINCT word FROM (
-        SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS word FROM benchmark)
-      WHERE length(word) >= 5) w
+        SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS word FROM benchmark)) w
     WHERE contains(text, word) GROUP BY lang, word"""
 
 

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from topictide import schemas
 from topictide import terms as fixed
 from topictide.operators import dedupe, match
 
@@ -85,7 +86,7 @@ def test_extract_posts(spark, monkeypatch):
     for limit in (match.SCAN_TERMS, 3):
         monkeypatch.setattr(match, "SCAN_TERMS", limit)
         got = match.extract_posts(lines, fixed.CHILD_TERMS, fixed.EXTRACTION_TERMS)
-        assert got.columns == match.post_columns()
+        assert got.columns == ["dt", *schemas.EXTRACTED_COLUMNS]
         shown = got.select("keyword_id", "weibo_id", "weibo_content").collect()
         assert sorted(map(tuple, shown)) == expected
 
@@ -133,3 +134,17 @@ def test_topic_ids_run_through_the_year(spark):
         ("2020-1", "z", "2020-01"), ("2020-2", "b", "2020-01"), ("2020-3", "a", "2020-03"),
         ("2021-1", "q", "2021-01"),
     ]
+
+
+def test_blocks_share_the_rows_of_one_term(spark, rows):
+    """One term holds nearly all rows of the table: each block gets its part."""
+    terms = spark.createDataFrame(
+        [("alpha", i) for i in range(2000)] + [("beta", 1)], "term STRING, item LONG"
+    )
+    anchored = match._Anchored(terms, "term", 500)
+    block = F.pmod(F.xxhash64("term", "item"), F.lit(anchored.blocks))
+    sizes = [r["count"] for r in terms.groupBy(block.alias("b")).count().collect()]
+    assert len(sizes) == anchored.blocks and max(sizes) <= 500
+    texts = spark.createDataFrame([(1, "an alpha"), (2, "none")], "id LONG, text STRING")
+    found = match.match_terms(texts, terms, block_rows=500)
+    assert rows(found, "id", "item") == sorted([(1, i) for i in range(2000)], key=str)

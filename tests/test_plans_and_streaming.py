@@ -92,7 +92,7 @@ def posts(folder):
     return str(folder)
 
 
-def test_keyword_trend_plan(spark, tmp_path):
+def test_keyword_trend_plan(spark, tmp_path, plan):
     path, root = posts(tmp_path / "posts"), str(tmp_path / "days")
     extract_days(spark, path, root, "2020-01-01", "2020-12-31")
     extract_days(spark, path, root, "2020-01-01", "2020-12-31")
@@ -104,6 +104,9 @@ def test_keyword_trend_plan(spark, tmp_path):
     daily = keyword_trends(extracted, logged)
     tables = trend_tables(daily, logged)
     assert len(tables) == 5
+    # The feed and the posts were read before: no table scans a file again.
+    for made in (logged, *tables.values()):
+        assert "FileScan" not in plan(made) and "Scan text" not in plan(made)
     by_word = sum(r.frequency for r in tables["month_keyword"].collect())
     by_quality = sum(r.frequency for r in tables["month_quality"].collect())
     assert by_word == by_quality > 0

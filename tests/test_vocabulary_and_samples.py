@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from topictide.functions import word_tokens
 from topictide.lineage import split_join
 from topictide.operators import rank, sample, vocabulary
+from topictide.operators.rank import key_digest
 
 
 def test_word_counts_and_frequency(spark):
@@ -124,3 +125,20 @@ def test_split_join_equals_a_join(spark):
         for hot in (10, 50, 10_000):
             got = split_join(big, small, "k", how, hot_rows=hot)
             assert sorted(map(tuple, got.collect())) == expected
+
+
+def test_draws_use_hash_tables_and_keys_stay_apart(spark, plan, rows):
+    df = spark.createDataFrame(
+        [(None, "a", 1), ("a", None, 1), ("a|", "b", 1), ("a", "|b", 1)]
+        + [(str(i), None, None) for i in range(30)], "k STRING, l STRING, g LONG")
+    digests = df.select(key_digest(["k", "l"]).alias("d"))
+    assert digests.distinct().count() == df.count()
+    drawn = sample.sample_per_group(df, "g", ["k", "l"], 60, seed=3)
+    sizes = {r.g: r["count"] for r in drawn.groupBy("g").count().collect()}
+    assert sizes == {1: 4, None: 30}  # the null group has its draws as well
+    assert "SortAggregate" not in plan(drawn)
+    each = sample.sample_each_term(df, ["a", "1"], ["k", "l"], 2, text="k", group="g")
+    assert rows(each.groupBy("g", "term").count()) == sorted(
+        [(1, "a", 2), (None, "1", 2)], key=str)
+    large = sample.sample_each_term(df, ["a", "1"], ["k", "l"], 1001, text="k", group="g")
+    assert large.count() == df.where("contains(k, 'a') or contains(k, '1')").count()

@@ -30,6 +30,9 @@ LONGEST_ANCHOR = 8
 # Up to this many terms, the pieces of a text are tested against all anchors
 # before they become rows.
 INLINE_TERMS = 20_000
+INLINE_BYTES = 8 * 1024 * 1024
+# Blocks are hashed, so their mean stays this much below the bound.
+BLOCK_MARGIN = 1.25
 
 
 def _pieces(column: Column, length: int) -> Column:
@@ -86,9 +89,9 @@ class _Anchored:
         ).first()
         length = min(shortest or 1, LONGEST_ANCHOR)
         self.inline = None
-        if 0 < words <= INLINE_TERMS:
-            # Few words: one task finds the anchors and the driver hands them on as literals.
-            local = _anchors_of(known.select(term).distinct().coalesce(1), term, length).collect()
+        if 0 < words <= INLINE_TERMS and size <= INLINE_BYTES:
+            # Few words of bounded bytes: the driver hands their anchors on as literals.
+            local = _anchors_of(known.select(term).distinct(), term, length).collect()
             schema = f"{_name(term)} STRING, _anchor STRING"
             anchors = F.broadcast(terms.sparkSession.createDataFrame(local, schema))
             self.inline = sorted({row["_anchor"] for row in local})
@@ -99,8 +102,10 @@ class _Anchored:
         self.known = known.join(anchors, term)
         self.lengths = sorted(lengths) or [1]
         # Term tables beyond the broadcast bound are split into blocks below it, one
-        # map-side pass over the texts per block; every term is in exactly one block.
-        self.blocks = max(1, math.ceil(rows / block_rows), math.ceil(size / BROADCAST_MAX_BYTES))
+        # map-side pass over the texts per block; every row is in exactly one block. Rows
+        # are spread by all their columns, so a term of many rows is in all blocks.
+        full = max(rows / block_rows, size / BROADCAST_MAX_BYTES)
+        self.blocks = 1 if full <= 1 else math.ceil(full * BLOCK_MARGIN)
 
     def candidates(self, text: str) -> Column:
         """Distinct pieces of a text that may be anchors, as an array."""
@@ -121,7 +126,7 @@ class _Anchored:
         for block in range(self.blocks):
             part = self.known
             if self.blocks > 1:
-                part = part.where(F.pmod(F.xxhash64(self.term), F.lit(self.blocks)) == block)
+                part = part.where(F.pmod(F.xxhash64(*self.columns), F.lit(self.blocks)) == block)
             # A short term is its own anchor and needs no look at the text.
             hits = cut.join(F.broadcast(part), ["_anchor", *on]).where(
                 (F.col("_anchor") == F.col(self.term))
@@ -234,8 +239,3 @@ def extract_topic_posts(
         hits = anchored.verify(cut, "value", ["_month"])
         posts = parse_posts(hits, keep=("dt", "keyword_id"))
     return distinct_posts(posts)
-
-
-def post_columns() -> list[str]:
-    """Columns of an extracted post with its day."""
-    return ["dt", *schemas.EXTRACTED_COLUMNS]

@@ -22,11 +22,11 @@ def key_digest(key: Iterable[str], *salts: object) -> Column:
 
 
 def _digest(salts: list[Column], key: Iterable[str]) -> Column:
-    # A null part keeps its place, and a bar inside a part is doubled, so different keys differ.
-    values = [
-        F.coalesce(F.replace(F.col(name).cast("string"), F.lit("|"), F.lit("||")), F.lit("\0"))
-        for name in key
-    ]
+    # A null part keeps its place, and bars inside a part are escaped, so different keys differ.
+    escaped = (
+        F.regexp_replace(F.col(name).cast("string"), r"([\\|])", r"\\$1") for name in key
+    )
+    values = [F.coalesce(part, F.lit("\0")) for part in escaped]
     return F.md5(F.concat_ws("|", *salts, *values))
 
 

@@ -5,6 +5,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from topictide import terms as fixed
+from topictide.lineage import cut_lineage
 from topictide.operators.counts import line_counts
 from topictide.operators.match import extract_posts
 from topictide.operators.trend import child_posts, daily_term_counts, share_within, term_trend
@@ -28,8 +29,8 @@ def extract_days(
 def count_days(
     spark: SparkSession, path: str | list[str], start: str | None = None, end: str | None = None
 ) -> DataFrame:
-    """Raw lines per day of the post files."""
-    return line_counts(read_lines(spark, path, start, end))
+    """Raw lines per day of the post files, counted now and stored: one row per day."""
+    return cut_lineage(line_counts(read_lines(spark, path, start, end)))
 
 
 def keyword_trends(
@@ -51,8 +52,10 @@ def trend_tables(
 ) -> dict[str, DataFrame]:
     """The trend tables by month and year, by keyword and quality, and the yearly mix.
 
+    The daily counts are stored first, so the posts are read once for all tables.
     ``left_out`` names years that do not count in the mix.
     """
+    daily, logged = cut_lineage(daily), cut_lineage(logged)
     tables = {
         f"{grain}_{by}": term_trend(daily, logged, grain, by)
         for grain in ("month", "year")

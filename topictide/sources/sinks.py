@@ -6,8 +6,14 @@ from pyspark.sql import functions as F
 BYTE_ORDER_MARK = chr(0xFEFF)
 
 
-def write_texts_by_key(df: DataFrame, path: str, key: str | list[str], text: str) -> None:
-    """One folder of text lines per key; line breaks inside a text become blanks."""
+def write_texts_by_key(
+    df: DataFrame, path: str, key: str | list[str], text: str, keep_others: bool = False
+) -> None:
+    """One folder of text lines per key; line breaks inside a text become blanks.
+
+    A rerun replaces the whole set, so keys that no longer exist are gone.
+    ``keep_others`` replaces only the keys at hand, as for one year of many.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     line = F.regexp_replace(text, r"[\r\n]+", " ").alias("value")
     (
@@ -15,7 +21,7 @@ def write_texts_by_key(df: DataFrame, path: str, key: str | list[str], text: str
         .select(*keys, line)
         .hint("rebalance", *keys)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "dynamic" if keep_others else "static")
         .partitionBy(*keys)
         .text(path)
     )
