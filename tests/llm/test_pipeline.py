@@ -32,3 +32,18 @@ def test_edges(spark):
         for _, stage in pipeline.STAGES:
             docs = saved(stage(spark, docs, ""))
         assert docs.count() >= 0
+
+
+def test_near_copies_by_five_words(docs):
+    base = [f"w{i}" for i in range(110)]
+    grams = lambda words: {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    alike = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    changed = lambda new, *at: [f"{new}{i}" if i in at else w for i, w in enumerate(base)]
+    longer, shorter, few, many = base + [f"more{i}" for i in range(16)], base[:-16], changed("new", 30, 70), changed("other", 20, 50, 80)
+    assert [round(alike(base, x), 2) for x in (longer, shorter, few, many)] == [0.87, 0.85, 0.83, 0.75]
+    slight = [f"v{i}" for i in range(105)]
+    slighter = [f"new{i}" if i in (30, 70) else w for i, w in enumerate(slight)]
+    assert round(alike(slight, slighter), 2) == 0.82
+    rows = docs([(i, " ".join(words)) for i, words in enumerate([base, longer, shorter, few, many, slight, slighter])])
+    kept = pipeline.keep_one_of_alike(None, rows, "").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 4, 5]
