@@ -127,6 +127,19 @@ def test_templates_of_a_site_go(spark):
     assert html_text.extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    body = "<html><body class=n{i}><div><p>Own text {i} of this page.</p></div><div><p>Second part {i}.</p></div></body></html>"
+    article = "<html><body><div>Visit {i}</div><article><p>One story.</p><p>Its end.</p></article></body></html>"
+    pages = [(i, f"http://a.example/{i}", body.format(i=7)) for i in range(5)]
+    pages += [(i, f"http://b.example/{i}", body.format(i=max(i, 20))) for i in range(10, 30)]
+    pages += [(i, f"http://c.example/{i}", article.format(i=i)) for i in range(30, 40)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_main_text(frame).collect()}
+    assert all(got[i] == "Own text 7 of this page.\nSecond part 7." for i in range(5))
+    assert all(got[i] == f"Own text {max(i, 20)} of this page.\nSecond part {max(i, 20)}." for i in range(10, 30))
+    assert all(got[i] == "One story.\nIts end." for i in range(30, 40))
+
+
 def brute_search(vectors, k=5):
     sound = [(i, np.floor(256 * np.array(v, float))) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []

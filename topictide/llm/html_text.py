@@ -5,8 +5,9 @@ each host, on how many pages a subtree stands; one that recurs across many pages
 is template and is deleted, with the elements that are no article by their tag or class.
 What is left of the article (of the page, where none is marked) is the text.
 
-Prose inside a marked article is never taken for template: articles that a site shows under
-many addresses stay whole. There, only recurring subtrees made of links go.
+Pages whose text is the same before templates go count as one page, so a page or an article
+that a site shows under many addresses stays whole. In a marked article only recurring
+subtrees made of links go.
 """
 
 from __future__ import annotations
@@ -167,11 +168,6 @@ def parse(html: str) -> tuple[list, list[Element]]:
     return events, elements
 
 
-def subtree_hashes(html: str) -> list[int]:
-    """Distinct hashes of the page's block subtrees with text."""
-    return list({e.digest for e in parse(html)[1] if e.chars and e.tag in BLOCKS and e.tag not in ("html", "body")})
-
-
 def _dropped(node: Element) -> bool:
     return node.tag in DROPPED or "hidden" in node.words or not DROPPED_WORDS.isdisjoint(node.words)
 
@@ -194,7 +190,10 @@ def _roots(elements: list[Element]) -> list[Element]:
 
 def main_text(html: str, templates: frozenset = frozenset()) -> str:
     """Blocks of the main text, joined by line feeds."""
-    events, elements = parse(html)
+    return _rendered(*parse(html), templates)
+
+
+def _rendered(events: list, elements: list[Element], templates: frozenset = frozenset()) -> str:
     roots = _roots(elements)
     marked = bool(roots)
     blocks: list[str] = []
@@ -234,16 +233,23 @@ def main_text(html: str, templates: frozenset = frozenset()) -> str:
     return "\n".join(blocks)
 
 
+def page_hashes(html: str) -> tuple[int, list[int]]:
+    """A hash of the page's text with its templates, and those of its block subtrees with text."""
+    events, elements = parse(html)
+    content = xxhash.xxh3_64_intdigest(_rendered(events, elements).encode("utf-8", "surrogatepass")) - (1 << 63)
+    return content, list({e.digest for e in elements if e.chars and e.tag in BLOCKS and e.tag not in ("html", "body")})
+
+
 def host_of(url):
     """Host of an address, lower case and without port; empty if there is none."""
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
 def site_templates(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """One row per host with template subtrees: host and their hashes."""
-    hashes = per_text(lambda html: (subtree_hashes(html),), "h array<long>")
-    listed = pages.select(host_of(F.col("url")).alias("host"), hashes(F.col("html")).h.alias("h"))
-    found = listed.select("host", F.explode(F.concat(F.col("h"), F.array(F.lit(None).cast("long")))).alias("hash"))
+    """One row per host with template subtrees: host and their hashes. Pages are told apart by text."""
+    hashes = per_text(page_hashes, "content long, h array<long>")
+    listed = pages.select(host_of(F.col("url")).alias("host"), hashes(F.col("html")).alias("p")).select("host", "p.*")
+    found = listed.select("host", "content", F.explode(F.concat(F.col("h"), F.array(F.lit(None).cast("long")))).alias("hash")).distinct()
     counts = found.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))  # the null hash counts the pages
     counts = saved(counts.where((F.col("n") >= least_pages) | F.col("hash").isNull()))
     totals = counts.where(F.col("hash").isNull()).select("host", F.col("n").alias("pages"))
@@ -255,7 +261,7 @@ def extract_main_text(pages: DataFrame, share: float = SHARE, least_pages: int =
     """``pages`` with ``text`` and ``n_chars``, without ``html``.
 
     A null or empty html has an empty text; a null or odd address belongs to a host without
-    name. Repeated rows count as pages of their own and get the same text. An empty table
+    name. Repeated rows and other pages of equal text count as one page. An empty table
     gives no rows. Columns named ``text`` or ``n_chars`` are replaced.
     """
     templates = saved(site_templates(pages, share, least_pages))
