@@ -140,6 +140,26 @@ def test_copies_of_a_page_are_no_template(spark):
     assert all(got[i] == "One story.\nIts end." for i in range(30, 40))
 
 
+def test_recurring_parts_of_marked_articles_go(spark):
+    page = "<html><body><article><h1>Story {i}</h1><p>Own text {i}.</p><div class=box><p>Read us each day by mail.</p></div><p>End {i}.</p></article></body></html>"
+    pages = [(i, f"http://a.example/{i}", page.format(i=max(i, 10))) for i in range(40)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_main_text(frame).collect()}
+    assert got == {i: "Story {0}\nOwn text {0}.\nEnd {0}.".format(max(i, 10)) for i in range(40)}
+
+
+def test_words_drop_nothing_around_the_article():
+    inner = "<article><p>The story is told here.</p></article><div class=sidebar>Side</div>"
+    for name in ("site with-sidebar", "layout no-ads", "sidebar-right", "main-form"):
+        assert html_text.main_text(f"<body><div class='{name}'>{inner}</div></body>") == "The story is told here."
+    assert html_text.main_text(f"<body><main><div class='ads-page'>{inner}</div></main></body>") == "The story is told here."
+    comments = "<div class=comments><article><p>A reader.</p></article></div>"
+    assert html_text.main_text(f"<body><main><p>The story is told here.</p>{comments}</main></body>") == "The story is told here."
+    assert html_text.main_text(f"<body><div class='x sidebar-left'>{inner}{comments}</div></body>") == "The story is told here."
+    assert html_text.main_text("<body><div class='site with-sidebar'><p>No mark.</p></div></body>") == "No mark."
+    assert html_text.main_text("<body><div hidden><article>Not seen</article></div><p>Seen</p></body>") == "Seen"
+
+
 def brute_search(vectors, k=5):
     sound = [(i, np.floor(256 * np.array(v, float))) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []

@@ -6,8 +6,8 @@ is template and is deleted, with the elements that are no article by their tag o
 What is left of the article (of the page, where none is marked) is the text.
 
 Pages whose text is the same before templates go count as one page, so a page or an article
-that a site shows under many addresses stays whole. In a marked article only recurring
-subtrees made of links go.
+that a site shows under many addresses stays whole. Subtrees that recur on pages of different
+text go inside marked articles too.
 """
 
 from __future__ import annotations
@@ -36,6 +36,9 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
+LAYOUT = re.compile(r"(?:with|without|no|not|has|have)[^a-z0-9]")
+#: Stands among the words of an element for the attributes that hide it.
+UNSEEN = "@hidden"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -84,9 +87,11 @@ def _words(attrs: str) -> frozenset:
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            found.add("hidden")
+            found.add(UNSEEN)
         elif name in ("class", "id", "role"):
-            found.update(re.split(r"[^a-z0-9]+", value))
+            for token in value.split():
+                # what a layout goes with or without does not name the element itself
+                found.update([token] if LAYOUT.match(token) else re.split(r"[^a-z0-9]+", token))
     return frozenset(found - {""})
 
 
@@ -168,24 +173,62 @@ def parse(html: str) -> tuple[list, list[Element]]:
     return events, elements
 
 
+def _unseen(node: Element) -> bool:
+    return node.tag in DROPPED or UNSEEN in node.words
+
+
 def _dropped(node: Element) -> bool:
-    return node.tag in DROPPED or "hidden" in node.words or not DROPPED_WORDS.isdisjoint(node.words)
+    return _unseen(node) or "hidden" in node.words or not DROPPED_WORDS.isdisjoint(node.words)
+
+
+def _outermost(elements: list[Element], wanted: str, dropped) -> list[Element]:
+    """Outermost articles or main parts that are not in dropped elements."""
+    found, done = [], -1
+    for node in elements:
+        if node.start > done and node.tag not in ("html", "body"):
+            if dropped(node) and node.tag != "head":
+                done = node.end
+            elif node.tag == wanted or wanted == "main" and "main" in node.words:
+                found.append(node)
+                done = node.end
+    return found
+
+
+def _around_largest(elements: list[Element], wanted: str) -> list[Element]:
+    """Marked parts of a page that has them only in elements with a dropped word.
+
+    Words drop no element around the largest part; the others go by them.
+    """
+    parts = _outermost(elements, wanted, _unseen)
+    parts = [p for p in parts if not _dropped(p)] or parts
+    if not parts:
+        return []
+    largest = max(parts, key=lambda p: p.chars)
+    around = {e.start for e in elements if e.start <= largest.start and e.end >= largest.end}
+    return _outermost(elements, wanted, lambda e: _dropped(e) and e.start not in around)
+
+
+def _own_chars(elements: list[Element], root: Element) -> int:
+    """Characters of a part outside its dropped elements."""
+    total, done = root.chars, root.start
+    for node in elements:
+        if done < node.start < root.end and _dropped(node):
+            total, done = total - node.chars, node.end
+    return total
 
 
 def _roots(elements: list[Element]) -> list[Element]:
-    """Outermost marked articles, or else main parts, that are not in dropped elements."""
-    for wanted in ("article", "main"):
-        found, done = [], -1
-        for node in elements:
-            if node.start > done and node.tag not in ("html", "body"):
-                if _dropped(node) and node.tag != "head":
-                    done = node.end
-                elif node.tag == wanted or wanted == "main" and "main" in node.words:
-                    found.append(node)
-                    done = node.end
-        if found:
-            return found
-    return []
+    """Outermost marked articles, or else main parts, that are not in dropped elements.
+
+    Where all articles are in elements with a dropped word, the largest counts, unless a main
+    part has as much text outside such elements (then they are its comments or teasers).
+    """
+    if found := _outermost(elements, "article", _dropped):
+        return found
+    wrapped, main = _around_largest(elements, "article"), _outermost(elements, "main", _dropped)
+    if main and wrapped:
+        return main if sum(_own_chars(elements, m) for m in main) >= max(w.chars for w in wrapped) else wrapped
+    return wrapped or main or _around_largest(elements, "main")
 
 
 def main_text(html: str, templates: frozenset = frozenset()) -> str:
@@ -219,7 +262,7 @@ def _rendered(events: list, elements: list[Element], templates: frozenset = froz
             elif event.tag == "br":
                 line.append(" ")
             if opening and at != first:
-                removable = 2 * event.linked >= event.chars if marked else event.tag not in ("html", "body")
+                removable = event.tag not in ("html", "body")
                 skipped = _dropped(event) and event.tag != "body" or event.tag == "header" and not marked
                 if skipped or removable and event.digest in templates:
                     at = event.end + 1
