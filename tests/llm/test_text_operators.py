@@ -139,6 +139,16 @@ def test_network_on_held_out_findings(spark):
     assert "4f9a1c2be87d305566aa" not in secret_scan.scanner(net, True)(text)[-1]
 
 
+def test_threshold_keeps_the_recall(spark):
+    found = labelled(900, 1)
+    found += [(*row[:3], True) for row in labelled(100, 3) if not row[3]]  # secrets that look like the others
+    net = secret_scan.fit([row[:3] for row in found], np.array([float(row[3]) for row in found]))
+    assert net.threshold < 0.5 and 0 < net.precision < 1
+    held = labelled(300, 2) + [(*row[:3], True) for row in labelled(40, 4) if not row[3]]
+    scores = net.probability([row[:3] for row in held])
+    assert (scores >= net.threshold)[[row[3] for row in held]].mean() >= 0.95
+
+
 def test_no_findings_and_no_rows(docs):
     row = secret_scan.scan_secrets(docs([(1, "plain words only")]), redact=True).first()
     assert row.spans == "" and row.redacted == "plain words only"
