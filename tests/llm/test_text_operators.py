@@ -149,6 +149,39 @@ def test_threshold_keeps_the_recall(spark):
     assert (scores >= net.threshold)[[row[3] for row in held]].mean() >= 0.95
 
 
+def test_every_run_is_a_candidate():
+    middle = "deadbeef" * 4
+    text = f"short aBcdefgh 12345678 lettersonly XY-{middle}_Tail99 end password=abcdefgh12,x"
+    base = secret_scan.base_spans(text)
+    got = [text[a:b] for a, b in secret_scan.other_candidates(text, base)]
+    assert got == ["aBcdefgh", "12345678", "lettersonly", "XY-", "_Tail99"]
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "".join(rng.choice([middle, "AKIA", "A1B2C3D4E5F6G7H8", "token=", "abcd1234", " ", "-", "é"]) for _ in range(10))
+        base = secret_scan.base_spans(text)
+        covered = {i for s, _, e in base for i in range(s, e)}
+        want = {i for m in re.finditer(r"[A-Za-z0-9+/_.=-]{8,}", text) for i in range(*m.span())} - covered
+        parts = secret_scan.other_candidates(text, base)
+        assert {i for a, b in parts for i in range(a, b)} == want and sum(b - a for a, b in parts) == len(want)
+
+
+def test_what_looks_like_a_key_has_no_label():
+    text = "the passphrase: abcdefghij and my key Zy12Xw34Vu56Ts78Rq and ordinarily password=abcdefgh12"
+    assert [row[1] for row in secret_scan.labelled(text) if not row[3]] == ["passphrase", "ordinarily"]
+    long = "ab12" * 40
+    assert len([row for row in secret_scan.labelled(f"secret={long}") if row[3]]) > 1
+
+
+def test_scores_of_a_text_are_those_of_its_windows():
+    net = secret_scan.Network.start(1)
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("aZ09+/é-") for _ in range(rng.randint(1, 150))) for _ in range(300))
+    spans = [p for m in secret_scan.CANDIDATE.finditer(text) for p in secret_scan.places(*m.span())]
+    want = net.probability([w for m in secret_scan.CANDIDATE.finditer(text) for w in secret_scan.windows(text, *m.span())])
+    assert np.allclose(secret_scan.TextScorer(net).probability(text, spans), want, atol=1e-4)
+    assert np.allclose(secret_scan.TextScorer(net).probability("12345678", [(0, 8)]), net.probability([("", "12345678", "")]), atol=1e-4)
+
+
 def test_no_findings_and_no_rows(docs):
     row = secret_scan.scan_secrets(docs([(1, "plain words only")]), redact=True).first()
     assert row.spans == "" and row.redacted == "plain words only"
