@@ -20,11 +20,12 @@ def numbered(
     by: Iterable[str] = (),
     name: str = "n",
     weight: str | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Add ``name``: 1, 2, 3, ... in ``order``, starting anew for each group of ``by``.
 
     With ``weight``, a column of whole numbers, ``name`` is the sum of the weights up to
-    and including the row. Rows that are equal in ``order`` follow the digest of all their
+    and including the row. ``total`` names a column for the last number of the group. Rows that are equal in ``order`` follow the digest of all their
     columns; wholly equal rows are spread over ranges too. Nulls order as Spark orders
     them and form a group of their own. The result is stored, so numbers never change.
     """
@@ -50,6 +51,7 @@ def numbered(
     begins = sizes.select(
         F.col("_range").alias("_r"), *[F.col(g).alias(f"{g}r") for g in groups], "_from",
         F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_size").over(Window.partitionBy(*groups)).alias("_total"),
     )
     same = F.col("_range") == F.col("_r")
     for group in groups:
@@ -61,4 +63,5 @@ def numbered(
         # Within a range and group, whose rows one task holds.
         within = Window.partitionBy("_range", *groups).orderBy("_at")
         number = F.sum("_step").over(within) + F.col("_before")
-    return placed.select(*columns, number.alias(name))
+    last = [] if total is None else [F.col("_total").alias(total)]
+    return placed.select(*columns, number.alias(name), *last)
