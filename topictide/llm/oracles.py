@@ -130,4 +130,121 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
 ) WHERE rank <= 5
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op5_ngram_jaccard_join": OP5, "op9_exact_search": OP9, "op6_chat_formatting": OP6, "op7_mixing_sources": OP7}
+#: CRC-32 of a list of bytes: the table by its polynomial, then one step for each byte.
+CRC_TABLE = """crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+)"""
+
+
+def crc32_of(octets: str) -> str:
+    return f"xor(list_reduce([4294967295::BIGINT] || {octets}, lambda c, b: xor(c >> 8, steps[((xor(c, b) & 255) + 1)])), 4294967295)"
+
+
+#: UTF-8 bytes of letters up to U+00FF that are ASCII or at U+00C0 and beyond.
+OCTETS = "flatten(list_transform(string_split({0}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x) - 64] END))"
+
+OP11 = f"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents
+), marked AS (
+  SELECT run, {crc32_of(OCTETS.format("doc_id::VARCHAR || ':' || run"))} AS h FROM runs, crc WHERE length(run) >= 7
+), words AS (
+  SELECT word, count(*) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM marked
+  ) WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), skipped AS (
+  SELECT word, n, i, left(word, i) AS a, substr(word, i + 2) AS b FROM (SELECT *, unnest(range(0, length(word)))::INT AS i FROM words)
+), pairs AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM skipped x JOIN skipped y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM skipped x JOIN words y ON x.a || x.b = y.word
+  UNION SELECT y.word, x.word, x.n FROM skipped x JOIN words y ON x.a || x.b = y.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS best_n,
+    first(near ORDER BY near_n DESC, near) AS near FROM pairs GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN near END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), ways AS (
+  SELECT word, word AS root FROM forms UNION SELECT s.word, f.form FROM ways s JOIN forms f ON s.root = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, form, s.root, n, n_near, form_n FROM forms f
+JOIN (SELECT s.word, s.root FROM ways s JOIN forms f ON s.root = f.word WHERE f.form IS NULL) s ON s.word = f.word
+"""
+
+OP12 = """
+WITH RECURSIVE sound AS (
+  SELECT row_number() OVER () AS n, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), fit AS (
+  SELECT * FROM sound WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), edges AS (
+  SELECT a.n AS a, b.n AS b FROM fit a JOIN fit b ON a.n <> b.n AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v)) / sqrt(list_inner_product(b.v, b.v)) >= 0.95
+), reach AS (
+  SELECT n AS a, n AS b FROM sound UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
+), parts AS (
+  SELECT r.a, min(s.vec_id) AS component_id FROM reach r JOIN sound s ON r.b = s.n GROUP BY r.a
+), degrees AS (
+  SELECT a, count(*) AS n_links FROM edges GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM sound s JOIN parts p ON s.n = p.a LEFT JOIN degrees d ON s.n = d.a
+"""
+
+#: Levels of a tree that the SQL has; 16 to this power leaves of one source.
+LEVELS = 6
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes of all levels of the trees of a table of tree, i, size and hash: n0, n1, ..."""
+    parts = [f"{name}0 AS ({leaves})"]
+    for level in range(LEVELS):
+        parts.append(f"""{name}{level + 1} AS (
+  SELECT tree, i // 16 AS i, any_value(size) AS size, sha256(string_agg(hash, '' ORDER BY i)) AS hash FROM {name}{level}
+  WHERE size > {16**level} GROUP BY tree, i // 16)""")
+    return ",\n".join(parts)
+
+
+def _ends(name: str) -> str:
+    return " UNION ALL ".join(f"SELECT tree, hash FROM {name}{level} WHERE size <= {16**level}" for level in range(LEVELS + 1))
+
+
+def _ways(name: str, start: str) -> str:
+    """proof (hex of siblings) and folded, level by level, of rows with tree, i, size, folded and proof."""
+    parts = [f"{name}w0 AS ({start})"]
+    for level in range(LEVELS):
+        around = "coalesce((SELECT string_agg(hash, '' ORDER BY n.i) FROM {0}{1} n WHERE n.tree = w.tree AND n.i // 16 = w.i // 16 AND n.i {2} w.i), '')"
+        before, after = around.format(name, level, "<"), around.format(name, level, ">")
+        parts.append(f"""{name}w{level + 1} AS (
+  SELECT w.* EXCLUDE (bef, aft) REPLACE (i // 16 AS i, CASE WHEN size > {16**level} THEN proof || bef || aft ELSE proof END AS proof,
+    CASE WHEN size > {16**level} THEN sha256(bef || folded || aft) ELSE folded END AS folded)
+  FROM (SELECT w.*, {before} AS bef, {after} AS aft FROM {name}w{level} w) w)""")
+    return ",\n".join(parts)
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+OP13 = f"""
+WITH {CRC_TABLE}, docs AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf("text")} AS leaf,
+    CASE WHEN {crc32_of("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 5 = 0
+      THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered
+  FROM documents, crc
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY tree) AS size FROM docs
+), {_tree("n", "SELECT tree, i, size, leaf AS hash FROM leaves")},
+subroots AS ({_ends("n")}),
+{_tree("t", "SELECT 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS size, hash, tree AS source FROM subroots")},
+{_ways("n", "SELECT doc_id, leaf, tree, i, size, coalesce(tampered, leaf) AS folded, '' AS proof FROM leaves")},
+{_ways("t", f"SELECT w.doc_id, w.leaf, t.hash AS subroot, t.tree, t.i, t.size, w.folded, w.proof FROM nw{LEVELS} w JOIN t0 t ON t.source = w.tree")},
+root AS ({_ends("t")})
+SELECT doc_id, leaf, subroot, hash AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = hash AS verified
+FROM tw{LEVELS}, root
+"""
+
+ORACLES = {
+    "op1_quality_rules": OP1, "op5_ngram_jaccard_join": OP5, "op9_exact_search": OP9, "op6_chat_formatting": OP6, "op7_mixing_sources": OP7,
+    "op11_spelling_variants": OP11, "op12_vector_near_dedup": OP12, "op13_merkle_manifest": OP13,
+}

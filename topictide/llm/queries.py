@@ -7,7 +7,8 @@ import functools
 from pyspark.sql import functions as F
 
 from topictide.llm import (
-    chat_format, exact_search, html_text, mixing, ngram_join, packing, quality_model, quality_rules, secret_scan, substring_dedup,
+    chat_format, exact_search, html_text, merkle, mixing, ngram_join, packing, quality_model, quality_rules, secret_scan, spelling, substring_dedup,
+    vector_dedup,
 )
 from topictide.llm.oracles import ORACLES  # noqa: F401
 from topictide.llm.store import reach, table
@@ -68,6 +69,18 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return substring_dedup.drop_repeated_substrings(docs).drop("kept_bytes")
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_near_dedup(spark, sf_dir):
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def _with_path(query):
     """The query, with this repository on the path of Python workers that this session starts."""
 
@@ -84,6 +97,6 @@ QUERIES = {
     for f in (
         op1_quality_rules, op2_best_fit_packing, op3_secret_scans, op4_quality_classifier,
         op5_ngram_jaccard_join, op6_chat_formatting, op7_mixing_sources, op8_html_extraction, op9_exact_search,
-        op10_suffix_array_dedup,
+        op10_suffix_array_dedup, op11_spelling_variants, op12_vector_near_dedup, op13_merkle_manifest,
     )
 }
