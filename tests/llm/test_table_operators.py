@@ -66,6 +66,47 @@ def test_similar_sets_share_a_range_key():
             assert {*ngram_join.range_keys(a).tolist()} & {*ngram_join.range_keys(b).tolist()}
 
 
+@pytest.mark.parametrize("similarity", [(80, 100), (90, 100)])
+def test_sets_right_at_the_threshold_share_a_key(similarity):
+    rng = np.random.default_rng(similarity[0])
+    num, den = similarity
+    seen = 0
+    for trial in range(3000):
+        union = int(rng.integers(1, 600 if trial % 2 else 30))
+        grams = np.unique(rng.integers(0, 1 << 63, union, dtype=np.uint64))
+        differ = len(grams) * (den - num) // den  # as far apart as the threshold allows
+        cut = int(rng.integers(0, differ + 1))
+        out = rng.permutation(len(grams))
+        a, b = np.delete(grams, out[:cut]), np.delete(grams, out[cut:differ])
+        if len(a) and len(b) and differ:
+            seen += 1
+            assert {*ngram_join.range_keys(a, similarity).tolist()} & {*ngram_join.range_keys(b, similarity).tolist()}
+    assert seen > 1500
+
+
+def test_sparse_sets_share_a_key_after_all_cuts(monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEVELS", 0)  # only the fixed order is left
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        grams = np.unique(rng.integers(0, 1 << 63, int(rng.integers(10, 200)), dtype=np.uint64))
+        differ = len(grams) // 5
+        a, b = np.sort(rng.permutation(grams)[: len(grams) - differ]), grams
+        assert {*ngram_join.range_keys(a, (80, 100)).tolist()} & {*ngram_join.range_keys(b, (80, 100)).tolist()}
+
+
+@pytest.mark.parametrize("rows_of", [300, 3000])
+def test_keys_are_few_and_no_key_is_common(rows_of):
+    rng = np.random.default_rng(rows_of)
+    held, grams = {}, 0
+    for _ in range(rows_of):
+        one = np.unique(rng.integers(0, 1 << 63, int(rng.integers(20, 700)), dtype=np.uint64))
+        grams += len(one)
+        for key in ngram_join.range_keys(one, (80, 100)).tolist():
+            held[key] = held.get(key, 0) + 1
+    assert sum(held.values()) <= 0.7 * grams
+    assert max(held.values()) == 1
+
+
 def test_star_contraction(spark):
     rng = random.Random(1)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 400)]

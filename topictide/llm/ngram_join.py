@@ -1,8 +1,8 @@
 """Documents whose word n-gram sets have a high Jaccard similarity, and their components.
 
 Rows of the incidence matrix are the distinct n-gram sets, columns the n-grams by hash. The
-columns of a row are cut into ranges: sets similar enough differ in at most D n-grams, so of
-D + 1 ranges one is the same in both. Rows that share a range meet in a row block, around the
+columns of a row are cut into ranges: sets similar enough differ in at most D n-grams, so
+where D + 1 ranges of one of them hold n-grams, one of these is the same in both. Rows that share a range meet in a row block, around the
 row that shares most; there the sparse product of rows by columns is accumulated, and pairs
 below the bound that their sizes give are discarded. Blocks are bounded: a block with too
 many rows is cut, and its parts meet again for the rows that are not yet in one component.
@@ -11,6 +11,7 @@ many rows is cut, and its parts meet again for the rows that are not yet in one
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ SIMILARITY = (90, 100)
 BLOCK_ROWS = 4096
 #: Word hashes kept in one worker's memo; the memo starts anew beyond it.
 MEMO_WORDS = 100_000
-#: One spare range for so many; and cuts that are tried where too many ranges are empty.
-SPARE, LEVELS = 80, 8
+#: Deviations by which a set's filled ranges shall exceed D; cuts that are tried where they don't.
+MARGIN, LEVELS = 4, 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,35 +61,54 @@ def ngram_set(text: str, n: int = 3) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=None)
-def size_windows(largest: int, similarity: tuple[int, int] = SIMILARITY) -> list[tuple[int, int, int]]:
-    """(first size, last size, ranges) such that any two similar sets share a window."""
+def size_windows(largest: int, similarity: tuple[int, int] = SIMILARITY) -> list[tuple[int, int, int, int]]:
+    """(first size, last size, D, ranges) such that any two similar sets share a window.
+
+    D is the most n-grams in which similar sets of the window differ. There are as many
+    ranges as leave D + 1 of them filled, by ``MARGIN`` deviations, in the window's smallest sets.
+    """
     num, den = similarity
     out, low = [], 1
     while low <= largest:
         following = max(low + 1, low * 135 // 100)
         last = (following - 1) * den // num
-        out.append((low, last, (den - num) * 2 * last // (den + num) + 1))
+        differ = (den - num) * 2 * last // (den + num)
+        ranges = differ + 1
+        while ranges < 4 * low and _filled(low, ranges) < differ + 1:
+            ranges += max(1, ranges // 50)
+        out.append((low, last, differ, ranges))
         low = following
     return out
 
 
+def _filled(size: int, ranges: int) -> float:
+    """Ranges that hold some of ``size`` n-grams: their mean less the margin."""
+    empty = math.exp(-size / ranges)
+    spread = ranges * empty * (1 - (1 + size / ranges) * empty)
+    return ranges * (1 - empty) - MARGIN * math.sqrt(max(spread, 0.0))
+
+
 def range_keys(grams: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
-    """One key for each column range of a set, in each size window that it belongs to.
+    """One key for each filled column range of a set, in each size window that it belongs to.
 
-    With D + 1 + m ranges, similar sets agree on m + 1 at least, and on one that is not
-    empty unless both have more than m empty ones. Such sets are cut once more by another hash.
+    Similar sets agree on all but D ranges, so on a filled one if either has D + 1 of them.
+    A set that has fewer is cut once more by another hash, as is each set that could miss it;
+    after ``LEVELS`` cuts its n-grams first in a fixed order are keys: similar sets share one.
     """
+    num, den = similarity
     size, keys = len(grams), []
-    for w, (low, last, ranges) in enumerate(size_windows(1 << max(4, int(size).bit_length()), similarity)):
-        spare = ranges // SPARE
-        for level in range(LEVELS if low <= size <= last and ranges > 1 else 0):
-            parts, tags = _cut(grams, ranges + spare, w * LEVELS + level)
+    for w, (low, last, differ, ranges) in enumerate(size_windows(1 << max(4, int(size).bit_length()), similarity)):
+        if not low <= size <= last or not differ:  # without differences, only equal sets are similar
+            continue
+        for level in range(LEVELS):
+            parts, tags = _cut(grams, ranges, w * LEVELS + level)
             full = parts != 0
             keys.append(_mix(parts[full] ^ tags[full]))
-            if len(parts) - len(keys[-1]) <= spare:
+            if len(keys[-1]) > differ:
                 break
         else:
-            keys += [tags[:1]] if low <= size <= last and ranges > 1 else []
+            first = np.sort(_mix(grams + np.uint64(w)))[: size - -(-num * size // den) + 1]
+            keys.append(_mix(first))
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
