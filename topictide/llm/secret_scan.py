@@ -2,9 +2,9 @@
 
 Patterns give the base findings. Every other run of eight credential characters or more, and
 what patterns leave of one, is a candidate; a convolutional network reads its characters and
-those around it. The network is trained on labelled findings (here: base findings, also without
-their context, against candidates that no pattern knows and that do not look like keys by
-their context or form; those stay without a label) and calibrated on findings held out from
+those around it. The network is trained on labelled findings (here: base findings, also behind
+ordinary words and written in other alphabets, against candidates that no pattern knows and
+that do not look like keys by their context or form; those stay without a label) and calibrated on findings held out from
 training. Its threshold is the highest that still finds the wanted share of held-out secrets,
 however low; ``precision`` says what share of held-out findings above it are secrets.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topictide.llm.store import saved
-from topictide.llm.texts import in_slices, per_text
+from topictide.llm.texts import in_slices, per_texts
 
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(
@@ -40,6 +40,8 @@ LENGTH = BEFORE + VALUE + AFTER
 #: Findings that training and calibration read, of either label, smallest hash first.
 MAX_FINDINGS = 3000
 RECALL = 0.98
+#: Each step shrinks all weights by so much.
+DECAY = 2e-4
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -162,46 +164,97 @@ class Network:
 
 
 class TextScorer:
-    """The same probabilities for places of a text: a table of each character's part in the convolution."""
+    """The same probabilities for places of texts, with one convolution over each character.
 
-    ROWS = 1024
+    The mark of the run's own characters is one input among others, so it adds a constant
+    to the convolution that depends only on which of a window's columns lie inside. What a
+    text gives without marks is computed once; places add their constants and take maxima.
+    """
+
+    #: Characters convolved together; a longer text alone.
+    CHARS = 1 << 16
+    #: Places whose maxima are taken together.
+    ROWS = 512
 
     def __init__(self, net: Network):
-        self.net, size = net, net.embedding.shape[1] + 1
+        self.net, size, width = net, net.embedding.shape[1] + 1, net.WIDTH
         embedding = np.where(np.arange(128)[:, None] > 0, net.embedding, 0.0)
-        self.tables = []
-        for w in range(net.WIDTH):
-            filters = net.filters[w * size : (w + 1) * size]
-            outside = embedding @ filters[:-1]
-            self.tables.append(np.concatenate([outside, outside + filters[-1]]).astype(np.float32))
+        parts = net.filters.reshape(width, size, -1)
+        self.tables = [(embedding @ part[:-1]).astype(np.float32) for part in parts]
+        # sums[i, j]: columns i to j of a window lie inside
+        upto = np.concatenate([np.zeros((1, parts.shape[2])), np.cumsum(parts[:, -1], axis=0)])
+        self.sums = (upto[None] - upto[:, None]).astype(np.float32)
+        self.bias = net.bias.astype(np.float32)
 
     def probability(self, text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-        if not spans:
-            return np.zeros(0)
-        codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 127).astype(np.int64)
-        first, last = np.array(spans).T
-        order, logit = np.argsort(last - first, kind="stable"), np.zeros(len(spans))
-        for at in range(0, len(spans), self.ROWS):
+        return self.probabilities([text], [spans])[0]
+
+    def probabilities(self, texts: list[str], spans: list[list[tuple[int, int]]]) -> list[np.ndarray]:
+        out, held, size = [], [], 0
+        for text, found in zip(texts, spans, strict=True):
+            if held and size + len(text) > self.CHARS:
+                out += self._some(held)
+                held, size = [], 0
+            held.append((text, found))
+            size += len(text) if found else 0
+        return out + self._some(held)
+
+    def _some(self, held: list[tuple[str, list[tuple[int, int]]]]) -> list[np.ndarray]:
+        gap = np.zeros(LENGTH, np.uint32)
+        codes, starts, at = [gap], [], LENGTH
+        for text, found in held:
+            starts.append(at)
+            if found:
+                codes += [np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), gap]
+                at += len(text) + LENGTH
+        sizes = [len(found) for _, found in held]
+        if not sum(sizes):
+            return [np.zeros(0) for _ in held]
+        places = np.array([(a + start, b + start) for (_, found), start in zip(held, starts, strict=True) for a, b in found])
+        logit = self._logits(np.minimum(np.concatenate(codes), 127).astype(np.int64), places[:, 0], places[:, 1])
+        odds = 1 / (1 + np.exp(-(self.net.scale * logit + self.net.shift)))
+        return np.split(odds, np.cumsum(sizes)[:-1])
+
+    def _logits(self, codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        width = self.net.WIDTH
+        plain = self.tables[0][codes[: len(codes) - width + 1]]
+        for w in range(1, width):
+            plain += self.tables[w][codes[w : len(codes) - width + 1 + w]]
+        plain += self.bias
+        logit, order = np.zeros(len(first)), np.argsort(last - first, kind="stable")
+        for at in range(0, len(first), self.ROWS):
             rows = order[at : at + self.ROWS]
-            logit[rows] = self._logit(codes, first[rows, None], last[rows, None])
-        return 1 / (1 + np.exp(-(self.net.scale * logit + self.net.shift)))
-
-    def _logit(self, codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        net = self.net
-        # beyond the longest window all places are empty alike, so one of them is enough
-        length = min(LENGTH, BEFORE + int((last - first).max()) + AFTER + net.WIDTH)
-        at = first - BEFORE + np.arange(length)
-        known = (at >= 0) & (at < np.minimum(last + AFTER, len(codes)))
-        inside = (at >= first) & (at < last)
-        marked = np.where(known, codes[np.clip(at, 0, len(codes) - 1)], 0) + 128 * inside
-        steps = length - net.WIDTH + 1
-        active = self.tables[0][marked[:, :steps]]
-        for w in range(1, net.WIDTH):
-            active += self.tables[w][marked[:, w : w + steps]]
-        active = np.maximum(active + net.bias.astype(np.float32), 0)
-        mid = inside[:, net.WIDTH // 2 : length - net.WIDTH // 2, None]
-        within, around = (active * mid).max(axis=1), (active * ~mid).max(axis=1)
-        return np.concatenate([within, around], axis=1) @ net.out[:-1] + net.out[-1]
+            logit[rows] = self._maxima(plain, codes, first[rows], last[rows]) @ self.net.out[:-1] + self.net.out[-1]
+        return logit
+
+    def _maxima(self, plain: np.ndarray, codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        width, mid = self.net.WIDTH, self.net.WIDTH // 2
+        # windows all of whose columns the place's characters, or none, are in
+        long = int((last - first).max())
+        at = first[:, None] - mid + np.arange(long)
+        here = at + mid < last[:, None]
+        at = np.where(here, at, at[:, :1])
+        within = plain[at] + self._marks(at, first, last)
+        around = first[:, None] - BEFORE + np.arange(BEFORE - mid)
+        after = last[:, None] - mid + np.arange(AFTER + mid - width + 1)
+        outside = np.concatenate([around, after], axis=1)
+        outside = plain[outside] + self._marks(outside, first, last)
+        best = np.concatenate([within.max(axis=1), outside.max(axis=1)], axis=1)
+        # windows that run out of the characters after the place, as far as the network's input reaches
+        reach, kernels = first + LENGTH - BEFORE - width, len(self.bias)
+        for cut in range(1, width + 1):
+            start = last + AFTER - width + cut
+            value = np.broadcast_to(self.bias, (len(first), kernels)).copy()
+            for w in range(width - cut):
+                value += self.tables[w][codes[start + w]]
+            seen = start <= reach
+            best[seen, kernels:] = np.maximum(best[seen, kernels:], value[seen])
+        return np.maximum(best, 0)
+
+    def _marks(self, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        width = self.net.WIDTH
+        low, high = np.clip(first[:, None] - at, 0, width), np.clip(last[:, None] - at, 0, width)
+        return self.sums[np.minimum(low, high), high]
 
 
 def fit(found: list[tuple[str, str, str]], labels: np.ndarray, epochs: int = 8, seed: int = 7) -> Network:
@@ -221,21 +274,34 @@ def fit(found: list[tuple[str, str, str]], labels: np.ndarray, epochs: int = 8,
             for j, g in enumerate(net.gradients(codes[batch], inside[batch], labels[batch])):
                 first[j], second[j] = 0.9 * first[j] + 0.1 * g, 0.99 * second[j] + 0.01 * g * g
                 move = first[j] / (1 - 0.9**step) / (np.sqrt(second[j] / (1 - 0.99**step)) + 1e-8)
-                setattr(net, names[j], getattr(net, names[j]) - 0.01 * move)
+                setattr(net, names[j], getattr(net, names[j]) * (1 - DECAY) - 0.01 * move)
     logit = np.concatenate([net.forward(codes[i], inside[i])[3] for i in np.array_split(held, max(1, len(held) // 512))])
-    weight = np.where(labels[held] == 1, 0.5 / labels[held].mean(), 0.5 / (1 - labels[held].mean()))
-    for _ in range(25):  # Newton steps for scale and shift, kept near 1 by a small penalty
-        p = 1 / (1 + np.exp(-(net.scale * logit + net.shift)))
-        x, r = np.stack([logit, np.ones_like(logit)]), weight * p * (1 - p)
-        slope = x @ (weight * (p - labels[held])) + 1e-1 * np.array([net.scale - 1, net.shift])
-        net.scale, net.shift = np.array([net.scale, net.shift]) - np.linalg.solve((x * r) @ x.T + 1e-1 * np.eye(2), slope)
-    scores = np.sort(1 / (1 + np.exp(-(net.scale * logit[labels[held] == 1] + net.shift))))
-    net.threshold = float(scores[int((1 - RECALL) * len(scores))])
-    reached = 1 / (1 + np.exp(-(net.scale * logit + net.shift))) >= net.threshold
-    net.precision = float(labels[held][reached].mean())
+    net.scale, net.shift = calibrated(logit, labels[held])
+    odds = net.scale * logit + net.shift
+    secret = labels[held] == 1
+    reach = np.sort(odds[secret])[int((1 - RECALL) * secret.sum())]
+    below = odds[~secret & (odds < reach)]
+    if net.scale > 0 and not (odds[~secret] >= reach).any():  # nothing ordinary up there: halfway down to what is
+        reach = (reach + below.max()) / 2
+    net.threshold = float(1 / (1 + np.exp(-reach)))
+    net.precision = float(secret[odds >= reach].mean())
     return net
 
 
+def calibrated(logit: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of logits by logistic regression on labels kept off 0 and 1, of equal weight either way."""
+    share, n = labels.mean(), len(labels)
+    weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+    aim = np.where(labels == 1, 1 - 1 / (share * n + 2), 1 / ((1 - share) * n + 2))
+    middle, spread = logit.mean(), logit.std() + 1e-9
+    x, at = np.stack([(logit - middle) / spread, np.ones_like(logit)]), np.zeros(2)
+    for _ in range(50):  # Newton steps, none longer than 1
+        p = 1 / (1 + np.exp(-np.clip(at @ x, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))) @ x.T + 1e-3 * np.eye(2), x @ (weight * (p - aim)) + 1e-3 * at)
+        at = at - step / max(1.0, np.abs(step).max())
+    return float(at[0] / spread), float(at[1] - at[0] * middle / spread)
+
+
 FINDING = "rank long, before string, value string, after string, secret boolean"
 
 
@@ -247,8 +313,12 @@ def labelled(text: str) -> list[tuple[str, str, str, bool]]:
     return rows + [(*w, False) for a, b in others for w in windows(text, a, b)]
 
 
+def _rank(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
 def _smallest(most: int):
-    """Kernel over texts: of either label, the distinct findings of the smallest hashes."""
+    """Kernel over texts: of either label, findings of the values of the smallest hashes, one window of each."""
 
     def run(batches):
         kept, bound = ({}, {}), [1 << 64] * 2
@@ -257,16 +327,24 @@ def _smallest(most: int):
             ranks = sorted(kept[label])
             for rank in ranks[most:]:
                 del kept[label][rank]
-            bound[label] = ranks[most - 1] if len(ranks) >= most else 1 << 64
+            bound[label] = ranks[most - 1] + 1 if len(ranks) >= most else 1 << 64
+
+        def keep(rank, row):
+            now = kept[row[3]].get(rank)
+            if now is None or _rank("\0".join(row[:3])) < _rank("\0".join(now[:3])):
+                kept[row[3]][rank] = row
+                if len(kept[row[3]]) >= 2 * most:
+                    prune(row[3])
 
         for batch in in_slices(batches):
             for text in batch.column(0).to_pylist():
-                for row in labelled(text or ""):
-                    rank = xxhash.xxh3_64_intdigest("\x00".join(row[:3]).encode("utf-8", "surrogatepass"))
-                    if rank < bound[row[3]]:
-                        kept[row[3]][rank] = row
-                        if len(kept[row[3]]) >= 2 * most:
-                            prune(row[3])
+                base = base_spans(text := text or "")
+                for place, secret in [*((s[::2], True) for s in base), *((c, False) for c in other_candidates(text, base))]:
+                    for a, b in places(*place):
+                        rank = _rank(text[a:b])
+                        # windows and the test for a key only where the value can be kept
+                        if rank < bound[secret] and (secret or not like_a_key(text, *place, base)):
+                            keep(rank, (text[max(0, a - BEFORE) : a], text[a:b], text[b : b + AFTER], secret))
         prune(0)
         prune(1)
         rows = [(rank - (1 << 63), *row) for part in kept for rank, row in part.items()]
@@ -278,20 +356,77 @@ def _smallest(most: int):
 
 
 def labelled_findings(docs: DataFrame, max_findings: int = MAX_FINDINGS) -> DataFrame:
-    """Distinct findings with the label that the patterns give them: before, value, after, secret.
+    """Findings with the label that the patterns give them, one for each value: before, value, after, secret.
 
-    Of either label those with the smallest hashes, so that no task passes on more.
+    Of either label those with the smallest hashes of their values, so that no task passes on more.
     """
-    found = saved(docs.select(F.col("text").cast("string")).mapInArrow(_smallest(max_findings), FINDING)).dropDuplicates()
+    window = F.struct("before", "after")
+    found = saved(docs.select(F.col("text").cast("string")).mapInArrow(_smallest(max_findings), FINDING))
+    found = found.groupBy("rank", "value", "secret").agg(F.min(window).alias("w")).select("rank", "w.before", "value", "w.after", "secret")
     few = [found.where(F.col("secret") == secret).orderBy("rank", "before", "value", "after").limit(max_findings) for secret in (True, False)]
     return few[0].unionByName(few[1]).drop("rank")
 
 
+#: Alphabets and lengths in which a finding's value is written anew: keys of other services.
+ALPHABETS = {
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "lower": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "word": "abcdefghijklmnopqrstuvwxyz",  # two short words, each with a number after it
+}
+LENGTHS = (14, 16, 20, 28, 36, 44)
+
+
+def rewritten(value: str, kind: str) -> str:
+    """A value of another alphabet for a finding, drawn from the finding's hash; never without a digit."""
+    rng = np.random.default_rng(_rank(f"{kind}:{value}"))
+    letters = ALPHABETS[kind]
+    if kind == "word":
+        return "".join("".join(rng.choice([*letters], rng.integers(4, 8))) + str(rng.integers(1, 999)) for _ in range(2))
+    drawn = rng.choice([*letters], rng.choice(LENGTHS))
+    drawn[rng.choice(len(drawn), 3, replace=False)] = rng.choice([*"0123456789"], 3)
+    return "".join(drawn)
+
+
+def ordinary(value: str, other: str) -> str:
+    """A number, a date, an address, or words joined as in file names and links, for an ordinary run."""
+    rng = np.random.default_rng(_rank(f"ordinary:{value}"))
+    digits = lambda n: "".join(rng.choice([*"0123456789"], n))
+    forms = [
+        digits(rng.integers(8, 20)), f"{digits(4)}-{digits(2)}-{digits(2)}", ".".join(str(rng.integers(1, 256)) for _ in range(4)),
+        f"{value}.{digits(rng.integers(1, 3))}", f"{value}{rng.choice([*'/-_.'])}{other}", f"{digits(3)}-{digits(4)}", value.upper(),
+    ]
+    return forms[rng.integers(len(forms))]
+
+
+def training_rows(rows: list[tuple[str, str, str, bool]], kinds: tuple[str, ...] = tuple(ALPHABETS)) -> list[tuple[str, str, str, bool]]:
+    """Findings, and each secret also behind ordinary words, as it is and written in other alphabets.
+
+    Ordinary runs come once more as numbers or joined words. Rewritten secrets come behind the finding's own key name as well. All rows come once more with less
+    around them, as at the ends of a text. So neither unknown names or forms of keys nor a
+    short text hide a secret.
+    """
+    plain = [(b, a) for b, _, a, secret in rows if not secret] or [("", "")]
+    words = [v for _, v, _, secret in rows if not secret]
+    out = [*rows, *((b, ordinary(v, words[i - 1]), a, False) for i, (b, v, a) in enumerate(r[:3] for r in rows if not r[3]))]
+    for i, (before, value, after, _) in enumerate(row for row in rows if row[3]):
+        cut = re.split(r"([:=]\s*[\"']?)", value, maxsplit=1)
+        bare = cut[-1]
+        for k, new in enumerate([bare, *(rewritten(bare, kind) for kind in kinds)]):
+            head, tail = plain[(i * (len(kinds) + 1) + k) % len(plain)]
+            out.append((head, new, tail, True))
+            out.append(((before + "".join(cut[:-1]))[-BEFORE:], new, after, True))
+    for before, value, after, secret in [*out]:
+        mark = _rank(f"{before}\0{value}")
+        out.append((before[len(before) - mark % (len(before) + 1) :], value, after[: mark // 64 % (len(after) + 1)], secret))
+    return out
+
+
 def train(findings: DataFrame, max_findings: int = MAX_FINDINGS) -> Network:
-    """A network from at most ``max_findings`` findings of either label, chosen by hash.
+    """A network from at most ``max_findings`` findings of either label, chosen by hash, and their rewritten copies.
 
-    A secret also counts without what stands before it, so that unknown key names do not
-    hide it. Without both labels the network adds nothing.
+    Without both labels the network adds nothing.
     """
     findings = saved(findings)
     order = F.xxhash64("before", "value", "after")
@@ -299,9 +434,7 @@ def train(findings: DataFrame, max_findings: int = MAX_FINDINGS) -> Network:
     for secret in (True, False):
         few = findings.where(F.col("secret") == secret).orderBy(order, "before", "value", "after").limit(max_findings)
         rows += [tuple(row) for row in few.collect()]
-    plain = [b for b, *_, secret in rows if not secret] or [""]
-    bare = [(plain[i % len(plain)], re.split(r"[:=]\s*[\"']?", v)[-1], a, True) for i, (b, v, a, s) in enumerate(rows) if s]
-    rows += bare
+    rows = training_rows(rows)
     return fit([row[:3] for row in rows], np.array([float(row[3]) for row in rows]))
 
 
@@ -309,19 +442,11 @@ SCAN = "n_assign long, n_access long, n_hex long, n_model long, base_sha256 stri
 
 
 def scanner(net: Network, redact: bool):
-    """A function of one text that gives the row of ``SCAN``."""
+    """A function of texts that gives their rows of ``SCAN``."""
 
     scorer = TextScorer(net)
 
-    def scan(text: str) -> tuple:
-        base = base_spans(text)
-        found = [(a, b, places(a, b)) for a, b in other_candidates(text, base)] if net.threshold <= 1 else []
-        scores = scorer.probability(text, [p for *_, parts in found for p in parts])
-        added, at = [], 0
-        for a, b, parts in found:
-            if len(scores) and scores[at : at + len(parts)].max() >= net.threshold:
-                added.append((a, 3, b))
-            at += len(parts)
+    def row(text: str, base: list[Span], added: list[Span]) -> tuple:
         clean = None
         if redact:
             pieces, done = [], 0
@@ -334,6 +459,21 @@ def scanner(net: Network, redact: bool):
         digest = hashlib.sha256(joined(base).encode()).hexdigest()
         return (*counts, digest, joined(base + added), clean)
 
+    def scan(texts: list[str]) -> list[tuple]:
+        base = [base_spans(text) for text in texts]
+        found = [[(*c, places(*c)) for c in other_candidates(*x)] if net.threshold <= 1 else [] for x in zip(texts, base, strict=True)]
+        scores = scorer.probabilities(texts, [[p for *_, parts in one for p in parts] for one in found])
+        rows = []
+        for text, spans, candidates, odds in zip(texts, base, found, scores, strict=True):
+            added, at = [], 0
+            reached = (odds >= net.threshold).tolist() if len(odds) and odds.max() >= net.threshold else []
+            for a, b, parts in candidates if reached else ():
+                if any(reached[at : at + len(parts)]):
+                    added.append((a, 3, b))
+                at += len(parts)
+            rows.append(row(text, spans, added))
+        return rows
+
     return scan
 
 
@@ -345,5 +485,7 @@ def scan_secrets(docs: DataFrame, net: Network | None = None, redact: bool = Fal
     they are; an empty table gives no rows. Columns named like those of ``SCAN`` are replaced.
     """
     net = net or train(labelled_findings(docs))
-    out = docs.withColumn("_s", per_text(scanner(net, redact), SCAN)(F.col("text")))
-    return out.withColumns({part.split()[0]: F.col(f"_s.{part.split()[0]}") for part in SCAN.split(", ")}).drop("_s")
+    names = [part.split()[0] for part in SCAN.split(", ")]
+    held = next(f"_s{i}" for i in range(len(docs.columns) + 1) if f"_s{i}" not in docs.columns)
+    out = docs.withColumn(held, per_texts(scanner(net, redact), SCAN)(F.col("text")))
+    return out.withColumns({name: F.col(f"{held}.{name}") for name in names}).drop(held)

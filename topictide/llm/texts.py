@@ -40,12 +40,17 @@ def in_slices(batches: Iterable, rows: int = 500) -> Iterator:
 
 def per_text(function: Callable[[str], tuple], schema: str) -> Callable[[Column], Column]:
     """A column function that maps a text to a struct of ``schema``; a null text counts as empty."""
+    return per_texts(lambda texts: list(map(function, texts)), schema)
+
+
+def per_texts(function: Callable[[list[str]], list[tuple]], schema: str) -> Callable[[Column], Column]:
+    """``per_text`` with a function of some texts at a time."""
     kind = StructType.fromDDL(schema)
     types = [to_arrow_type(field.dataType) for field in kind]
     names = kind.names
 
     def batch(texts: pa.Array) -> pa.Array:
-        rows = [function(text or "") for part in in_slices([texts]) for text in part.to_pylist()]
+        rows = [row for part in in_slices([texts]) for row in function([text or "" for text in part.to_pylist()])]
         columns = zip(*rows, strict=True) if rows else [[] for _ in names]
         arrays = [pa.array(values, kind) for values, kind in zip(columns, types, strict=True)]
         return pa.StructArray.from_arrays(arrays, names=names)
