@@ -16,7 +16,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topictide.llm.graph import components
@@ -228,9 +228,10 @@ def similar_documents(docs: DataFrame, n: int = 3, similarity: tuple[int, int] =
     filled = sets.where(F.col("n_shingles") > 0)
     nodes = saved(filled.groupBy(F.col("sig1").alias("node")).agg(F.min("doc_id").alias("doc_id")))
     spread = filled.select(F.col("sig1").alias("node"), F.explode("keys").alias("key"))
-    ranges = spread.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b"))
-    shared = ranges.where(F.col("_a") != F.col("_b")).select("key")
-    met = saved(spread.join(shared, "key").distinct())
+    # one shuffle of all keys: a key that two sets share stays
+    same = Window.partitionBy("key")
+    ranges = spread.select("node", "key", F.min("node").over(same).alias("_a"), F.max("node").over(same).alias("_b"))
+    met = saved(ranges.where(F.col("_a") != F.col("_b")).select("key", "node").distinct())
     # of the rows that share a range, the one that shares most is the hub of a block
     sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
     weights = met.join(sizes, "key").groupBy("node").agg(F.sum("_n").alias("_w"))
