@@ -6,8 +6,8 @@ from catalog.tables import table
 from topictide.operators import cluster
 
 QUERIES, ORACLES = {}, {}
-# The unit vectors have no close groups: pairs within a wide eps, and the rest is noise.
-EPS, MIN_SIZE, SIDE, TABLES, HASHES, SEED = 1.2, 2, 1.0, 16, 5, 42
+# The unit vectors have no close groups; at this distance there are clusters, border and noise.
+EPS, MIN_SIZE = 1.15, 4
 
 
 def _vectors(spark, folder):
@@ -15,52 +15,29 @@ def _vectors(spark, folder):
 
 
 QUERIES["density_cluster"] = lambda spark, folder: cluster.density_cluster(
-    _vectors(spark, folder), "vec_id", "embedding", EPS, MIN_SIZE, TABLES, HASHES, SIDE, SEED
+    _vectors(spark, folder), "vec_id", "embedding", EPS, MIN_SIZE
 )
-_SIGNS = cluster.signs(TABLES * HASHES, 64, SEED)
-_WIDTH = round(SIDE * cluster.SCALE)
 ORACLES["density_cluster"] = f"""
-    WITH RECURSIVE s AS (
-        SELECT unnest(range({TABLES * HASHES})) AS h, unnest({_SIGNS}) AS signs),
-    p AS (SELECT vec_id, [round(CAST(x AS DOUBLE) * {cluster.SCALE}) FOR x IN embedding]
-                   AS whole FROM embeddings),
-    c AS (SELECT vec_id, h // {HASHES} AS t, string_agg(CAST(CAST(floor(
-                   (list_dot_product(whole, CAST(signs AS DOUBLE[]))
-                    + h * {_WIDTH} / {TABLES * HASHES}) / {_WIDTH}) AS BIGINT) AS VARCHAR), '_'
-                   ORDER BY h) AS places FROM p, s GROUP BY vec_id, t),
-    e AS (SELECT c.*, unnest(range(1, 65)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x
-          FROM c JOIN embeddings USING (vec_id)),
-    m AS (SELECT t, places, d, avg(x) AS m FROM e GROUP BY t, places, d
-          HAVING count(*) >= {MIN_SIZE}),
-    f AS (SELECT e.vec_id, t, places, sqrt(sum((x - m) * (x - m))) AS far
-          FROM e JOIN m USING (t, places, d) GROUP BY e.vec_id, t, places),
-    r AS (SELECT t, places, max(far) AS radius FROM f WHERE far <= {EPS} / 2
-          GROUP BY t, places HAVING count(*) >= {MIN_SIZE}),
-    b AS (SELECT vec_id, t || '/' || places AS ball FROM f JOIN r USING (t, places)
-          WHERE far <= {EPS} - radius),
-    reach(a, z) AS (
-        SELECT DISTINCT vec_id, vec_id FROM b
-        UNION SELECT reach.a, other.vec_id FROM reach JOIN b ON b.vec_id = reach.z
-              JOIN b other ON other.ball = b.ball)
-    SELECT vec_id, coalesce(prediction, -1) AS prediction
-    FROM embeddings LEFT JOIN (SELECT a AS vec_id, min(z) AS prediction FROM reach GROUP BY a)
-      USING (vec_id)"""
-QUERIES["k_cluster"] = lambda spark, folder: cluster.k_cluster(
-    _vectors(spark, folder), 10, "vec_id", "embedding"
-)
-
-
-def _silhouette(spark, folder):
-    score = cluster.silhouette(_vectors(spark, folder), "embedding", "label")
-    return spark.createDataFrame([(score,)], "score DOUBLE").select(
-        F.round("score", 6).alias("score")
-    )
+    WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+             ON list_distance(a.x, b.x) <= {EPS}),
+    core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= {MIN_SIZE}),
+    link AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+    reach(a, z) AS (SELECT a, a FROM core
+                    UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.z),
+    named AS (SELECT a, min(z) AS name FROM reach GROUP BY a),
+    found AS (SELECT near.a, CASE WHEN near.a IN (FROM core)
+                     THEN min(CASE WHEN near.a = near.b THEN name END) ELSE min(name) END AS name
+              FROM near JOIN named ON named.a = near.b GROUP BY near.a)
+    SELECT vec_id, coalesce(name, -1) AS prediction FROM embeddings LEFT JOIN found ON a = vec_id"""
 
 
 _LONG = """
     SELECT vec_id, label, unnest(range(1, 65)) AS d,
            CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings"""
-QUERIES["silhouette"] = _silhouette
+QUERIES["silhouette"] = lambda spark, folder: cluster.silhouette(
+    _vectors(spark, folder), "embedding", "label"
+).select(F.round("score", 6).alias("score"))
 # Mean squared distance to a cluster = |x|^2 + mean |y|^2 - 2 x . mean y.
 ORACLES["silhouette"] = f"""
     WITH e AS ({_LONG}),

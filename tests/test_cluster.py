@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from topictide.operators import cluster
+from topictide.operators.components import connected
+from topictide.operators.density import density_cluster
 
 
 def blobs(seed=0):
@@ -47,56 +49,65 @@ def connected_by_distance(points, eps, min_size):
     return label
 
 
-@pytest.mark.parametrize("eps,hot", [(2.0, 10**6), (2.0, 50), (0.5, 10**6)])
-def test_density_clusters_equal_all_pairs(frame, eps, hot):
-    got = {r.id: r.prediction for r in cluster.density_cluster(
-        frame, eps=eps, min_size=10, hot_rows=hot).collect()}
-    known = connected_by_distance(blobs()[0], eps, 10)
+def labels_by_distance(points, eps, min_size):
+    """Smallest core point of each cluster; border points join the smallest cluster they touch."""
+    x = np.array(points, float)
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= eps
+    core = connected_by_distance(points, eps, min_size)
+    out = dict(core)
+    for i in range(len(points)):
+        touched = [core[j] for j in np.flatnonzero(near[i]) if j in core]
+        if i not in core and touched:
+            out[i] = min(touched)
+    return out
+
+
+@pytest.mark.parametrize("eps,part_rows,cell_rows", [(2.0, 4096, 1024), (2.0, 7, 20), (0.5, 50, 30)])
+def test_density_clusters_equal_all_pairs(frame, eps, part_rows, cell_rows):
+    got = {r.id: r.prediction for r in density_cluster(
+        frame, eps=eps, min_size=10, part_rows=part_rows, cell_rows=cell_rows).collect()}
+    known = labels_by_distance(blobs()[0], eps, 10)
     assert got == {i: known.get(i, -1) for i in got}
     assert set(got.values()) > {-1} and len(set(got.values())) == 4
 
 
-def test_far_points_of_one_cell_are_no_cluster(spark):
+@pytest.mark.parametrize("part_rows,cell_rows", [(4096, 100), (64, 300), (40, 5000)])
+def test_uniform_background_loses_no_core_point(spark, part_rows, cell_rows):
+    """Points all over, two planted groups, and border points between them."""
+    rng = np.random.default_rng(4)
+    points = [*rng.uniform(0, 6, (1500, 2)), *rng.normal(3, 0.05, (60, 2)), *rng.normal(1, 0.05, (60, 2)),
+              *([np.array([50.0, 50.0])] * 300)]
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)],
+                               "id LONG, embedding ARRAY<DOUBLE>").repartition(5)
+    for eps, size in ((0.2, 10), (0.15, 4)):
+        got = {r.id: r.prediction for r in density_cluster(
+            df, eps=eps, min_size=size, part_rows=part_rows, cell_rows=cell_rows).collect()}
+        known = labels_by_distance(points, eps, size)
+        core = connected_by_distance(points, eps, size)
+        assert got == {i: known.get(i, -1) for i in got}
+        assert len(set(known) - set(core)) > 20 and -1 in got.values()
+
+
+def test_high_dimensions_and_unusable_vectors(spark):
     rng = np.random.default_rng(3)
     points = rng.normal(0, 1, (300, 64))
     points /= np.linalg.norm(points, axis=1)[:, None]
     near = points[:12] * 0.001 + points[0]
-    rows = [(i, [float(x) for x in p]) for i, p in enumerate([*points, *near])]
-    rows += [(900, None), (901, [1.0]), (902, [float("nan")] * 64), (903, [])]
-    df = spark.createDataFrame(rows, "id LONG, embedding ARRAY<DOUBLE>")
-    # a side so wide that one cell of a table holds nearly all points
-    for side in (None, 60.0):
-        got = {r.id: r.prediction for r in cluster.density_cluster(
-            df, eps=0.6, min_size=10, tables=8, side=side).collect()}
-        assert len(got) == len(rows)
-        if side is None:
-            found = {i for i in got if got[i] != -1}
-            assert found == {0, *range(300, 312)} and {got[i] for i in found} == {0}
-        else:
-            assert set(got.values()) == {-1}
-    empty = cluster.density_cluster(df.where("false"))
-    assert empty.count() == 0
-
-
-def test_distances_close_every_chain(spark):
-    """No cluster joins parts farther apart than eps, and copies are one cluster."""
-    rng = np.random.default_rng(4)
-    points = [*rng.uniform(0, 30, (400, 2)), *([np.array([50.0, 50.0])] * 300)]
-    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)],
-                               "id LONG, embedding ARRAY<DOUBLE>")
-    got = {r.id: r.prediction for r in cluster.density_cluster(
-        df, eps=1.5, min_size=5, tables=24, hashes=2, side=2.0, hot_rows=100).collect()}
-    known = connected_by_distance(points, 1.5, 5)
-    assert {got[i] for i in range(400, 700)} == {400}
-    clustered = [i for i in got if got[i] != -1]
-    assert clustered and set(clustered) <= set(known)
-    assert len({(got[i], known[i]) for i in clustered}) == len({got[i] for i in clustered})
+    both = [*points, *near]
+    rows = [(f"{i:04}", [float(x) for x in p]) for i, p in enumerate(both)]
+    rows += [("z0", None), ("z1", [1.0]), ("z2", [float("nan")] * 64), ("z3", []), ("z4", [None] * 64)]
+    df = spark.createDataFrame(rows, "id STRING, embedding ARRAY<DOUBLE>")
+    for eps in (0.6, 1.2, 1.3):
+        got = {r.id: r.prediction for r in density_cluster(df, eps=eps, min_size=10, cell_rows=40).collect()}
+        known = labels_by_distance(both, eps, 10)
+        assert got == {k: f"{known[int(k)]:04}" if k[0] != "z" and int(k) in known else "-1" for k, _ in rows}
+    assert density_cluster(df.where("false")).count() == 0
 
 
 def test_long_chains_settle(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501)],
                                   "a LONG, b LONG")
-    roots = {r.node: r.root for r in cluster._components(edges).collect()}
+    roots = {r.node: r.root for r in connected(edges).collect()}
     assert {roots[i] for i in range(101)} == {0} and roots[501] == 500
 
 
@@ -113,13 +124,40 @@ def test_scores(frame):
     far = frame.selectExpr("transform(embedding, x -> double(x) + 1e6) embedding", "truth")
     assert math.isclose(cluster.calinski_harabasz(far, label="truth").first().score, row.score,
                         rel_tol=1e-3)
-    assert 0.5 < cluster.silhouette(frame, label="truth") <= 1
-    assert cluster.silhouette(frame.where("truth = 0"), label="truth") is None
+    assert cluster.silhouette(frame.where("truth = 0"), label="truth").first().score is None
+
+
+def mean_silhouette(x, y):
+    far = ((x[:, None] - x[None]) ** 2).sum(-1)
+    out = []
+    for i, c in enumerate(y):
+        own = y == c
+        if own.sum() == 1:
+            out.append(0.0)
+            continue
+        a = far[i][own].sum() / (own.sum() - 1)
+        b = min(far[i][y == o].mean() for o in set(y) if o != c)
+        out.append(0.0 if a == b else (b - a) / max(a, b))
+    return float(np.mean(out))
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_silhouette_equals_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(cluster, "CLUSTER_BLOCK", block)
+    monkeypatch.setattr(cluster, "POINT_BLOCK", 7)
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (90, 5))
+    y = np.array([f"c{i}" for i in rng.integers(0, 6, 89)] + ["alone"])
+    df = spark.createDataFrame([(p.tolist(), c) for p, c in zip(x, y.tolist(), strict=True)],
+                               "embedding ARRAY<DOUBLE>, prediction STRING")
+    row = cluster.silhouette(df.repartition(3)).first()
+    assert (row.points, row.clusters) == (90, len(set(y)))
+    assert math.isclose(row.score, mean_silhouette(x, y), rel_tol=1e-9)
+
+
 
 
-def test_k_cluster_and_texts(frame):
-    labels = cluster.k_cluster(frame, 3)
-    assert labels.select("prediction").distinct().count() == 3
+def test_texts_of_clusters(frame):
     texts = frame.selectExpr("id", "cast(id as string) text")
     found = cluster.texts_by_cluster(texts, frame.selectExpr("id", "truth prediction"))
     assert found.count() == frame.where("truth <> -1").count()

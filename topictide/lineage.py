@@ -4,6 +4,7 @@ Executors come and go, so anything reused across jobs is written to the shared
 checkpoint folder of the cluster, never kept in executor-local storage.
 """
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,17 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 1_000_000
 
 
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def import_path(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is not installed: in local runs from its folder."""
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if PACKAGE_ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder of ``spark.checkpoint.dir``; a temp folder only on local masters."""
     context = spark.sparkContext

@@ -1,28 +1,21 @@
-"""Clusters of embedding vectors and their scores.
+"""Scores of clusters of embedding vectors, and the texts of clusters.
 
-``density_cluster`` compares no pairs of points. Cells of random projections
-only propose groups; what counts is the distance to the mean of a cell. Points
-within half of ``eps`` of it are all neighbours of each other, so ``min_size``
-of them are core points and belong together, and balls that share a point are
-one cluster. The work grows with the number of points, also where a third of
-them are copies in one cell.
+``density_cluster`` is in ``density``. Scores come from each cluster's count and sums.
 """
 
-import hashlib
-
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StringIndexer
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topictide.lineage import HOT_ROWS, cut_lineage, split_join
+from topictide.lineage import cut_lineage, import_path
+from topictide.operators.density import NOISE, density_cluster  # noqa: F401
 
-NOISE = -1
-# Components count in steps of one over this number when points are put into cells.
-SCALE = 1 << 20
+# Points and clusters whose distances are taken together.
+POINT_BLOCK = 1024
+CLUSTER_BLOCK = 512
 
 
 def _in_cluster(label: str) -> Column:
@@ -36,180 +29,78 @@ def _vectors(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("_features", array_to_vector(doubles))
 
 
-def signs(hashes: int, size: int, seed: object) -> list[list[int]]:
-    """The random directions: 1 or -1 for each place, read off the bits of digests."""
-    def bits(h: int) -> str:
-        blocks = (hashlib.md5(f"{seed}/{h}/{i}".encode()).digest() for i in range(size // 128 + 1))
-        return "".join(f"{byte:08b}" for block in blocks for byte in block)
-
-    return [[1 if bit == "1" else -1 for bit in bits(h)[:size]] for h in range(hashes)]
-
-
-def _cells(
-    df: DataFrame, key: str, vector: str, side: float, tables: int, hashes: int, seed: object
-) -> DataFrame:
-    """``key, cell``: one cell per point and table. Whole numbers, so that sums are exact.
-
-    Vectors that are null, hold null or infinite parts, or are longer or shorter than the
-    first have no cell.
-    """
-    first = df.where(F.size(vector) > 0).select(F.size(vector)).first()
-    directions = signs(tables * hashes, first[0] if first else 0, seed)
-    known = F.lit([directions[t * hashes:(t + 1) * hashes] for t in range(tables)])
-    width = round(side * SCALE)
-
-    def place(whole: Column, direction: Column, h: Column) -> Column:
-        parts = F.zip_with(whole, direction, lambda x, sign: x * sign)
-        total = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, b: a + b)
-        # Each direction has its own shift of the grid.
-        return F.floor((total + h.cast("bigint") * width / (tables * hashes)) / width)
-
-    def cell(whole: Column, table: Column, t: Column) -> Column:
-        places = F.transform(table, lambda direction, i: place(whole, direction, t * hashes + i))
-        return F.aggregate(
-            places, t.cast("string"), lambda name, x: F.concat(name, F.lit("_"), x.cast("string"))
-        )
+def _packed(size: int, kinds: list[str]):
+    """Kernel: rows of number columns and one of doubles, some to a row, as bytes."""
+    names = ["pack", *(f"p{i}" for i in range(len(kinds) + 1))]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                part = batch.slice(at, size)
+                numbers = [part.column(i).to_numpy().astype(kind).tobytes() for i, kind in enumerate(kinds)]
+                body = part.column(len(kinds)).flatten().to_numpy().tobytes()
+                first = part.column(0)[0].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (first, *numbers, body)], names=names)
+
+    return run
+
+
+def _distances(batches):
+    """Kernel over a pack of points and one of clusters: own (or null) and least other mean squared distance."""
+    names = ["row", "own", "other"]
+    for batch in batches:
+        for r in batch.to_pylist():
+            rows, label = (np.frombuffer(r[x], "<i8") for x in ("p0", "p1"))
+            known, sizes = (np.frombuffer(r[x], "<i8") for x in ("c0", "c1"))
+            squares = np.frombuffer(r["c2"])
+            x = np.frombuffer(r["p2"]).reshape(len(rows), -1)
+            sums = np.frombuffer(r["c3"]).reshape(len(known), -1)
+            far = (x * x).sum(axis=1)[:, None] + squares / sizes - 2 * (x @ sums.T) / sizes
+            mine = label[:, None] == known
+            own = np.where(mine, far * sizes / np.maximum(sizes - 1, 1), -np.inf).max(axis=1)
+            own = np.where(mine & (sizes == 1), np.nan, own[:, None]).min(axis=1)  # nan: alone in its cluster
+            other = np.where(mine, np.inf, far).min(axis=1)
+            columns = [pa.array(rows), pa.array(own, mask=np.isneginf(own)), pa.array(other)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    # Whole numbers are made once per point: as the one entry of an array, bound by a lambda.
-    wholes = F.array(
-        F.transform(vector, lambda x: F.round(x.cast("double") * SCALE).try_cast("bigint"))
-    )
-    cells = F.flatten(F.transform(
-        wholes, lambda whole: F.transform(known, lambda table, t: cell(whole, table, t))
-    ))
-    return df.select(key, F.explode(cells).alias("cell")).where(F.col("cell").isNotNull())
-
-
-def _distance(a: Column, b: Column) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda x, y: x + y))
-
-
-def _components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``node, root`` with the smallest node of each connected part as its root.
-
-    Each round takes the smallest root among the neighbours and then follows
-    roots once, so long chains halve. Rounds are written to the checkpoint folder.
-    """
-    both = cut_lineage(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"),
-                                                        F.col("a").alias("b"))).distinct()
-    )
-    roots = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-                        .select("node", F.least("node", "root").alias("root")))
-    nodes = roots.count()
-    while True:
-        near = (
-            both.join(roots, both["a"] == roots["node"])
-            .groupBy("b").agg(F.min("root").alias("near"))
-        )
-        moved = roots.join(near, roots["node"] == near["b"], "left").select(
-            "node", F.col("root").alias("old"),
-            F.least("root", F.coalesce("near", "root")).alias("via"),
-        )
-        jump = roots.select(F.col("node").alias("via"), F.col("root").alias("next"))
-        step = cut_lineage(
-            split_join(moved, jump, "via", "left", hot_rows, nodes).select(
-                "node", "old", F.least("via", F.coalesce("next", "via")).alias("root")
-            )
-        )
-        changed = step.where(F.col("old") != F.col("root")).limit(1).count()
-        roots = step.select("node", "root")
-        if not changed:
-            return roots
 
-
-def density_cluster(
-    df: DataFrame,
-    key: str = "id",
-    vector: str = "embedding",
-    eps: float = 1.0,
-    min_size: int = 10,
-    tables: int = 8,
-    hashes: int = 6,
-    side: float | None = None,
-    seed: object = 42,
-    hot_rows: int = HOT_ROWS,
+def silhouette(
+    df: DataFrame, vector: str = "embedding", label: str = "prediction"
 ) -> DataFrame:
-    """``key, prediction``: the smallest key of the point's cluster, or -1 for noise.
+    """``points, clusters, score``: the mean silhouette by squared distance; noise is a cluster.
 
-    ``min_size`` points of a cell within ``eps / 2`` of the cell's mean form a
-    ball: any two of them are within ``eps``. With r as the ball's radius, each
-    point within ``eps - r`` of the mean is a neighbour of the whole ball and
-    thus a core point as well. Clusters are the balls linked by shared points,
-    so no link joins points that lack a chain of distances up to ``eps``. Core
-    points that share no cell with enough neighbours stay noise; more ``tables``
-    make that rarer. ``side`` is the side of a cell along each direction
-    (default ``4 * eps``, in sums of signed components). Points without a usable
-    vector are noise. ``key`` identifies a point.
+    The mean squared distance to a cluster comes from its count, its sum and its sum of
+    squares, so points meet clusters and not each other. Both come in blocks; every block of
+    points meets every block of clusters, each in a task of its own. A point alone in its
+    cluster has 0. The score is null under two clusters besides noise.
     """
-    cells = cut_lineage(_cells(df, key, vector, side or 4 * eps, tables, hashes, seed))
-    rows = cells.count()
-    full = (
-        cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_size).select("cell")
-    )
-    # A cell may hold any part of the points: heavy cells are joined map-side.
-    members = split_join(cells, full, "cell", hot_rows=hot_rows, rows=rows)
-    points = df.select(key, F.transform(vector, lambda x: x.cast("double")).alias("_point"))
-    placed = cut_lineage(members.join(points, key))
-    means = placed.groupBy("cell").agg(
-        vector_to_array(Summarizer.mean(array_to_vector("_point"))).alias("_mean")
-    )
-    far = split_join(placed, means, "cell", hot_rows=hot_rows, rows=rows).select(
-        key, "cell", _distance(F.col("_point"), F.col("_mean")).alias("_far")
-    )
-    far = cut_lineage(far.where(F.col("_far") <= eps))
-    inside = F.col("_far") <= eps / 2
-    balls = (
-        far.groupBy("cell").agg(F.count_if(inside).alias("n"),
-                                F.max(F.when(inside, F.col("_far"))).alias("_radius"))
-        .where(F.col("n") >= min_size).select("cell", "_radius")
-    )
-    near = split_join(far, balls, "cell", hot_rows=hot_rows, rows=rows)
-    near = cut_lineage(near.where(F.col("_far") <= eps - F.col("_radius")).select(key, "cell"))
-    named_balls = near.groupBy("cell").agg(F.min(key).alias("head"))
-    heads = cut_lineage(
-        split_join(near, named_balls, "cell", hot_rows=hot_rows, rows=rows)
-        .groupBy(key)
-        .agg(F.min("head").alias("head"), F.collect_set("head").alias("heads"))
-    )
-    links = heads.select(F.col("head").alias("a"), F.explode("heads").alias("b")).distinct()
-    roots = _components(links, hot_rows)
-    named = split_join(
-        heads.select(key, "head"), roots.withColumnRenamed("node", "head"), "head",
-        hot_rows=hot_rows, rows=heads.count(),
-    ).select(key, F.col("root").alias("prediction"))
-    kind = df.schema[key].dataType
-    return df.select(key).join(named, key, "left").select(
-        key, F.coalesce("prediction", F.lit(NOISE).cast(kind)).alias("prediction")
-    )
-
-
-def k_cluster(
-    df: DataFrame, k: int = 20, key: str = "id", vector: str = "embedding", seed: int = 42,
-    max_iter: int = 20,
-) -> DataFrame:
-    """``key, prediction`` of k-means."""
-    rows = _vectors(df.select(key, vector), vector)
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features").fit(rows)
-    return model.transform(rows).select(key, "prediction")
-
-
-def silhouette(
-    df: DataFrame, vector: str = "embedding", label: str = "prediction"
-) -> float | None:
-    """Mean silhouette by squared distance; None under two clusters besides noise."""
-    if df.where(_in_cluster(label)).select(label).distinct().limit(2).count() < 2:
-        return None
-    evaluator = ClusteringEvaluator(
-        featuresCol="_features", predictionCol="_label", metricName="silhouette",
-        distanceMeasure="squaredEuclidean",
+    import_path(df.sparkSession)
+    doubles = F.transform(vector, lambda x: x.cast("double")).alias("x")
+    rows = cut_lineage(df.select(F.monotonically_increasing_id().alias("row"), F.col(label).alias("_label"), doubles))
+    names = rows.groupBy("_label").agg(
+        F.min("row").alias("cluster"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.aggregate("x", F.lit(0.0), lambda a, b: a + b * b)).alias("xx"),
+        vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("sum"),
     )
-    # The evaluator wants numbered labels and itself holds one row per cluster on the driver.
-    rows = _vectors(df, vector).select("_features", F.col(label).cast("string").alias("_name"))
-    indexer = StringIndexer(inputCol="_name", outputCol="_label")
-    return evaluator.evaluate(indexer.fit(rows).transform(rows))
+    clusters = cut_lineage(names.select("_label", "cluster", "n", "xx", "sum"))
+    counted = clusters.agg(F.sum("n").alias("points"), F.count(F.lit(1)).alias("clusters"),
+                           F.count_if(_in_cluster("_label")).alias("real"))
+    # Clusters are named by their first row: labels may be of any type.
+    named = rows.join(clusters.select(F.col("_label").alias("_l"), "cluster"), F.col("_label").eqNullSafe(F.col("_l")))
+    points = named.select("row", "cluster", "x").mapInArrow(
+        _packed(POINT_BLOCK, ["<i8", "<i8"]), "pack long, p0 binary, p1 binary, p2 binary")
+    packs = cut_lineage(clusters.select("cluster", "n", "xx", "sum").mapInArrow(
+        _packed(CLUSTER_BLOCK, ["<i8", "<i8", "<f8"]), "pack long, p0 binary, p1 binary, p2 binary, p3 binary"))
+    several = packs.select(F.col("pack").alias("_with"), *[F.col(f"p{i}").alias(f"c{i}") for i in range(4)])
+    keys = packs.agg(F.array_sort(F.collect_list("pack"))).first()[0] or [0]
+    dealt = points.withColumn("_with", F.explode(F.lit(keys)))
+    met = dealt.join(several, "_with").select("p0", "p1", "p2", "c0", "c1", "c2", "c3")
+    far = met.mapInArrow(_distances, "row long, own double, other double").groupBy("row").agg(
+        F.max("own").alias("a"), F.min("other").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    one = F.when(F.isnan(a) | (a == b), 0.0).when(a < b, 1 - a / b).otherwise(b / a - 1)
+    score = far.agg(F.avg(one).alias("score"))
+    return counted.select("points", "clusters", F.when(F.col("real") >= 2, score.select("score").scalar()).alias("score"))
 
 
 def calinski_harabasz(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from topictide import schemas
 from topictide.functions.periods import month_of, year_of
+from topictide.operators.numbering import numbered
 
 
 def first_per_key(df: DataFrame, keys: Iterable[str], order: Iterable[Column | str]) -> DataFrame:
@@ -66,21 +67,13 @@ def distinct_posts(posts: DataFrame) -> DataFrame:
 def topic_ids(topics: DataFrame, day: str = "date", text: str = "text") -> DataFrame:
     """Add ``month`` and ``id``, a running ``year-n`` by day and text.
 
-    Rows are numbered within their day and shifted by the sizes of the earlier
-    days of the year, so no task sorts more than the topics of one day. Topics
-    without a date stay, with a null month and id.
+    Rows of one day and text are numbered in the order of all their columns. Numbers come
+    from ranges of the order, so neither a year nor a day is in one task. Topics without a
+    date stay, with a null month and id.
     """
+    rest = [name for name in topics.columns if name not in {day, text}]
     dated = topics.withColumn("month", month_of(day)).withColumn("_year", year_of(day))
-    sizes = dated.groupBy("_year", day).agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy("_year").orderBy(day).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    before = F.coalesce(F.sum("_size").over(earlier), F.lit(0))
-    shifts = sizes.select(F.col(day).alias("_day"), before.alias("_shift"))
-    within = Window.partitionBy(day).orderBy(text)
-    numbered = dated.withColumn("_n", F.row_number().over(within)).join(
-        shifts, F.col(day).eqNullSafe(F.col("_day"))
-    )
-    return numbered.drop("_day").withColumn(
-        "id", F.concat("_year", F.lit("-"), (F.col("_n") + F.col("_shift")).cast("string"))
+    running = numbered(dated, [day, text, *rest], ["_year"], "_n")
+    return running.withColumn(
+        "id", F.concat("_year", F.lit("-"), F.col("_n").cast("string"))
     ).select(*topics.columns, "month", "id")

@@ -7,13 +7,14 @@ user for a real segmenter.
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topictide import terms
 from topictide.functions.text import clean_post, word_tokens
 from topictide.lineage import cut_lineage
 from topictide.operators.match import match_terms
+from topictide.operators.numbering import numbered
 from topictide.operators.rank import smallest_digests
 
 
@@ -72,8 +73,8 @@ def top_share(counts: DataFrame, share: float = 0.1) -> DataFrame:
     """The most counted ``share`` of the words, rounded down and at least one.
 
     Words with equal counts at the border are taken in digest order. The border
-    count comes from the table of word numbers per count, which has at most as
-    many rows as the root of twice the total count, never from a sort of all words.
+    count comes from the running sum of word numbers per count, summed up by ranges of
+    counts, never from a sort of all words.
     """
     counts = cut_lineage(counts)
     levels = cut_lineage(counts.groupBy("count").agg(F.count(F.lit(1)).alias("_words")))
@@ -81,9 +82,9 @@ def top_share(counts: DataFrame, share: float = 0.1) -> DataFrame:
     if not known:
         return counts
     wanted = max(int(known * share), 1)
-    downto = Window.orderBy(F.col("count").desc())
+    downto = numbered(levels, [F.col("count").desc()], (), "_upto", "_words")
     border = (
-        levels.withColumn("_upto", F.sum("_words").over(downto))
+        downto
         .where((F.col("_upto") >= wanted) & (F.col("_upto") - F.col("_words") < wanted))
         .select("count", (F.lit(wanted) - F.col("_upto") + F.col("_words")).alias("_rest"))
         .first()

@@ -56,7 +56,7 @@ def text_clusters(
     points = vectors.join(texts.select(key).distinct(), key, "left_semi").select(key, vector)
     labels = cut_lineage(density_cluster(points, key, vector, width, min_size))
     labelled = points.join(labels, key)
-    score = silhouette(labelled, vector)
+    score = silhouette(labelled, vector).first()["score"]
     return {
         "labels": labels,
         "texts": texts_by_cluster(texts, labels, key),
