@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from topictide import schemas
 from topictide import terms as fixed
-from topictide.operators import dedupe, match
+from topictide.operators import automata, dedupe, match, vocabulary
 
 ALPHABET = "abAB子女孩 \n'\\`"
 
@@ -26,7 +26,7 @@ def test_strategies_equal_brute_force(spark, rows):
     df = spark.createDataFrame(list(enumerate(texts)), "i INT, text STRING")
     expected = brute(texts, terms)
     assert len(expected) > 500
-    for strategy in ("scan", "anchor"):
+    for strategy in ("scan", "automaton", "anchor"):
         got = match.match_terms(df, terms, strategy=strategy).select("i", "term")
         assert sorted(map(tuple, got.collect())) == expected
 
@@ -36,12 +36,15 @@ def test_term_tables_in_blocks_and_without_inline_anchors(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "i INT, text STRING").repartition(7)
     table = spark.createDataFrame([(t, len(t)) for t in terms], "term STRING, size INT")
     expected = [(i, t, len(t)) for i, t in brute(texts, terms)]
-    blocks = match.match_terms(df, table, block_rows=13)
+    blocks = match.match_terms(df, table, block_rows=13, strategy="anchor")
     assert blocks._jdf.queryExecution().optimizedPlan().toString().count("Join") > 3
     assert sorted(map(tuple, blocks.select("i", "term", "size").collect())) == expected
     monkeypatch.setattr(match, "INLINE_TERMS", 5)
-    rows = match.match_terms(df, table).select("i", "term", "size")
+    rows = match.match_terms(df, table, strategy="anchor").select("i", "term", "size")
     assert sorted(map(tuple, rows.collect())) == expected
+    for block_rows in (13, 10**6):
+        rows = match.match_terms(df, table, block_rows=block_rows).select("i", "term", "size")
+        assert sorted(map(tuple, rows.collect())) == expected
     assert match.match_terms(df, table.where("size > 99")).count() == 0
 
 
@@ -106,12 +109,49 @@ def test_topics_match_only_in_their_month(spark, monkeypatch):
     expected = [("2020-1", "a"), ("2020-2", "b"), ("2020-3", "a")]
     raw = match.match_topics(lines, topics)
     assert raw.columns == ["dt", "value", "keyword_id"] and raw.count() == 3
-    for limit in (match.INLINE_TERMS, 1):
+    library = automata.ahocorasick
+    for found, limit in ((library, 1), (None, match.INLINE_TERMS), (None, 1)):
+        monkeypatch.setattr(automata, "ahocorasick", found)
         monkeypatch.setattr(match, "INLINE_TERMS", limit)
         got = match.extract_topic_posts(lines, topics)
         assert sorted(map(tuple, got.select("keyword_id", "weibo_id").collect())) == expected
 
 
+def test_a_text_meets_only_the_list_of_its_month(spark):
+    """Topic tables beyond one list: blocks by month where each month fits, else by rows."""
+    texts, words = random_texts(5, 120, 60), sorted(set(random_texts(6, 60, 4)) - {""})
+    lines = spark.createDataFrame([(i, f"2020-{i % 3 + 1:02d}-01", t) for i, t in enumerate(texts)],
+                                  "i INT, dt STRING, value STRING").withColumn("dt", F.to_date("dt"))
+    months = [(f"2020-{m:02d}", w, f"{m}/{w}") for m in (1, 2, 3, 4) for w in words[m::2]]
+    topics = spark.createDataFrame(months, "month STRING, text STRING, id STRING")
+    expected = sorted((i, k) for i, t in enumerate(texts) for m, w, k in months
+                      if int(m[-1]) == i % 3 + 1 and w in t)
+    assert len(expected) > 100
+    named = match._month_topics(topics)
+    for block_rows, by in ((10**6, ["_month"]), (40, ["_month"]), (5, named.columns)):
+        lists = match.TermLists(named, "_topic", ["_month"], block_rows)
+        assert lists.by == by and (lists.blocks > 1) == (block_rows < 10**6)
+        hits = match.match_terms(lines.withColumn("_month", F.date_format("dt", "yyyy-MM")), named,
+                                 "value", "_topic", ["_month"], block_rows=block_rows)
+        assert sorted(map(tuple, hits.select("i", "keyword_id").collect())) == expected
+
+
+def test_words_are_counted_from_their_places(spark, monkeypatch):
+    texts = [*random_texts(7, 80, 80), "aaaaaaa", "ababababa", None, ""]
+    words = sorted({*random_texts(8, 60, 3), "aa", "aba", "abab", "a"} - {""})
+    df = spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "g INT, text STRING")
+    table = spark.createDataFrame([(w,) for w in [*words, words[0]]], "word STRING")
+    expected = {}
+    for i, t in enumerate(texts):
+        for w in words:
+            if t and w in t:
+                expected[i % 2, w] = expected.get((i % 2, w), 0) + t.count(w)
+    for found in (automata.ahocorasick, None):
+        monkeypatch.setattr(automata, "ahocorasick", found)
+        got = vocabulary.vocabulary_counts(df, table, by=["g"]).collect()
+        assert {(r.g, r.word): r["count"] for r in got} == expected
+
+
 def test_dedupe_and_distinct(spark):
     df = spark.createDataFrame(
         [("2020-01-01", 3, "a", "x"), ("2020-01-01", 1, "a", "y"), ("2020-01-02", 2, "a", "z")],

@@ -1,11 +1,12 @@
 """Finding dictionary terms and topics inside texts.
 
-Two exact strategies give the same rows. Up to ``SCAN_TERMS`` terms, every term
-is tested with ``contains`` in one projection. Beyond, each term is known by
-one rare piece of it, the anchor: the overlapping pieces of a text are taken
-in one pass, those that are anchors are looked up in a broadcast table, and
-only these hits are verified with ``contains``. Both are map-side, so a term
-or a text that holds much of the data moves nothing.
+Three exact strategies give the same rows. Up to ``SCAN_TERMS`` terms, every term is
+tested with ``contains`` in one projection. Beyond, an automaton of all terms reads each
+text once, in Arrow batches, and only the terms that it finds become rows. Where its
+library is missing, each term is known by one rare piece of it, the anchor: the
+overlapping pieces of a text are taken in one pass, those that are anchors are looked up
+in a broadcast table, and only these hits are verified with ``contains``. All are
+map-side, so a term or a text that holds much of the data moves nothing.
 """
 
 import math
@@ -18,6 +19,7 @@ from topictide import schemas
 from topictide.functions.periods import month_of
 from topictide.functions.rows import only_if
 from topictide.lineage import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, cut_lineage
+from topictide.operators import automata
 from topictide.operators.dedupe import distinct_posts
 from topictide.sources.posts import parse_posts, with_any_term
 
@@ -137,6 +139,61 @@ class _Anchored:
         return result.select(*kept, *[name for name in self.columns if name not in on])
 
 
+class TermLists:
+    """A term table in lists of bounded size, each with the texts that may hold its terms."""
+
+    def __init__(self, terms: DataFrame, term: str, on: list[str], block_rows: int):
+        self.term, self.on, self.columns = term, on, terms.columns
+        self.spark = terms.sparkSession
+        self.known = known = cut_lineage(terms.where(F.length(term) > 0).distinct())
+        size = F.coalesce(F.sum(F.octet_length(term)), F.lit(0))
+        rows, total = known.agg(F.count(F.lit(1)), size).first()
+        largest = 0
+        if on and (rows > block_rows or total > automata.TERM_BYTES):
+            groups = known.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), size.alias("size"))
+            largest = groups.agg(F.max(F.greatest(F.col("n") / block_rows, F.col("size") / automata.TERM_BYTES))).first()[0]
+        full = max(rows / block_rows, total / automata.TERM_BYTES)
+        self.blocks = 1 if full <= 1 else math.ceil(full * BLOCK_MARGIN)
+        # Where every group of ``on`` fits in a list, a text meets one list only; else rows
+        # are spread by all their columns, so that a term of many rows is in all lists.
+        self.by = on if on and largest <= 1 else self.columns
+
+    def _key(self) -> Column:
+        return F.to_json(F.struct(*self.on)) if self.on else F.lit("")
+
+    def _block(self, df: DataFrame, block: int, by: list[str]) -> DataFrame:
+        return df if self.blocks == 1 else df.where(F.pmod(F.xxhash64(*by), F.lit(self.blocks)) == block)
+
+    def lists(self, block: int) -> tuple[DataFrame, dict[str, list[str]]]:
+        """The rows of a block, and its terms by key: few enough for the driver by their measured size."""
+        part = self._block(self.known, block, self.by)
+        out: dict[str, list[str]] = {}
+        for row in part.select(self._key().alias("key"), self.term).distinct().collect():
+            out.setdefault(row["key"], []).append(row[self.term])
+        return part, out
+
+    def each(self, df: DataFrame, text: str, look=automata.terms_inside):
+        """For each block: its term rows, and ``df`` with ``_found``, the terms of the block in each text."""
+        for block in range(self.blocks):
+            part, lists = self.lists(block)
+            texts = self._block(df, block, self.on) if self.by == self.on else df
+            yield part, texts.select("*", look(self.spark, lists, F.col(text), self._key()).alias("_found"))
+
+    def join(self, hits: DataFrame, part: DataFrame) -> DataFrame:
+        """Rows with a found term in ``self.term``, once per row of the term table."""
+        if self.columns == [self.term]:
+            return hits
+        return hits.join(F.broadcast(part), [self.term, *self.on])
+
+
+def _by_automaton(df: DataFrame, terms: DataFrame, text: str, term: str, on: list[str], block_rows: int) -> DataFrame:
+    result, lists = None, TermLists(terms, term, on, block_rows)
+    for part, texts in lists.each(df, text):
+        hits = lists.join(texts.withColumn(term, F.explode("_found")), part)
+        result = hits if result is None else result.unionByName(hits)
+    return result.select(*df.columns, *[name for name in terms.columns if name not in on])
+
+
 def match_terms(
     df: DataFrame,
     terms: Iterable[str] | DataFrame,
@@ -162,6 +219,8 @@ def match_terms(
         terms = df.sparkSession.createDataFrame([(value,) for value in words], f"`{term}` STRING")
     elif strategy == "scan":
         raise ValueError("the scan strategy takes a list of terms")
+    if strategy != "anchor" and automata.ahocorasick is not None:
+        return _by_automaton(df, terms, text, term, on, block_rows)
     anchored = _Anchored(terms, term, block_rows)
     cut = df.select("*", F.explode(anchored.candidates(text)).alias("_anchor"))
     return anchored.verify(cut, text, on)
@@ -221,10 +280,24 @@ def match_topics(
     return hits.select(*lines.columns, "keyword_id")
 
 
+def _posts_by_automaton(lines: DataFrame, topics: DataFrame, block_rows: int) -> DataFrame:
+    # Only lines with a topic are parsed, and each once for all its topics.
+    lists = TermLists(_month_topics(topics), "_topic", ["_month"], block_rows)
+    result = None
+    for part, texts in lists.each(lines.withColumn("_month", month_of("dt")), "value"):
+        some = texts.where(F.size("_found") > 0)
+        posts = parse_posts(some, keep=("dt", "_month", "_found"))
+        hits = lists.join(posts.withColumn("_topic", F.explode("_found")), part)
+        result = hits if result is None else result.unionByName(hits)
+    return result
+
+
 def extract_topic_posts(
     lines: DataFrame, topics: DataFrame, block_rows: int = BROADCAST_MAX_ROWS
 ) -> DataFrame:
     """Distinct posts whose raw line holds a topic of their month, once per topic."""
+    if automata.ahocorasick is not None:
+        return distinct_posts(_posts_by_automaton(lines, topics, block_rows))
     anchored = _Anchored(_month_topics(topics), "_topic", block_rows)
     dated = lines.withColumn("_month", month_of("dt"))
     if anchored.inline is not None:

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from topictide import terms
 from topictide.functions.text import clean_post, word_tokens
-from topictide.lineage import cut_lineage
-from topictide.operators.match import match_terms
+from topictide.lineage import BROADCAST_MAX_ROWS, cut_lineage
+from topictide.operators import automata
+from topictide.operators.match import TermLists, match_terms
 from topictide.operators.numbering import numbered
 from topictide.operators.rank import smallest_digests
 
@@ -58,15 +59,24 @@ def vocabulary_counts(
 ) -> DataFrame:
     """``word, count`` (per ``by``): occurrences of each word of a table inside unspaced text.
 
-    For vocabularies too large for ``vocabulary_tokens``. Words are found by
-    the anchor join and counted without overlaps of a word with itself; a word
-    inside a longer one counts too, as no segmentation takes place.
+    For vocabularies too large for ``vocabulary_tokens``. Words are counted without overlaps
+    of a word with itself; a word inside a longer one counts too, as no segmentation takes
+    place. An automaton of all words reads a text once and counts from the places it finds.
     """
     by = list(by)
-    hits = match_terms(df.select(*by, text), vocabulary.select("word"), text, "word")
-    rest = F.length(F.replace(F.col(text), F.col("word"), F.lit("")))
-    times = ((F.length(text) - rest) / F.length("word")).cast("bigint")
-    return hits.groupBy(*by, "word").agg(F.sum(times).alias("count"))
+    words = vocabulary.select("word")
+    if automata.ahocorasick is None:
+        hits = match_terms(df.select(*by, text), words, text, "word")
+        rest = F.length(F.replace(F.col(text), F.col("word"), F.lit("")))
+        times = ((F.length(text) - rest) / F.length("word")).cast("bigint")
+        return hits.groupBy(*by, "word").agg(F.sum(times).alias("count"))
+    result = None
+    lists = TermLists(words, "word", [], BROADCAST_MAX_ROWS)
+    for _, texts in lists.each(df.select(*by, text), text, automata.terms_counted):
+        hits = texts.select(*by, F.explode("_found").alias("hit"))
+        part = hits.groupBy(*by, F.col("hit.term").alias("word")).agg(F.sum("hit.n").alias("count"))
+        result = part if result is None else result.unionByName(part)
+    return result
 
 
 def top_share(counts: DataFrame, share: float = 0.1) -> DataFrame:
