@@ -89,7 +89,12 @@ def word_tokens(column: Column | str, min_length: int = 1, max_length: int | Non
 
 
 def vocabulary_tokens(column: Column | str, words: Iterable[str]) -> Column:
-    """Words of unspaced text, found left to right, the longest known word first."""
-    longest_first = sorted(set(words), key=lambda word: (-len(word), word))
+    """Words of unspaced text, found left to right, the longest known word first.
+
+    An empty word is none; without words there are no tokens. A null text has null tokens.
+    """
+    longest_first = sorted({word for word in words if word}, key=lambda word: (-len(word), word))
+    if not longest_first:
+        return F.when(_col(column).isNotNull(), F.array().cast("array<string>"))
     pattern = "|".join(re.escape(word) for word in longest_first)
     return F.regexp_extract_all(_col(column), F.lit(f"(?:{pattern})"), F.lit(0))

@@ -21,6 +21,9 @@ except ImportError:  # match_terms then goes by anchors
 # UTF-8 bytes of the terms of one automaton: it has at most so many nodes in a worker.
 TERM_BYTES = 4 * 1024 * 1024
 
+# Broadcasts whose automata a worker keeps.
+KEPT = 4
+
 _kept: dict = {}
 
 
@@ -32,16 +35,48 @@ def _automaton(terms: Iterable[str]):
     return made
 
 
-def _automata(token: str, lists: dict):
-    """The automata of a broadcast, one for each key; a worker keeps those of the last one."""
+class Rules:
+    """Rules of words joined by ``&``, behind one automaton of all their words."""
+
+    def __init__(self, rules: list[str], multiline: bool):
+        self.words = {rule: {word for word in rule.split("&") if word} for rule in rules}
+        self.of_word: dict[str, list[str]] = {}
+        for rule, words in self.words.items():
+            for word in words:
+                self.of_word.setdefault(word, []).append(rule)
+        self.always = [rule for rule, words in self.words.items() if not words]
+        self.automaton = _automaton(self.of_word) if self.of_word else None
+        self.multiline = multiline
+
+    def _held(self, text: str) -> set[str]:
+        counts: dict[str, int] = {}
+        for word in _found(self.automaton, text):
+            for rule in self.of_word[word]:
+                counts[rule] = counts.get(rule, 0) + 1
+        return {rule for rule, n in counts.items() if n == len(self.words[rule])}
+
+    def held(self, text: str) -> list[str]:
+        """Rules all of whose words are in the text, or on one line of it."""
+        if self.automaton is None:
+            return self.always
+        found = self._held(text)
+        if self.multiline and "\n" in text:
+            found = {rule for rule in found if len(self.words[rule]) == 1}
+            found |= {rule for line in text.split("\n") for rule in self._held(line)}
+        return self.always + [*found]
+
+
+def _automata(token: str, lists: dict, build):
+    """What is built from a broadcast, for each key; a worker keeps that of the last few."""
     if token not in _kept:
-        _kept.clear()
+        while len(_kept) >= KEPT:
+            del _kept[next(iter(_kept))]
         _kept[token] = {}
     made = _kept[token]
 
     def of(key):
         if key not in made and key in lists:
-            made[key] = _automaton(lists[key])
+            made[key] = build(lists[key])
         return made.get(key)
 
     return of
@@ -62,13 +97,13 @@ def _counted(automaton, text: str) -> list[tuple[str, int]]:
     return list(counts.items())
 
 
-def _column(spark: SparkSession, lists: dict, text: Column, key: Column, look, kind: str) -> Column:
+def _column(spark: SparkSession, lists: dict, text: Column, key: Column, build, look, kind: str) -> Column:
     import_path(spark)
     shared, token = spark.sparkContext.broadcast(lists), uuid.uuid4().hex
     element = pa.string() if kind == "array<string>" else pa.struct([("term", pa.string()), ("n", pa.int64())])
 
     def search(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        of = _automata(token, shared.value)
+        of = _automata(token, shared.value, build)
         out = []
         for value, name in zip(texts, keys, strict=True):
             automaton = of(name.as_py()) if value.is_valid else None
@@ -83,9 +118,17 @@ def _column(spark: SparkSession, lists: dict, text: Column, key: Column, look, k
 
 def terms_inside(spark: SparkSession, lists: dict[str, list[str]], text: Column, key: Column) -> Column:
     """The terms of the list named by ``key`` that are inside ``text``, as an array."""
-    return _column(spark, lists, text, key, _found, "array<string>")
+    return _column(spark, lists, text, key, _automaton, _found, "array<string>")
 
 
 def terms_counted(spark: SparkSession, lists: dict[str, list[str]], text: Column, key: Column) -> Column:
     """The same with how often each stands in the text without overlapping itself."""
-    return _column(spark, lists, text, key, _counted, "array<struct<term:string,n:bigint>>")
+    return _column(spark, lists, text, key, _automaton, _counted, "array<struct<term:string,n:bigint>>")
+
+
+def rules_held(spark: SparkSession, rules: list[str], text: Column, multiline: bool) -> Column:
+    """The rules of a list that hold in ``text``, as an array."""
+    def build(listed):
+        return Rules(listed, multiline)
+
+    return _column(spark, {"": rules}, text, F.lit(""), build, Rules.held, "array<string>")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from topictide.functions.rows import only_if
 from topictide.functions.rules import contains_any
 from topictide.functions.text import own_content
+from topictide.lineage import cut_lineage
 from topictide.operators.match import SCAN_TERMS, match_terms
 
 
@@ -44,6 +45,42 @@ def _kids_of_hits() -> Column:
     return F.array_distinct(F.flatten(F.transform("hits", lambda hit: hit["kids"])))
 
 
+def quality_hits(
+    posts: DataFrame, dictionary: DataFrame, content: str = "weibo_content",
+    by: tuple[str, ...] = (),
+) -> DataFrame:
+    """Distinct own contents (per ``by``) that hold a term: ``text, _posts, hits``, stored.
+
+    ``_posts`` is how many posts have the content, ``hits`` the terms and their qualities.
+    Texts per quality and counts of terms both come from this table, so the posts are read
+    once.
+    """
+    texts = posts.select(*by, own_content(content).alias("text"))
+    known = _bounded_terms(dictionary)
+    if known is not None:
+        some = texts.where(contains_any("text", [term for term, _ in known]))
+        found = _scan_hits(_counted(some, by), known)
+    else:
+        found = _anchor_hits(_counted(texts, by), dictionary)
+    return cut_lineage(found)
+
+
+def _counted(texts: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return texts.groupBy(*by, "text").agg(F.count(F.lit(1)).alias("_posts"))
+
+
+def texts_of_hits(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``texts_by_quality`` from stored hits."""
+    return hits.select(*by, F.explode(_kids_of_hits()).alias("kid"), "text")
+
+
+def counts_of_hits(hits: DataFrame, weighted: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """``term_counts`` from stored hits."""
+    weight = F.col("_posts") * F.size(_kids_of_hits()) if weighted else F.col("_posts")
+    each = hits.select(*by, weight.alias("_w"), F.explode("hits").alias("hit"))
+    return each.groupBy(*by, F.col("hit.term").alias("term")).agg(F.sum("_w").alias("count"))
+
+
 def texts_by_quality(
     posts: DataFrame,
     dictionary: DataFrame,

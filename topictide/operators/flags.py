@@ -6,28 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topictide.functions.rules import conditional_keep, match_rules, matches_excluded
+from topictide.operators.rule_tables import holds_any
 
 
 def flag_rules(
-    df: DataFrame, rules: Iterable[str], text: str = "text", flag: str = "flag",
+    df: DataFrame, rules: Iterable[str] | DataFrame, text: str = "text", flag: str = "flag",
     multiline: bool = False,
 ) -> DataFrame:
-    """Flag 1 where a rule matches the text, else 0."""
-    return df.withColumn(flag, match_rules(text, rules, multiline).cast("int"))
+    """Flag 1 where a rule matches the text, else 0, also for a null text.
+
+    ``rules`` is a list, or a table with a rule in its first column, of any number.
+    """
+    if isinstance(rules, DataFrame):
+        held = holds_any(df, rules, text, "_holds", multiline)
+        return held.withColumn(flag, F.col("_holds").cast("int")).drop("_holds")
+    matched = F.coalesce(match_rules(text, rules, multiline), F.lit(False))
+    return df.withColumn(flag, matched.cast("int"))
 
 
 def exclude_matches(
-    df: DataFrame, words: Iterable[str], patterns: Iterable[str] = (), text: str = "text"
+    df: DataFrame, words: Iterable[str] | DataFrame, patterns: Iterable[str] = (), text: str = "text"
 ) -> DataFrame:
-    """Drop rows that hold an excluded word or match an excluded pattern."""
-    return df.where(~matches_excluded(text, words, patterns))
+    """Drop rows that hold an excluded word or match an excluded pattern; null texts stay.
+
+    ``words`` is a list, or a table with a word in its first column, of any number.
+    """
+    if isinstance(words, DataFrame):
+        held = holds_any(df, words, text, "_holds").where(~F.col("_holds")).drop("_holds")
+        return exclude_matches(held, (), patterns, text) if patterns else held
+    return df.where(~F.coalesce(matches_excluded(text, words, patterns), F.lit(False)))
 
 
 def unflag_without_saver(
-    df: DataFrame, triggers: Iterable[str], savers: Iterable[str], text: str = "text",
-    flag: str = "flag",
+    df: DataFrame, triggers: Iterable[str] | DataFrame, savers: Iterable[str] | DataFrame,
+    text: str = "text", flag: str = "flag",
 ) -> DataFrame:
-    """Flag 0 where a trigger word stands without a saving word."""
+    """Flag 0 where a trigger word stands without a saving word; both are lists, or both tables."""
+    if isinstance(triggers, DataFrame):
+        both = holds_any(holds_any(df, triggers, text, "_trigger"), savers, text, "_saver")
+        kept = F.when(F.col("_trigger") & ~F.col("_saver"), F.lit(0)).otherwise(F.col(flag))
+        return both.withColumn(flag, kept).drop("_trigger", "_saver")
     return df.withColumn(flag, conditional_keep(flag, text, triggers, savers))
 
 

@@ -2,7 +2,7 @@
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topictide.functions.rules import contains_any
@@ -83,6 +83,34 @@ def sample_proportional(
     return smallest_digests(df, group, key, quota, seed)
 
 
+def sample_by_counts(
+    df: DataFrame,
+    counts: DataFrame,
+    key: Iterable[str],
+    total: int = 10_000,
+    topic: str = "keyword_id",
+    group: str = "dt",
+    seed: object = 2025,
+) -> DataFrame:
+    """About ``total`` rows of each topic without replacement, every group at the topic's rate.
+
+    ``counts`` is ``topic, group, count`` from the caller. The rate of a topic is ``total``
+    over the sum of its counts, at most 1; a listed group of n rows gives ``rate * n`` rows,
+    halves rounded to even, and a group that is not listed gives none.
+    """
+    known = F.sum("count").over(Window.partitionBy(topic))
+    rate = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(float(total)), known), F.lit(0.0)))
+    listed = counts.groupBy(topic, group).agg(F.sum("count").alias("count")).select(
+        topic, group, F.struct(topic, group, rate.alias("rate")).alias("_both")
+    )
+    rows = df.join(listed, [topic, group]).select(*df.columns, "_both")
+
+    def quota(size, _):
+        return F.bround(F.col("_both")["rate"] * size.cast("double"), 0)
+
+    return smallest_digests(rows, "_both", key, quota, seed).drop("_both")
+
+
 def sample_matching(
     df: DataFrame,
     terms: str | Iterable[str],

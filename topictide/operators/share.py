@@ -47,7 +47,7 @@ def flag_share(
     )
     left_out = list(exclude)
     if left_out:
-        sums = sums.where(~F.col("period").isin(left_out))
+        sums = sums.where(~F.coalesce(F.col("period").isin(left_out), F.lit(False)))
     return sums.withColumn("proportion", safe_ratio("flagged", "total"))
 
 

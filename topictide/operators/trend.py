@@ -137,7 +137,9 @@ def share_within(
     leaving it out; ``pivot_shares`` gives the wide form with zeros.
     """
     left_out = list(exclude)
-    rows = trend.where(~F.col("period").isin(left_out)) if left_out else trend
+    # The undated period is in no list of labels, so it stays.
+    inside = F.coalesce(F.col("period").isin(left_out), F.lit(False))
+    rows = trend.where(~inside) if left_out else trend
     total = F.sum("frequency").over(Window.partitionBy("period"))
     return rows.select("period", by, safe_ratio(F.col("frequency"), total).alias("share"))
 

@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from topictide.functions.periods import month_of, year_of
 from topictide.functions.text import clean_post, own_content
 from topictide.operators.dedupe import dedupe_posts, hottest_per_text, topic_ids
-from topictide.operators.dictionary import describe_terms, term_counts, texts_by_quality
+from topictide.operators.dictionary import (
+    counts_of_hits,
+    describe_terms,
+    quality_hits,
+    texts_of_hits,
+)
 from topictide.operators.flags import flagged_with_heat
 from topictide.operators.match import extract_topic_posts
+from topictide.operators.sample import sample_by_counts
 from topictide.operators.vocabulary import word_frequency
 from topictide.sources.days import write_days
 from topictide.sources.posts import read_lines
@@ -50,11 +56,15 @@ def quality_vocabulary(
     tokenizer=None,
     share: float = 0.05,
 ) -> dict[str, DataFrame]:
-    """Texts per quality and year, counts of the terms, and frequent words per quality."""
+    """Texts per quality and year, counts of the terms, and frequent words per quality.
+
+    All three come from one stored table of texts and the terms they hold.
+    """
     dated = posts.withColumn("year", year_of(F.col("dt")))
-    texts = texts_by_quality(dated, dictionary)
+    hits = quality_hits(dated, dictionary, by=("year",))
+    texts = texts_of_hits(hits, ("year",))
     options: dict = {} if tokenizer is None else {"tokenizer": tokenizer}
-    counts = term_counts(posts, dictionary)
+    counts = counts_of_hits(hits)
     words: Iterable[str] = ["kid"]
     return {
         "texts": texts,
@@ -63,3 +73,15 @@ def quality_vocabulary(
             texts, "text", words, stopwords, share=share, **options
         ),
     }
+
+
+def topic_samples(
+    posts: DataFrame, counts: DataFrame, total: int = 10_000, topic: str = "keyword_id",
+    day: str = "dt", key: str = "weibo_id", seed: object = 2025,
+) -> DataFrame:
+    """About ``total`` posts of each topic, each of its days at the topic's rate.
+
+    ``counts`` is ``topic, day, count`` as the caller knows them: a topic's rate is ``total``
+    over the sum of its counts, and days that are not listed give no posts.
+    """
+    return sample_by_counts(posts, counts, [key], total, topic, day, seed)

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from topictide import schemas
-from topictide.operators.dedupe import distinct_posts
+from topictide.operators.dedupe import dedupe_posts, distinct_posts
 from topictide.operators.match import extract_posts
+from topictide.sources.days import write_days
 from topictide.sources.paths import day_of_file
 
 
@@ -24,11 +25,14 @@ def ingest_days(
     first: Iterable[str],
     second: Iterable[str],
     max_files: int | None = None,
+    days: str | None = None,
 ) -> StreamingQuery:
     """Extract posts of all new files under ``source`` into ``root`` by day, then stop.
 
     Each micro-batch replaces only its own ``dt, batch`` partitions, so a batch
-    repeated after a failure leaves the same table.
+    repeated after a failure leaves the same table. With ``days``, that folder holds one
+    row per post and day over all batches so far: a batch makes the days that it touches
+    anew from ``root``, so whatever a failure leaves there, the repeated batch sets right.
     """
     first, second = list(first), list(second)
     reader = spark.readStream.format("text")
@@ -45,6 +49,11 @@ def ingest_days(
             .partitionBy("dt", "batch")
             .parquet(root)
         )
+        if days is not None:
+            written = spark.read.parquet(root)
+            touched = written.where(F.col("batch") == number).select("dt").distinct()
+            of_days = written.join(touched, "dt", "left_semi")
+            write_days(dedupe_posts(of_days.select("dt", *schemas.EXTRACTED_COLUMNS)), days)
 
     return (
         lines.writeStream.foreachBatch(write_batch)
