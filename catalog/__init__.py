@@ -1,8 +1,8 @@
 """Queries over the benchmark tables, one or more per operator, each with its SQL twin."""
 
-from catalog import clusters, matching, posts, samples, topics, trends, words
+from catalog import clusters, matching, posts, samples, selections, topics, trends, words
 
-MODULES = (topics, posts, matching, trends, words, samples, clusters)
+MODULES = (topics, posts, matching, trends, words, samples, clusters, selections)
 
 
 def all_queries() -> dict:
