@@ -107,6 +107,56 @@ def test_keys_are_few_and_no_key_is_common(rows_of):
     assert max(held.values()) == 1
 
 
+def pages_of(spark, htmls, url="http://site.test/{}"):
+    return spark.createDataFrame([(i, url.format(i) if url else None, h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+
+
+def extracted(frame):
+    return [r.text for r in html_text.extract_main_text(frame).orderBy("page_id").collect()]
+
+
+def test_articles_under_other_titles_stay_whole(spark):
+    body = "<p>The first paragraph of this article is the longest of them all.</p><p>The second paragraph.</p>"
+    pages = [f"<body><article><h1>T {i}</h1><p>Date {i}.</p>{body}</article></body>" for i in range(6)]
+    assert extracted(pages_of(spark, pages)) == [f"T {i}\nDate {i}.\nThe first paragraph of this article is the longest of them all.\nThe second paragraph." for i in range(6)]
+
+
+def test_headings_go_only_with_what_they_head(spark):
+    note = "<div><h2>Notice</h2><p>This site uses a lot of things.</p></div>"
+    pages = [
+        f"<body><article><p>Text {i} of a rather long article, {i} times told and {i * 7} times heard again.</p>"
+        + (f"<h2>Summary</h2><p>In short {i}.</p><h2>Conclusion</h2><h3>Last</h3><p>So {i}.</p>" if i < 10 else "") + note + "<h2>More</h2>" + "<p>Read all about our offers.</p></article></body>"
+        for i in range(40)
+    ]
+    got = extracted(pages_of(spark, pages))
+    assert got[3] == "Text 3 of a rather long article, 3 times told and 21 times heard again.\nSummary\nIn short 3.\nConclusion\nLast\nSo 3."
+    assert got[30] == "Text 30 of a rather long article, 30 times told and 210 times heard again."
+
+
+def test_topics_of_sections_are_no_layout(spark):
+    page = """<body><article><section id="search"><h2>Search trees</h2><p>A tree.</p></section>
+        <div class="ad-free promo-code-guide"><p>Codes.</p></div><div class="ad-slot-3">Buy</div><div class="social share">S</div>
+        <div class="menu-of-the-day"><a href="x">Home</a> <a href="y">News</a></div><div class="comment-list"><p>First!</p></div>
+        <div id="comments">Me too</div></article></body>"""
+    assert extracted(pages_of(spark, [page])) == ["Search trees\nA tree.\nCodes."]
+
+
+def test_pages_without_address_keep_their_text(spark):
+    pages = [f"<body><article><p>Common words.</p><p>Own words {i}, and many more of them here.</p></article></body>" for i in range(8)]
+    assert extracted(pages_of(spark, pages, None))[2] == "Common words.\nOwn words 2, and many more of them here."
+    clash = pages_of(spark, pages).withColumns({"_key": F.lit(1), "_host": F.lit(2), "_templates": F.lit(3)})
+    out = html_text.extract_main_text(clash)
+    assert {"_key", "_host", "_templates"} < {*out.columns} and out.count() == 8
+
+
+def test_stray_end_tags_take_linear_time():
+    import time
+
+    began = time.time()
+    assert html_text.main_text("<b>" * 40_000 + "x" + "</i>" * 40_000) == "x"
+    assert time.time() - began < 4
+
+
 def test_star_contraction(spark):
     rng = random.Random(1)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 400)]
@@ -134,12 +184,41 @@ def test_mixing_rates(spark):
     out = mixing.repeat_documents(frame, {"big": 1.0, "mid": 1.0}).groupBy("source").count().collect()
     counts = {r["source"]: r["count"] for r in out}
     assert {*counts} == {"big", "mid"} and all(abs(n - 10_000) < 500 for n in counts.values())
-    tables = spark.createDataFrame([(0.0,), (0.5,), (900.0,)], "m double").select(mixing.poisson_table(F.col("m")).alias("t")).collect()
+    tables = spark.createDataFrame([(0.0,), (0.5,), (900.0,)], "m double").select(mixing.poisson_table(F.col("m")).alias("t"), mixing.poisson_start(F.col("m")).alias("first")).collect()
     assert tables[0].t == [1.0] and abs(tables[1].t[1] - 1.5 * np.exp(-0.5)) < 1e-12
-    assert abs(np.interp(0.5, tables[2].t, np.arange(len(tables[2].t))) - 899.7) < 1 and abs(tables[2].t[-1] - 1) < 1e-9
+    assert abs(tables[2].first + np.interp(0.5, tables[2].t, np.arange(len(tables[2].t))) - 899.7) < 1 and abs(tables[2].t[-1] - 1) < 1e-9
     assert mixing.repeat_documents(frame.limit(0)).count() == 0
 
 
+def test_rows_without_ids_reach_their_target(spark):
+    for seed in ("mix", "a", "b"):
+        frame = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") < 1500, "same").otherwise(F.col("id").cast("string")).alias("text"), F.lit("none").alias("source"))
+        other = spark.range(7000).select("id", F.lit("x").alias("text"), F.lit("ids").alias("source")).toDF("doc_id", "text", "source")
+        both = frame.unionByName(other).withColumns({"table": F.lit(1), "_source": F.lit(2), "__id": F.lit(3)})
+        out = mixing.repeat_documents(both, {"none": 0.3, "ids": 0.7}, seed=seed)
+        sizes = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
+        assert abs(sizes["none"] / sum(sizes.values()) - 0.3) < 0.02, seed
+        assert {"table", "_source", "__id"} < {*out.columns}
+
+
+def test_bands_of_large_means(spark):
+    import time
+
+    began = time.time()
+    rows = spark.createDataFrame([(0.0,), (3.0,), (120.0,), (5000.0,), (1e6,)], "m double").select(
+        "m", mixing.poisson_start(F.col("m")).alias("first"), mixing.poisson_table(F.col("m")).alias("t")).collect()
+    assert time.time() - began < 20
+    for r in rows:
+        cdf = np.array(r.t)
+        assert abs(cdf[-1] - 1) < 1e-6 and (np.diff(cdf) >= 0).all()
+        mean = r.first + (1 - np.minimum(cdf, 1)).sum()
+        assert abs(mean - r.m) <= 1e-6 * max(r.m, 1)
+    draws = spark.range(4000).select(((F.col("id") + 0.5) / 4000).alias("u")).crossJoin(spark.createDataFrame([(120.0,), (0.7,)], "m double"))
+    found = draws.select("m", "u", mixing.drawn_copies(mixing.poisson_table(F.col("m")), mixing.poisson_start(F.col("m")), F.col("u")).alias("n"),
+                         (mixing.poisson_start(F.col("m")) + F.size(F.filter(mixing.poisson_table(F.col("m")), lambda c: c <= F.col("u")))).alias("want"))
+    assert found.where("n <> want").count() == 0
+
+
 def test_mixing_is_native(spark, plan, docs):
     found = plan(mixing.repeat_documents(docs([(1, "a"), (1, "a"), (None, None)])))
     assert "Python" not in found and "Arrow" not in found

@@ -158,6 +158,33 @@ def test_forms_of_secrets_never_seen_are_found(spark):
     assert scan([plain])[0][-1] == plain
 
 
+def test_monotony_looks_at_all_words():
+    varied = " ".join(f"word{i}" for i in range(210))
+    place = 3 ** quality_model.LABELLERS.index("monotony")
+    assert quality_model.votes(varied) // place % 3 == quality_model.NONE
+    assert quality_model.votes(varied + " and again and again" * 800) // place % 3 == quality_model.BAD
+
+
+def test_threshold_counts_all_documents(spark, docs):
+    """By brute force: of all scores, the lowest with the fewest wrong documents by the label model."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randint(0, 900)}" for _ in range(60)) + "." for _ in range(150)] + ["spam spam " * rng.randint(20, 60) for _ in range(30)]
+    frame = docs(list(enumerate(texts)))
+    scorer = quality_model.train(frame)
+    scores = np.array([scorer.score(t) for t in texts])
+    voted = [i for i, t in enumerate(texts) if quality_model.votes(t) != quality_model.SILENT]
+    bad = scorer.labels.posterior(np.array([quality_model.votes(texts[i]) for i in voted]))
+    own = scores[voted]
+    wrong = [(1 - bad[own <= s]).sum() + bad[own > s].sum() for s in own]
+    best = min(w for w in wrong)
+    lowest = min(s for s, w in zip(own, wrong, strict=True) if w <= best + 1e-9)
+    want = min(0.5, 1.5 * lowest + 0.02) if best < bad.sum() else 0.5
+    scored = spark.createDataFrame([(float(s), quality_model.votes(t)) for s, t in zip(scores, texts, strict=True)], "score double, v long")
+    assert abs(quality_model.threshold_of_all(scored, scorer.labels, "score", "v") - want) < 2 / quality_model.STEPS
+    kept = {r.doc_id: r.kept for r in quality_model.judge(frame).collect()}
+    assert kept == {i: bool(s >= want) for i, s in enumerate(scores)}
+
+
 def test_threshold_keeps_the_recall(spark):
     found = labelled(900, 1)
     found += [(*row[:3], True) for row in labelled(100, 3) if not row[3]]  # secrets that look like the others

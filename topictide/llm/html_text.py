@@ -7,7 +7,9 @@ What is left of the article (of the page, where none is marked) is the text.
 
 Pages whose text is the same before templates go count as one page, so a page or an article
 that a site shows under many addresses stays whole. Subtrees that recur on pages of different
-text go inside marked articles too.
+text go inside marked articles too, a heading only with what it heads; but not where they are
+nearly all of an article, which is then one that the site shows again under another title or date.
+Pages without an address have no site, and so no templates.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from topictide.llm.texts import per_text
 #: A subtree is template on this share of a host's pages, and on this many at least. The
 #: share bounds the templates of a host to 1 / share times the subtrees of a page.
 SHARE, LEAST_PAGES = 0.05, 5
+#: Templates that leave less than one part in so many of a marked article are the article.
+MOST = 5
 #: The templates of all hosts are broadcast up to these many hosts and hashes (8 bytes each).
 BROADCAST_HOSTS, BROADCAST_HASHES = 20_000, 1_000_000
 
@@ -37,6 +41,14 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 LAYOUT = re.compile(r"(?:with|without|no|not|has|have)[^a-z0-9]")
+#: Inside a marked article, words that name no part beside these leave a dropped word its meaning.
+GENERIC_WORDS = frozenset(
+    "box block section list area container wrapper wrap inner outer top bottom left right middle slot unit item items content "
+    "bar row col column site page main primary secondary global inline small large mobile desktop sticky fixed js article post "
+    "story blog news email user users reader readers thread button buttons icons links link panel".split()
+)
+#: An id alone drops a part of a marked article only by one of these.
+ID_WORDS = frozenset("nav navbar navigation sidebar ad ads advert advertisement cookie cookies consent comment comments respond disqus".split())
 #: Stands among the words of an element for the attributes that hide it.
 UNSEEN = "@hidden"
 
@@ -64,6 +76,8 @@ CLOSED_BY = {
     "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
     "head": {"body", "article", "main", "div", "p", "nav", "header", "section", "h1"},
 }
+#: The other way round: what a start tag can close.
+CLOSES = {tag: [key for key, tags in CLOSED_BY.items() if tag in tags] for tag in frozenset().union(*CLOSED_BY.values())}
 #: An implied end does not reach beyond these.
 SCOPES = frozenset("html body table td th ul ol dl div section article main aside nav header footer form blockquote".split())
 
@@ -72,6 +86,7 @@ SCOPES = frozenset("html body table td th ul ol dl div section article main asid
 class Element:
     tag: str
     words: frozenset
+    named: bool  # by a whole class, role or id token of dropped and generic words
     start: int  # of its events
     end: int = 0
     digest: int = 0
@@ -80,10 +95,11 @@ class Element:
     parts: list = dataclasses.field(default_factory=list)
 
 
-def _words(attrs: str) -> frozenset:
+def _words(attrs: str) -> tuple[frozenset, bool]:
+    """Words of class, id and role, and whether a whole token of them names a dropped part."""
     if "=" not in attrs and "hidden" not in attrs:
-        return frozenset()
-    found = set()
+        return frozenset(), False
+    found, named = set(), False
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -91,8 +107,12 @@ def _words(attrs: str) -> frozenset:
         elif name in ("class", "id", "role"):
             for token in value.split():
                 # what a layout goes with or without does not name the element itself
-                found.update([token] if LAYOUT.match(token) else re.split(r"[^a-z0-9]+", token))
-    return frozenset(found - {""})
+                parts = [token] if LAYOUT.match(token) else re.split(r"[^a-z0-9]+", token)
+                found.update(parts)
+                said = {part for part in parts if part and not part.isdigit()}
+                known = ID_WORDS if name == "id" else DROPPED_WORDS
+                named = named or not known.isdisjoint(said) and said <= DROPPED_WORDS | GENERIC_WORDS
+    return frozenset(found - {""}), named
 
 
 def parse(html: str) -> tuple[list, list[Element]]:
@@ -104,6 +124,7 @@ def parse(html: str) -> tuple[list, list[Element]]:
     events: list = []
     elements: list[Element] = []
     stack: list[Element] = []
+    opened_tags: dict[str, int] = {}
 
     def text(raw: str) -> None:
         if raw:
@@ -118,6 +139,7 @@ def parse(html: str) -> tuple[list, list[Element]]:
 
     def close() -> None:
         node = stack.pop()
+        opened_tags[node.tag] -= 1
         node.end = len(events)
         events.append(node)
         key = "\x00".join((node.tag, *sorted(node.words), *node.parts))
@@ -145,23 +167,24 @@ def parse(html: str) -> tuple[list, list[Element]]:
             continue
         tag = token["tag"].lower()
         if token["end"]:
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if opened_tags.get(tag) else ():
                 if stack[depth].tag == tag:
                     while len(stack) > depth:
                         close()
                     break
             continue
-        for depth in range(len(stack) - 1, -1, -1):
+        for depth in range(len(stack) - 1, -1, -1) if any(map(opened_tags.get, CLOSES.get(tag, ()))) else ():
             opened = stack[depth].tag
             if tag in CLOSED_BY.get(opened, ()):
                 while len(stack) > depth:
                     close()
             elif opened in SCOPES:
                 break
-        node = Element(tag, _words(token["attrs"]), len(events))
+        node = Element(tag, *_words(token["attrs"]), len(events))
         elements.append(node)
         events.append(node)
         stack.append(node)
+        opened_tags[tag] = opened_tags.get(tag, 0) + 1
         if tag in VOID or token["attrs"].endswith("/") and tag not in BLOCKS:
             close()
         elif tag in RAW:
@@ -233,7 +256,38 @@ def _roots(elements: list[Element]) -> list[Element]:
 
 def main_text(html: str, templates: frozenset = frozenset()) -> str:
     """Blocks of the main text, joined by line feeds."""
-    return _rendered(*parse(html), templates)
+    events, elements = parse(html)
+    text = _rendered(events, elements, templates)
+    if templates and _roots(elements):
+        whole = _rendered(events, elements)
+        if MOST * len(text) < len(whole):
+            return whole
+    return text
+
+
+def _dropped_inside(node: Element, templates: frozenset) -> bool:
+    """Whether a part of a marked article is none of it.
+
+    A word of its class or id says so only where it names the whole part, or where the part
+    recurs on the site or is mostly links: an article may have a section on search or menus.
+    """
+    if _unseen(node) or "hidden" in node.words or node.named:
+        return True
+    return _dropped(node) and (node.digest in templates or 2 * node.linked > node.chars)
+
+
+def _heads_nothing(events: list, heading: Element, last: int, templates: frozenset) -> bool:
+    """Whether what follows a heading in its article goes as well."""
+    for event in events[heading.end + 1 : last]:
+        if isinstance(event, str):
+            if event.strip():
+                return False
+        elif event.start > heading.end and event.chars:
+            if event.tag not in HEADINGS:
+                return event.digest in templates or _dropped_inside(event, templates)
+            if event.tag <= heading.tag:  # h2 ends what h3 heads; a deeper one does not
+                return True
+    return False
 
 
 def _rendered(events: list, elements: list[Element], templates: frozenset = frozenset()) -> str:
@@ -262,9 +316,11 @@ def _rendered(events: list, elements: list[Element], templates: frozenset = froz
             elif event.tag == "br":
                 line.append(" ")
             if opening and at != first:
-                removable = event.tag not in ("html", "body")
-                skipped = _dropped(event) and event.tag != "body" or event.tag == "header" and not marked
-                if skipped or removable and event.digest in templates:
+                removable = event.tag not in ("html", "body") and event.digest in templates
+                if removable and marked and event.tag in HEADINGS:
+                    removable = _heads_nothing(events, event, last, templates)
+                skipped = _dropped_inside(event, templates) if marked else _dropped(event) or event.tag == "header"
+                if skipped and event.tag != "body" or removable:
                     at = event.end + 1
                     continue
                 if event.tag == "header":
@@ -291,7 +347,8 @@ def host_of(url):
 def site_templates(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """One row per host with template subtrees: host and their hashes. Pages are told apart by text."""
     hashes = per_text(page_hashes, "content long, h array<long>")
-    listed = pages.select(host_of(F.col("url")).alias("host"), hashes(F.col("html")).alias("p")).select("host", "p.*")
+    sites = pages.select(host_of(F.col("url")).alias("host"), "html").where(F.col("host") != "")
+    listed = sites.select("host", hashes(F.col("html")).alias("p")).select("host", "p.*")
     found = listed.select("host", "content", F.explode(F.concat(F.col("h"), F.array(F.lit(None).cast("long")))).alias("hash")).distinct()
     counts = found.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))  # the null hash counts the pages
     counts = saved(counts.where((F.col("n") >= least_pages) | F.col("hash").isNull()))
@@ -303,19 +360,21 @@ def site_templates(pages: DataFrame, share: float = SHARE, least_pages: int = LE
 def extract_main_text(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars``, without ``html``.
 
-    A null or empty html has an empty text; a null or odd address belongs to a host without
-    name. Repeated rows and other pages of equal text count as one page. An empty table
+    A null or empty html has an empty text; a page with a null or odd address has no templates.
+    Repeated rows and other pages of equal text count as one page. An empty table
     gives no rows. Columns named ``text`` or ``n_chars`` are replaced.
     """
     templates = saved(site_templates(pages, share, least_pages))
     hosts, hashes = templates.agg(F.count(F.lit(1)), F.sum(F.size("templates"))).first()
     if hosts <= BROADCAST_HOSTS and (hashes or 0) <= BROADCAST_HASHES:
         templates = F.broadcast(templates)
-    templates = templates.select(F.col("host").alias("_host"), F.col("templates").alias("_templates"))
-    pages = pages.drop("text", "n_chars").withColumn("_key", host_of(F.col("url")))
-    joined = pages.join(templates, F.col("_key") == F.col("_host"), "left")
-    out = joined.withColumn("text", _text_column()(F.col("html"), F.col("_templates")))
-    return out.withColumn("n_chars", F.length("text").cast("long")).drop("_key", "_host", "_templates", "html")
+    pages = pages.drop("text", "n_chars")
+    mark = next("_" * i for i in range(1, len(pages.columns) + 9) if not any(n.startswith("_" * i) for n in pages.columns))
+    key, host, listed = mark + "key", mark + "host", mark + "templates"
+    templates = templates.select(F.col("host").alias(host), F.col("templates").alias(listed))
+    joined = pages.withColumn(key, host_of(F.col("url"))).join(templates, F.col(key) == F.col(host), "left")
+    out = joined.withColumn("text", _text_column()(F.col("html"), F.col(listed)))
+    return out.withColumn("n_chars", F.length("text").cast("long")).drop(key, host, listed, "html")
 
 
 def _text_column():

@@ -8,10 +8,13 @@ are then put in a global random order.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topictide.llm.store import saved
+from topictide.operators.numbering import numbered
 
 #: Hexadecimal digits (52 bits) that make the uniform number; exact in a double.
 HASH_DIGITS = 13
@@ -27,23 +30,47 @@ def uniform(seed: str, *parts: Column) -> Column:
 
 
 def poisson_table(mean: Column) -> Column:
-    """Distribution function of a Poisson variable at 0, 1, 2, ... up to a tail below 2^-52.
+    """Distribution function of a Poisson variable at ``poisson_start``, the next number, and so on.
 
-    Terms are built from logarithms, so a large mean does not underflow.
+    The band ends where tails are below 2^-52. Terms are built from logarithms, so a large
+    mean does not underflow; the first one of a band that does not begin at 0 comes from
+    Stirling's series.
     """
-    last = F.ceil(mean + 9 * F.sqrt(mean) + 40).cast("int")
-    first = F.exp(-mean)
-    start = F.struct((-mean).alias("log"), first.alias("sum"), F.array(first).alias("all"))
+    low, last = poisson_start(mean), F.ceil(mean + 9 * F.sqrt(mean) + 40).cast("int")
+    n = low.cast("double")
+    stirling = n * F.ln(n) - n + 0.5 * F.ln(2 * math.pi * n) + 1 / (12 * n) - 1 / (360 * n * n * n)
+    log = F.when(low > 0, n * F.ln(mean) - mean - stirling).otherwise(-mean)
+    first = F.exp(log)
+    start = F.struct(log.alias("log"), first.alias("sum"), F.array(first).alias("all"))
 
     def add(acc: Column, k: Column) -> Column:
         log = acc["log"] + F.ln(mean) - F.ln(k.cast("double"))
         total = acc["sum"] + F.exp(log)
         return F.struct(log.alias("log"), total.alias("sum"), F.concat(acc["all"], F.array(total)).alias("all"))
 
-    table = F.aggregate(F.sequence(F.lit(1), last), start, add, lambda acc: acc["all"])
+    table = F.aggregate(F.sequence(low + 1, last), start, add, lambda acc: acc["all"])
     return F.when(mean > 0, table).otherwise(F.array(F.lit(1.0)))
 
 
+def poisson_start(mean: Column) -> Column:
+    """The first number of the band of ``poisson_table``; what lies below it has no chance."""
+    return F.greatest(F.lit(0), F.floor(mean - 9 * F.sqrt(mean) - 40).cast("int"))
+
+
+def drawn_copies(table: Column, start: Column, drawn: Column) -> Column:
+    """How many entries of a band lie at or below the drawn number, by halving, and what precedes the band."""
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        below = (acc["low"] < acc["high"]) & (F.get(table, middle) <= drawn)
+        low = F.when(below, middle + 1).otherwise(acc["low"])
+        high = F.when(below | (acc["low"] >= acc["high"]), acc["high"]).otherwise(middle)
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(table) + 1)).cast("int"))
+    ends = F.struct(F.lit(0).alias("low"), F.size(table).alias("high"))
+    return (start + F.aggregate(rounds, ends, halve, lambda acc: acc["low"])).cast("long")
+
+
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, exponent: float, size: Column) -> DataFrame:
     """One row per source: its size, mean repetition rate and Poisson table.
 
@@ -77,16 +104,25 @@ def repeat_documents(
 
     Adds ``copy`` (from 0), ``n_copies`` and ``rate``. ``size`` measures a document; by
     default it is one. Documents without a source are a source of their own, and rows of one
-    id share their number, so repeated rows are repeated alike. An empty table stays empty.
-    Columns named like those added are replaced.
+    id share their number, so repeated rows are repeated alike. Rows without an id each have a
+    number of their own, from a digest of the row and which of the equal rows it is. An empty
+    table stays empty. Columns named like those added are replaced.
     """
     docs = docs.drop("copy", "n_copies", "rate")
+    names = docs.columns
+    mark = next("_" * i for i in range(1, len(names) + 9) if not any(n.startswith("_" * i) for n in names))
+    table, source, named, first, order = (mark + x for x in ("table", "source", "id", "first", "place"))
     size = F.lit(1) if size is None else size
-    rates = source_rates(docs, weights, exponent, size).select(F.col("source").alias("_source"), "rate", "table")
-    rates = _joinable(rates)
-    joined = docs.join(rates, docs["source"].eqNullSafe(rates["_source"])).drop("_source")
-    drawn = uniform(seed, F.col("doc_id"))
-    counted = joined.withColumn("n_copies", F.size(F.filter("table", lambda c: c <= drawn)).cast("long")).drop("table")
+    rates = source_rates(docs, weights, exponent, size)
+    rates = _joinable(rates.select(F.col("source").alias(source), "rate", "table", poisson_start(F.col("rate")).alias(first)))
+    rates = rates.withColumnRenamed("table", table)
+    with_id = docs.where(F.col("doc_id").isNotNull()).withColumn(named, F.col("doc_id").cast("string"))
+    digest = F.md5(F.to_json(F.struct(*names)))
+    equal = numbered(docs.where(F.col("doc_id").isNull()).withColumn(order, digest), [order], [order], first)
+    without = equal.withColumn(named, F.concat_ws(":", F.lit("null"), order, first)).select(*names, named)
+    joined = with_id.unionByName(without).join(rates, F.col("source").eqNullSafe(F.col(source))).drop(source)
+    copied = drawn_copies(F.col(table), F.col(first), uniform(seed, F.col(named)))
+    counted = joined.withColumn("n_copies", copied).drop(table, first)
     copies = counted.where(F.col("n_copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    place = uniform(seed + "/order", F.col("doc_id"), F.col("copy"))
-    return copies.withColumn("_place", place).orderBy("_place", "doc_id", "copy").drop("_place")
+    place = uniform(seed + "/order", F.col(named), F.col("copy"))
+    return copies.withColumn(order, place).orderBy(order, named, "copy").drop(order, named)

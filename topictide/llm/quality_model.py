@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from topictide.llm.quality_rules import EXCITED, SENTENCE_END, SEPARATORS, SYMBOLS, repeated_words
 from topictide.llm.store import saved
-from topictide.llm.texts import in_slices, words_of, worker_memo
+from topictide.llm.texts import in_slices, per_text, words_of, worker_memo
 
 GOOD, NONE, BAD = 0, 1, 2
 #: Labellers of faults vote bad or nothing: that a fault is missing says little. The last two
@@ -33,6 +33,8 @@ SILENT = sum(NONE * 3**i for i in range(len(LABELLERS)))
 BOUNDS = ((0.05, 0.3), (0.05, 0.5), (0.1, 0.5), (0.02, 0.25), (0.1, 0.5), (0.02, 0.25), (0.3, 0.9), (0.7, 0.85))
 #: Documents that the scorer is trained on, smallest hash first.
 MAX_SAMPLE = 4000
+#: Tasks that read the sample's texts; and the steps of scores in which all documents are counted.
+SAMPLE_TASKS, STEPS = 32, 4000
 BUCKETS = 1 << 15
 #: Word features kept in one worker's memo; the memo starts anew beyond it.
 MEMO_WORDS = 80_000
@@ -53,7 +55,7 @@ def votes(text: str) -> int:
         repeated_words(words) / n,
         len(EXCITED.findall(text)) / n,
         1 - sum(SENTENCE_END.search(line) is not None for line in lines) / len(lines),
-        1 - len({*words[:200]}) / min(n, 200),
+        1 - sum(len({*words[i : i + 200]}) for i in range(0, n, 200)) / n,
     )
     clean = [m < low for m, (low, _) in zip(measures, BOUNDS, strict=True)]
     cast = [BAD if m >= high else NONE for m, (_, high) in zip(measures, BOUNDS, strict=True)]
@@ -104,7 +106,7 @@ class _Hashed(dict):
     def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
         case = "U" if text.isupper() and len(text) > 1 else "l"
-        shape = case + SHAPES[1][0].sub("0", SHAPES[0][0].sub("a", text))[:12]
+        shape = case + SHAPES[1][0].sub("0", SHAPES[0][0].sub("a", text))
         pair = zlib.crc32(word.lower()) % BUCKETS * BUCKETS + zlib.crc32(shape.encode()) % BUCKETS
         if len(self) < MEMO_WORDS:
             self[word] = pair
@@ -133,6 +135,7 @@ class Scorer:
     weights: np.ndarray
     bias: float
     threshold: float = 0.5
+    labels: LabelModel | None = None  # that it was trained by
 
     def score(self, text: str) -> float:
         ids, values = features(text)
@@ -152,15 +155,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, epochs: int
         grad = np.bincount(ids, slope[owner] * values, BUCKETS) + 1e-5 * weights
         seen, seen_bias = seen + grad**2, seen_bias + slope.sum() ** 2
         weights, bias = weights - rate * grad / np.sqrt(seen), bias - rate * slope.sum() / np.sqrt(seen_bias)
-    scores = 1 / (1 + np.exp(-np.clip(np.bincount(owner, weights[ids] * values, len(rows)) + bias, -50, 50)))
-    return Scorer(weights, bias, threshold_for(scores, 1 - good))
+    return Scorer(weights, bias)
 
 
-def threshold_for(scores: np.ndarray, bad: np.ndarray) -> float:
-    """The lowest threshold with the fewest wrong documents of the sample, with some room, up to 0.5."""
+def threshold_for(scores: np.ndarray, bad: np.ndarray, documents: np.ndarray) -> float:
+    """The lowest threshold with the fewest wrong documents, with some room, up to 0.5.
+
+    Scores may be those of groups: each has so many ``documents``, ``bad`` of them bad.
+    """
     order = np.argsort(scores)
-    scores, bad = scores[order], bad[order]
-    wrong = np.cumsum(1 - bad) + bad.sum() - np.cumsum(bad)  # if all up to here are rejected
+    scores, bad, documents = scores[order], bad[order], documents[order]
+    wrong = np.cumsum(documents - bad) + bad.sum() - np.cumsum(bad)  # if all up to here are rejected
     if not len(wrong) or wrong.min() >= bad.sum():
         return 0.5
     return min(0.5, 1.5 * float(scores[wrong.argmin()]) + 0.02)
@@ -175,11 +180,22 @@ def _votes_column(text):
 
 
 def _score_column(text, scorer: Scorer):
-    def batch(texts: pa.Array) -> pa.Array:
-        return pa.array([scorer.score(t or "") for part in in_slices([texts]) for t in part.to_pylist()], pa.float64())
+    return per_text(lambda t: (scorer.score(t), votes(t)), "score double, votes long")(text)
 
-    batch.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(batch, "double")(text)
+
+def threshold_of_all(scored: DataFrame, labels: LabelModel, score: str, pattern: str) -> float:
+    """The threshold from the scores and posteriors of all documents with a vote, by steps of the score."""
+    step = F.floor(F.col(score) * STEPS).cast("int").alias("step")
+    rows = scored.where(F.col(pattern) != SILENT).groupBy(step, F.col(pattern).alias("v")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(score).alias("top")
+    )
+    known = [r[0] for r in rows.select("v").distinct().collect()]  # at most 2^10 patterns
+    if not known:
+        return 0.5
+    chances = labels.posterior(np.array(known, np.int64)).tolist()
+    chance = scored.sparkSession.createDataFrame([*zip(known, chances, strict=True)], "v long, bad double")
+    steps = rows.join(F.broadcast(chance), "v").groupBy("step").agg(F.max("top"), F.sum(F.col("bad") * F.col("n")), F.sum("n")).collect()
+    return threshold_for(*(np.array([r[i] for r in steps], float) for i in (1, 2, 3)))
 
 
 def pattern_counts(docs: DataFrame) -> list[tuple[int, int]]:
@@ -202,6 +218,7 @@ def train(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Scorer:
     order = F.xxhash64("doc_id", "text")
     below = docs.where(order <= F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else docs
     chosen = below.orderBy(order, F.length("text")).limit(max_sample).select("text")
+    chosen = chosen.repartition(SAMPLE_TASKS, F.xxhash64("text"))
     kind = "v long, ids array<int>, vals array<float>"
 
     def featurise(batches):
@@ -212,7 +229,8 @@ def train(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Scorer:
 
     rows = [row for row in chosen.mapInArrow(featurise, kind).collect() if row[0] != SILENT]
     bad = model.posterior(np.array([r[0] for r in rows], np.int64)) if rows else np.zeros(0)
-    return fit([(np.array(r[1], np.int64), np.array(r[2], float)) for r in rows], 1 - bad)
+    scorer = fit([(np.array(r[1], np.int64), np.array(r[2], float)) for r in rows], 1 - bad)
+    return dataclasses.replace(scorer, labels=model)
 
 
 def judge(docs: DataFrame, scorer: Scorer | None = None) -> DataFrame:
@@ -220,7 +238,15 @@ def judge(docs: DataFrame, scorer: Scorer | None = None) -> DataFrame:
 
     A null text counts as empty; its score is that of the bias alone. Rows are judged alone,
     so repeated rows and null ids are kept as they are. On an empty table nothing is learned
-    and nothing returned. Columns named ``score`` or ``kept`` are replaced.
+    and nothing returned. Columns named ``score`` or ``kept`` are replaced. Scores are stored;
+    the threshold comes from those of all documents, unless the scorer is given with its own.
     """
-    scorer = scorer or train(docs)
-    return docs.withColumn("score", _score_column(F.col("text"), scorer)).withColumn("kept", F.col("score") >= scorer.threshold)
+    given, scorer = scorer, scorer or train(docs)
+    both = next(f"_both{i}" for i in range(len(docs.columns) + 1) if f"_both{i}" not in docs.columns)
+    scored = docs.drop("score", "kept").withColumn(both, _score_column(F.col("text"), scorer))
+    scored = scored.withColumns({"score": F.col(f"{both}.score"), both: F.col(f"{both}.votes")})
+    threshold = scorer.threshold
+    if given is None:
+        scored = saved(scored)
+        threshold = threshold_of_all(scored, scorer.labels, "score", both)
+    return scored.withColumn("kept", F.col("score") >= threshold).drop(both)
