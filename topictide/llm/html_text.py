@@ -260,7 +260,8 @@ def main_text(html: str, templates: frozenset = frozenset()) -> str:
     text = _rendered(events, elements, templates)
     if templates and _roots(elements):
         whole = _rendered(events, elements)
-        if MOST * len(text) < len(whole):
+        # a part that stands twice in an article is none of it, so blocks count once
+        if MOST * len(text) < len("\n".join(dict.fromkeys(whole.split("\n")))):
             return whole
     return text
 
