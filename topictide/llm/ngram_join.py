@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topictide.llm.graph import components
-from topictide.llm.store import saved
+from topictide.llm.store import saved, saved_for_now
 from topictide.llm.texts import in_slices, worker_memo
 
 #: Similarity as a fraction: linked if NUM[0] * union <= NUM[1] * intersection.
@@ -224,19 +224,21 @@ def similar_documents(docs: DataFrame, n: int = 3, similarity: tuple[int, int] =
     rows each give a row. Null ids are kept; a component holding only them has a null id. An
     empty table gives no rows; other columns are not read.
     """
-    sets = saved(_described(docs, n, similarity))
+    described, delete = saved_for_now(_described(docs, n, similarity))
+    sets = saved(described.drop("keys"))
     filled = sets.where(F.col("n_shingles") > 0)
     nodes = saved(filled.groupBy(F.col("sig1").alias("node")).agg(F.min("doc_id").alias("doc_id")))
-    spread = filled.select(F.col("sig1").alias("node"), F.explode("keys").alias("key"))
+    spread = described.where(F.col("n_shingles") > 0).select(F.col("sig1").alias("node"), F.explode("keys").alias("key"))
     # one shuffle of all keys: a key that two sets share stays
     same = Window.partitionBy("key")
-    ranges = spread.select("node", "key", F.min("node").over(same).alias("_a"), F.max("node").over(same).alias("_b"))
-    met = saved(ranges.where(F.col("_a") != F.col("_b")).select("key", "node").distinct())
+    ends = F.min("node").over(same).alias("_a"), F.max("node").over(same).alias("_b"), F.count(F.lit(1)).over(same).alias("_n")
+    ranges = spread.select("node", "key", *ends)
+    met = saved(ranges.where(F.col("_a") != F.col("_b")).select("key", "node", "_n").distinct())
+    delete()  # the keys that no two sets share
     # of the rows that share a range, the one that shares most is the hub of a block
-    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
-    weights = met.join(sizes, "key").groupBy("node").agg(F.sum("_n").alias("_w"))
+    weights = met.groupBy("node").agg(F.sum("_n").alias("_w"))
     order = F.shiftleft("_w", 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
-    hubs = met.join(weights, "node").groupBy("key").agg(F.max_by("node", order).alias("hub"))
+    hubs = met.drop("_n").join(weights, "node").groupBy("key").agg(F.max_by("node", order).alias("hub"))
     pairs = saved(met.join(hubs, "key").where(F.col("node") != F.col("hub")).select("hub", "node").distinct())
     parts = pairs.groupBy("hub").agg(F.ceil((F.count(F.lit(1)) + 1) / block_rows).cast("int").alias("_parts"))
     placed = saved(pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")))
