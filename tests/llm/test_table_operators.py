@@ -178,6 +178,30 @@ def test_chats(spark, rows):
     assert chat_format.format_chats(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("run", [2, 1024])
+def test_chats_by_brute_force(spark, monkeypatch, run):
+    """Long and hot conversations, some without an id, over several runs and blocks of turns."""
+    monkeypatch.setattr(chat_format, "RUN", run)
+    rng = np.random.default_rng(4)
+    base = [("user" if k % 2 == 0 else "assistant", f"t{rng.integers(9)}") for k in range(40)]
+    logged = {i: base[: int(rng.integers(1, 41))] for i in range(30)}
+    logged |= {100 + i: base[: int(rng.integers(1, 30))] + [("user", f"own{i % 3}")] for i in range(12)}
+    logged[None] = [*base, *base]
+    turns = [(i, k, role, text) for i, said in logged.items() for k, (role, text) in enumerate(said)]
+    rng.shuffle(turns)
+    frame = spark.createDataFrame([(None if i is None else int(i), int(k), r, t) for i, k, r, t in turns], "conv_id long, turn long, role string, text string")
+    # a row of two in the list of all conversations that begins another one is no maximal one
+    def goes(i, said):
+        longer = any(len(o) > len(said) and o[: len(said)] == said for o in logged.values())
+        return longer or any(o == said and (j is None or (i is not None and j < i)) for j, o in logged.items() if j != i)
+    wanted = {i: (len(said), "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in said)) for i, said in logged.items() if not goes(i, said)}
+    parts: dict = {}
+    for r in sorted(chat_format.format_chats(frame, part_turns=7).collect(), key=lambda r: r.part):
+        parts.setdefault(r.conv_id, []).append(r)
+    assert {i: (rows[0].n_turns, "".join(r.text for r in rows)) for i, rows in parts.items()} == wanted
+    assert all([r.part for r in rows] == list(range(len(rows))) for rows in parts.values())
+
+
 def test_mixing_rates(spark):
     sources = F.when(F.col("id") % 10 < 6, "big").when(F.col("id") % 10 < 9, "mid")
     frame = spark.range(20_000).select(F.col("id").alias("doc_id"), sources.alias("source"), F.lit("x").alias("copy"))
