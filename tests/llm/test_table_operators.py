@@ -354,6 +354,21 @@ def test_substrings_by_brute_force(docs, monkeypatch, stretches):
     assert substring_dedup.drop_repeated_substrings(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("ident", [None, 7])
+def test_substrings_of_texts_that_share_an_id(docs, ident):
+    """Many texts of one id, or of none: each keeps its own spans, in the order of the hashes."""
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdef ", k=150))
+    texts = ["".join(rng.choices("abcdefgh ", k=rng.randint(100, 200))) + passage * (k % 3 == 0) for k in range(600)]
+    frame = docs([(ident, t) for t in texts])
+    low, seed = (substring_dedup.NO_ID_BITS, []) if ident is None else (substring_dedup.SALT_BITS, [F.lit(substring_dedup.SALT_BITS)])
+    order = F.xxhash64(*seed, "text").bitwiseAND(F.lit((1 << low) - 1))
+    ranked = [r.text for r in frame.orderBy(order).select("text").collect()]
+    want = brute_removed(list(enumerate(ranked)), 100)
+    got = substring_dedup.drop_repeated_substrings(frame).collect()
+    assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(want.values())
+
+
 def test_interval_expansion_by_brute_force():
     rng = random.Random(6)
     for _ in range(200):

@@ -27,8 +27,10 @@ from topictide.llm.texts import in_slices
 LENGTH, GRAM = 100, 32
 #: Bytes of stretches in one block, and different stretches of one gram that stay together.
 BLOCK_BYTES, GRAM_STRETCHES = 1 << 20, 4096
-#: A place packs 15 bits of the text's hash, its start (40 bits) and its number of windows.
-START_BITS, COUNT_BITS = 40, 8
+#: A place packs 24 bits of the text's hash, its start (a text has less than 2 GB) and its number of windows.
+SALT_BITS, START_BITS, COUNT_BITS = 24, 31, 8
+#: Rows without an id get one from the hash of their text, in the lowest quarter of the numbers.
+NO_ID, NO_ID_BITS = -(1 << 63), 62
 
 _rng = np.random.default_rng(20)
 BYTE_CODES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -284,12 +286,14 @@ def drop_repeated_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame
     Removed is each byte covered by a ``length``-byte string of the input that also starts
     earlier: in a document with a smaller id, or earlier in the same one. A null text counts
     as empty. Rows with the same id and text count as one document and each get its result;
-    different texts of one id are ordered by their hash. A null id is the smallest. An empty
-    table gives no rows; other columns are not read.
+    different texts of one id are ordered by their hash. A null id is smaller than ids from
+    -2**62 on, and rows without one are ordered by the hash of their text. An empty table
+    gives no rows; other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    salt = F.pmod(F.xxhash64(text), F.lit(1 << 15))
+    unnamed = F.xxhash64(text).bitwiseAND(F.lit((1 << NO_ID_BITS) - 1)) + F.lit(NO_ID)
+    ident = F.coalesce(F.col("doc_id").cast("long"), unnamed)
+    salt = F.pmod(F.xxhash64(F.lit(SALT_BITS), text), F.lit(1 << SALT_BITS))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ident.alias("_id"), salt.alias("_salt"), text.alias("_text"))
     spans = removed_spans(keyed, length)
     listed = spans.groupBy("_id", "_salt").agg(F.collect_list(F.struct("first", "end")).alias("_spans"))
