@@ -92,15 +92,15 @@ def render(placed: DataFrame, maximal: DataFrame, part_turns: int = PART_TURNS)
     role = F.coalesce(F.col("role"), F.lit("user"))
     text = F.trim(F.coalesce(F.col("text"), F.lit("")))
     line = F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("<|end|>\n"))
-    parts = maximal.select(
-        F.col("conv_id").alias("_id"), "n_turns", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_turns") - 1) / part_turns))).alias("_part")
+    # keys without nulls, so that the grouping needs no other exchange than the join
+    keys = [F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("_id"), F.col("conv_id").isNull().alias("_none")]
+    parts = maximal.select(*keys, "n_turns", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_turns") - 1) / part_turns))).alias("part"))
+    lines = placed.select(*keys, "conv_id", "_place", line.alias("_line"), F.floor((F.col("_place") - 1) / part_turns).alias("part"))
+    grouped = lines.join(parts, ["_id", "_none", "part"]).groupBy("_id", "_none", "part", "n_turns").agg(
+        F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("_place", "_line"))).alias("_lines")
     )
-    lines = placed.select("conv_id", "_place", line.alias("_line"), F.floor((F.col("_place") - 1) / part_turns).alias("part"))
-    chosen = lines.join(parts, F.col("conv_id").eqNullSafe(F.col("_id")) & (F.col("part") == F.col("_part")))
-    grouped = chosen.groupBy("conv_id", "n_turns", F.col("part").cast("int").alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("_place", "_line"))).alias("_lines")
-    )
-    return grouped.select("conv_id", "part", "n_turns", F.array_join(F.transform("_lines", lambda x: x["_line"]), "").alias("text"))
+    text = F.array_join(F.transform("_lines", lambda x: x["_line"]), "")
+    return grouped.select("conv_id", F.col("part").cast("int").alias("part"), "n_turns", text.alias("text"))
 
 
 def format_chats(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
