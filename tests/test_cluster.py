@@ -1,4 +1,5 @@
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -104,6 +105,25 @@ def test_high_dimensions_and_unusable_vectors(spark):
     assert density_cluster(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["FLOAT", "DOUBLE"])
+def test_far_vectors_are_not_copied_to_each_cell(spark, kind):
+    """Unit vectors at like distances: every cell reaches every vector. Few bytes a task, so partitions meet in pairs."""
+    rng = np.random.default_rng(6)
+    points = rng.normal(0, 1, (600, 32)).astype(np.float32)
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    points[:20] = points[20:40]
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], f"id LONG, embedding ARRAY<{kind}>").repartition(3)
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    files = lambda: {f: f.stat().st_size for f in folder.rglob("part-*")}
+    before, eps, size = files(), 1.05, 4
+    got = {r.id: r.prediction for r in density_cluster(df, eps=eps, min_size=size, cell_rows=20, pair_bytes=1_000_000).collect()}
+    written = sum(n for f, n in files().items() if f not in before)
+    known, core = labels_by_distance(points, eps, size), connected_by_distance(points, eps, size)
+    assert got == {i: known.get(i, -1) for i in got}
+    assert core and len(known) > len(core) and -1 in got.values()
+    assert written < 8 * 600 * 32 * (4 if kind == "FLOAT" else 8)
+
+
 def test_long_chains_settle(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501)],
                                   "a LONG, b LONG")
