@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -382,3 +383,21 @@ def test_interval_expansion_by_brute_force():
                     want.add((s, i))
                 seen.add(data[i : i + length])
         assert {*zip(which.tolist(), offsets.tolist(), strict=True)} == want
+
+
+def test_range_keys_are_not_stored(spark, docs, monkeypatch):
+    """Keys that no two sets share stand in the shuffle alone; what is stored is a few numbers a text."""
+    rng = np.random.default_rng(5)
+    pairs = [(i, " ".join(map(str, rng.integers(0, 10**9, 300)))) for i in range(200)]
+    pairs += [(200, pairs[0][1] + " more"), (201, None), (202, "")]
+    writer, sizes = type(spark.range(1).write), []
+    write = writer.parquet
+
+    def measured(self, path, *args, **kwargs):
+        write(self, path, *args, **kwargs)
+        sizes.append(sum(f.stat().st_size for f in Path(path.removeprefix("file://")).rglob("part-*")))
+
+    monkeypatch.setattr(writer, "parquet", measured)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(docs(pairs), 5, (80, 100)).collect()}
+    assert got == {i: 0 if i == 200 else i for i, _ in pairs}
+    assert sizes and max(sizes) < 200 * 100

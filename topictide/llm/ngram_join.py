@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topictide.llm.graph import components
-from topictide.llm.store import saved, saved_for_now
+from topictide.llm.store import saved
 from topictide.llm.texts import in_slices, worker_memo
 
 #: Similarity as a fraction: linked if NUM[0] * union <= NUM[1] * intersection.
@@ -121,21 +121,36 @@ def _cut(grams: np.ndarray, ranges: int, salt: int) -> tuple[np.ndarray, np.ndar
     return parts, _mix(np.full(ranges, (salt + 1) << 32, np.uint64) + np.arange(ranges, dtype=np.uint64))
 
 
-def _described(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit signature of the set, and its range keys."""
-    names = ["doc_id", "n_shingles", "sig1", "sig2", "keys"]
+def _described(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles and a 128-bit signature of the set."""
+    names = ["doc_id", "n_shingles", "sig1", "sig2"]
 
     def describe(batches):
         for batch in in_slices(batches):
             sets = [ngram_set(t or "", n) for t in batch.column(1).to_pylist()]
-            keys = [range_keys(s, similarity).view(np.int64) for s in sets]
-            signs = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(offsets, np.concatenate([*keys, np.zeros(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs[:, 0]), pa.array(signs[:, 1]), listed], names=names)
+            signs = np.frombuffer(b"".join(map(_signature, sets)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs[:, 0]), pa.array(signs[:, 1])], names=names)
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(describe, "doc_id long, n_shingles long, sig1 long, sig2 long, keys array<long>")
+    return texts.mapInArrow(describe, "doc_id long, n_shingles long, sig1 long, sig2 long")
+
+
+def _signature(grams: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(grams.tobytes())
+
+
+def _ranges(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
+    """node and key of each range of each set; sets are read anew, as all keys of a table take more room than its texts."""
+
+    def cut(batches):
+        for batch in in_slices(batches, 100):
+            sets = [s for s in (ngram_set(t or "", n) for t in batch.column(0).to_pylist()) if len(s)]
+            keys = [range_keys(s, similarity).view(np.int64) for s in sets]
+            nodes = np.frombuffer(b"".join(map(_signature, sets)), np.int64)[::2]
+            every = np.concatenate([*keys, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, [len(k) for k in keys])), pa.array(every)], names=["node", "key"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(cut, "node long, key long")
 
 
 def block_links(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -196,7 +211,7 @@ def _link_blocks(n: int, similarity: tuple[int, int]):
                     block, nodes, sets, known = (hub, part, other), [], [], []
                 grams = ngram_set(text, n)
                 # an id may be repeated with another text, which is then another node's
-                if np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), np.int64)[0] == node and node not in nodes[:1]:
+                if np.frombuffer(_signature(grams), np.int64)[0] == node and node not in nodes[:1]:
                     nodes.append(node)
                     sets.append(grams)
                     known.append(component)
@@ -224,17 +239,14 @@ def similar_documents(docs: DataFrame, n: int = 3, similarity: tuple[int, int] =
     rows each give a row. Null ids are kept; a component holding only them has a null id. An
     empty table gives no rows; other columns are not read.
     """
-    described, delete = saved_for_now(_described(docs, n, similarity))
-    sets = saved(described.drop("keys"))
+    sets = saved(_described(docs, n))
     filled = sets.where(F.col("n_shingles") > 0)
     nodes = saved(filled.groupBy(F.col("sig1").alias("node")).agg(F.min("doc_id").alias("doc_id")))
-    spread = described.where(F.col("n_shingles") > 0).select(F.col("sig1").alias("node"), F.explode("keys").alias("key"))
-    # one shuffle of all keys: a key that two sets share stays
+    # one shuffle of all keys, which are not stored: a key that two sets share stays
     same = Window.partitionBy("key")
     ends = F.min("node").over(same).alias("_a"), F.max("node").over(same).alias("_b"), F.count(F.lit(1)).over(same).alias("_n")
-    ranges = spread.select("node", "key", *ends)
+    ranges = _ranges(docs, n, similarity).select("node", "key", *ends)
     met = saved(ranges.where(F.col("_a") != F.col("_b")).select("key", "node", "_n").distinct())
-    delete()  # the keys that no two sets share
     # of the rows that share a range, the one that shares most is the hub of a block
     weights = met.groupBy("node").agg(F.sum("_n").alias("_w"))
     order = F.shiftleft("_w", 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))

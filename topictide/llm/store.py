@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,19 +34,6 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def saved_for_now(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """``saved``, and a function that deletes the table once nothing is to be read from it any more."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-
-    def delete() -> None:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-    return spark.read.schema(df.schema).parquet(path), delete
-
-
 def reach(spark: SparkSession) -> None:
     """Let Python workers import this package where it is not installed: in local runs from its folder."""
     environment = spark.sparkContext.environment
