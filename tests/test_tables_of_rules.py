@@ -63,6 +63,24 @@ def test_many_rules_and_other_uses_of_tables(spark, texts):
     assert flags.flag_rules(texts, empty).where("flag = 1").count() == 0
 
 
+@pytest.mark.parametrize("weight,cells", [(0, 1), (60, 100), (10**6, 10**6)])
+def test_pieces_are_looked_up_once(monkeypatch, weight, cells):
+    """What stands in a piece between white space is remembered, within bounds; rules hold as they do word by word."""
+    monkeypatch.setattr(automata, "PIECES_WEIGHT", weight)
+    monkeypatch.setattr(automata, "HELD_CELLS", cells)
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abc\n ") for _ in range(rng.randint(0, 12))) for _ in range(200)] * 3 + [None]
+    for multiline in (False, True):
+        known = automata.Rules(RULES, multiline)
+        counts, held = known.held(texts)
+        want = [[i for i, rule in enumerate(RULES) if text is not None and any(
+                    all(word in part for word in rule.split("&")) for part in (text.split("\n") if multiline else [text]))]
+                for text in texts]
+        assert counts.tolist() == [len(some) for some in want] and held.tolist() == [i for some in want for i in some]
+        if weight == 10**6:
+            assert len(known.pieces) == len({piece for text in texts if text for piece in text.split()})
+
+
 def test_nulls_are_no_matches(spark):
     df = spark.createDataFrame([(1, None), (2, "spam"), (3, "fine")], "i INT, text STRING")
     assert sorted(r.i for r in flags.exclude_matches(df, ["spam"], ["x+"]).collect()) == [1, 3]

@@ -27,13 +27,9 @@ def _lists(rules: DataFrame, list_bytes: int) -> list[list[str]]:
     return [listed for listed in lists if listed]
 
 
-def _held(df: DataFrame, rules: DataFrame, text: str, multiline: bool, list_bytes: int) -> list[Column]:
-    """One array for each list of rules: those that hold in the text."""
-    lists = _lists(rules, list_bytes)
-    if automata.ahocorasick is None:
-        return [F.filter(F.array(*[F.when(match_rules(text, [rule], multiline), F.lit(rule)) for rule in listed]),
-                         lambda rule: rule.isNotNull()) for listed in lists]
-    return [automata.rules_held(df.sparkSession, listed, F.col(text), multiline) for listed in lists]
+def _by_expressions(listed: list[str], text: str, multiline: bool) -> Column:
+    return F.filter(F.array(*[F.when(match_rules(text, [rule], multiline), F.lit(rule)) for rule in listed]),
+                    lambda rule: rule.isNotNull())
 
 
 def rules_in_texts(
@@ -41,8 +37,11 @@ def rules_in_texts(
     list_bytes: int = automata.TERM_BYTES,
 ) -> DataFrame:
     """Rows once per rule that holds in their text, with the rule."""
-    held = _held(df, rules, text, multiline, list_bytes)
-    found = F.flatten(F.array(*held)) if held else F.array().cast("array<string>")
+    if automata.ahocorasick is None:
+        held = [_by_expressions(listed, text, multiline) for listed in _lists(rules, list_bytes)]
+    else:
+        held = [automata.rules_held(df.sparkSession, listed, F.col(text), multiline) for listed in _lists(rules, list_bytes)]
+    found = held[0] if len(held) == 1 else F.flatten(F.array(*held)) if held else F.array().cast("array<string>")
     return df.select("*", found.alias("_held")).select(*df.columns, F.explode("_held").alias(rule))
 
 
@@ -51,5 +50,9 @@ def holds_any(
     list_bytes: int = automata.TERM_BYTES,
 ) -> DataFrame:
     """Add the boolean ``name``: does a rule of the table hold? Never null; a null text holds none."""
-    held = _held(df, rules, text, multiline, list_bytes)
-    return df.withColumn(name, F.coalesce(any_of(F.size(found) > 0 for found in held), F.lit(False)))
+    lists = _lists(rules, list_bytes)
+    if automata.ahocorasick is None:
+        held = [F.size(_by_expressions(listed, text, multiline)) > 0 for listed in lists]
+    else:
+        held = [automata.any_rule(df.sparkSession, listed, F.col(text), multiline) for listed in lists]
+    return df.withColumn(name, F.coalesce(any_of(held), F.lit(False)))
