@@ -5,7 +5,9 @@ each list of terms and keeps it from task to task. Lists are of bounded bytes.
 """
 
 import functools
+import operator
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,6 +38,7 @@ HELD_CELLS, HELD_CHARS = 4_000_000, 1 << 18
 RULE_ROWS = 500
 
 NONE = np.zeros(0, np.int64)
+TERM_OF = operator.itemgetter(1)
 
 _kept: dict = {}
 
@@ -54,30 +57,27 @@ class _Pieces(dict):
 
     def __init__(self, automaton):
         super().__init__()
-        self.automaton, self.weight, self.new = automaton, 0, []
-        self.words, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.automaton, self.weight, self.words, self.ends = automaton, 0, array("i"), array("q", [0])
 
     def __missing__(self, piece: str) -> int:
-        found = np.array([*{i for _, i in self.automaton.iter(piece)}], np.int32)
-        self.new.append(found)
-        self.weight += len(piece) + len(found) + 16
-        self[piece] = len(self)
-        return self[piece]
+        self.words.extend(set(map(TERM_OF, self.automaton.iter(piece))))
+        self.weight += len(piece) + len(self.words) - self.ends[-1] + 16
+        self.ends.append(len(self.words))
+        self[piece] = number = len(self)
+        return number
 
     def inside(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(word, text) for the words inside each text's pieces, some more than once."""
         if self.weight > PIECES_WEIGHT:
             self.clear()
             self.__init__(self.automaton)
-        of_text = [np.array([*map(self.__getitem__, set(text.split()))], np.int64) for text in texts]
-        if self.new:
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(found) for found in self.new])])
-            self.words, self.new = np.concatenate([self.words, *self.new]), []
+        of_text = [np.fromiter(map(self.__getitem__, some), np.int64, len(some)) for some in (set(text.split()) for text in texts)]
         pieces = np.concatenate([NONE, *of_text])
         owner = np.repeat(np.arange(len(texts)), [len(some) for some in of_text])
-        first, sizes = self.ends[pieces], self.ends[pieces + 1] - self.ends[pieces]
+        ends = np.frombuffer(self.ends, np.int64)
+        first, sizes = ends[pieces], ends[pieces + 1] - ends[pieces]
         at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return self.words[at], np.repeat(owner, sizes)
+        return np.frombuffer(self.words, np.int32)[at], np.repeat(owner, sizes)
 
 
 class Rules:
@@ -107,7 +107,7 @@ class Rules:
             inside[self.pieces.inside(texts)] = True
         if self.of_text is not None:
             for i, text in enumerate(texts):
-                inside[[*{word for _, word in self.of_text.iter(text)}], i] = True
+                inside[[*set(map(TERM_OF, self.of_text.iter(text)))], i] = True
         for which, columns in self.by_size:
             if len(columns):
                 holds[which] = functools.reduce(np.logical_and, (inside[words] for words in columns))
