@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -401,3 +402,10 @@ def test_range_keys_are_not_stored(spark, docs, monkeypatch):
     got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(docs(pairs), 5, (80, 100)).collect()}
     assert got == {i: 0 if i == 200 else i for i, _ in pairs}
     assert sizes and max(sizes) < 200 * 100
+
+
+def test_texts_are_dealt_out_compressed(docs):
+    """A block's texts come as fewer bytes than they have, and whole."""
+    text = "alpha beta\tgamma \u00e4\n" * 200
+    sent = docs([(1, text)]).select(ngram_join._compressed()("text").alias("sent")).first().sent
+    assert len(sent) * 5 < len(text) and zlib.decompress(bytes(sent)).decode() == text

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -209,7 +210,7 @@ def _link_blocks(n: int, similarity: tuple[int, int]):
                 if (hub, part, other) != block:
                     found += flush()
                     block, nodes, sets, known = (hub, part, other), [], [], []
-                grams = ngram_set(text, n)
+                grams = ngram_set(zlib.decompress(text).decode("utf-8", "surrogatepass"), n)
                 # an id may be repeated with another text, which is then another node's
                 if np.frombuffer(_signature(grams), np.int64)[0] == node and node not in nodes[:1]:
                     nodes.append(node)
@@ -221,11 +222,22 @@ def _link_blocks(n: int, similarity: tuple[int, int]):
     return run
 
 
+def _compressed():
+    def compress(texts: pa.Array) -> pa.Array:
+        return pa.array([zlib.compress(text.as_py().encode("utf-8", "surrogatepass"), 1) for text in texts], pa.binary())
+
+    compress.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(compress, "binary")
+
+
 def _links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
-    """Links inside blocks; ``rows`` has hub, part, other, node, component, and the hub comes first."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    """Links inside blocks; ``rows`` has hub, part, other, node, component, and the hub comes first.
+
+    Texts are compressed before they are dealt out, by id and then by block.
+    """
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), _compressed()(F.col("text").cast("string")).alias("text"))
     asked = rows.join(nodes.select("node", "doc_id"), "node")
-    joined = asked.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).where(F.col("text").isNotNull())
+    joined = asked.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")))
     dealt = joined.withColumn("_later", F.col("node") != F.col("hub")).repartition("hub", "part", "other")
     ordered = dealt.sortWithinPartitions("hub", "part", "other", "_later", "node").select("hub", "part", "other", "node", "component", "text")
     return ordered.mapInArrow(_link_blocks(n, similarity), "a long, b long")
