@@ -195,6 +195,52 @@ def test_threshold_keeps_the_recall(spark):
     assert (scores >= net.threshold)[[row[3] for row in held]].mean() >= 0.95
 
 
+def test_all_findings_are_labelled(docs):
+    """More values than one group of training findings holds, in many texts, with copies."""
+    words = [f"{a}{b}{c}ordinary" for a in "abcdefghijklmnopq" for b in "rstuvwxyzabcdefghijk" for c in "lmnopqrstuvw"]
+    keys = [f"password={i:08d}" for i in range(3100)]
+    texts = [" ".join(words[i : i + 100]) + "\n" + " ; ".join(keys[i : i + 100]) for i in range(0, len(words), 100)]
+    rows = secret_scan.labelled_findings(docs(list(enumerate(texts + texts[:5] + [None])))).collect()
+    assert sorted(r.value for r in rows if r.secret) == keys
+    plain = sorted(r.value for r in rows if not r.secret)
+    assert len({*plain}) == len(plain) > 3900 and {*plain} <= {*words}
+
+
+def test_every_finding_trains_and_calibrates(spark, monkeypatch):
+    """Small groups: all values are dealt, and the threshold is that of all held-out rows by brute force."""
+    monkeypatch.setattr(secret_scan, "GROUP", 100)
+    monkeypatch.setattr(secret_scan, "SHARED", 40)
+    found = sorted({*labelled(900, 1)})
+    frame = spark.createDataFrame(found, "before string, value string, after string, secret boolean")
+    counts = Counter(row[3] for row in found)
+    groups = [sorted(tuple(r) for r in row.rows) for row in secret_scan.dealt(frame, counts[False], counts[True]).collect()]
+    assert len(groups) > 2 and all(len({r[3] for r in rows}) == 2 for rows in groups)
+    assert {r for rows in groups for r in rows} == {*found}
+    many = counts.most_common(1)[0][0]
+    assert sum(r[3] == many for rows in groups for r in rows) == counts[many]
+    for rows in groups:
+        halves = [secret_scan.training_rows(rows, held=held) for held in (False, True)]
+        assert not {*halves[0]} & {*halves[1]}
+    net = secret_scan.train(frame)
+    held = [r for rows in groups for r in secret_scan.training_rows(rows, held=True)]
+    logit, labels = net.logits([r[:3] for r in held]), np.array([float(r[3]) for r in held])
+    assert np.allclose((net.scale, net.shift), secret_scan.calibrated(logit, labels), rtol=1e-2)
+    odds = net.scale * logit + net.shift
+    reach = np.sort(odds[labels == 1])[int((1 - secret_scan.RECALL) * labels.sum())]
+    if not (odds[labels == 0] >= reach).any():
+        reach = (reach + odds[(labels == 0) & (odds < reach)].max()) / 2
+    assert abs(net.threshold - 1 / (1 + np.exp(-reach))) < 1e-9
+    assert net.precision == labels[odds >= reach].mean()
+
+
+def test_the_value_at_a_place(spark):
+    rng = random.Random(9)
+    values = [rng.choice([rng.gauss(0, 1), 0.5, rng.random() * 1e-9, 1e6]) for _ in range(3000)]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    for place in (0, 60, 1500, 2999):
+        assert secret_scan.at_place(frame, "v", place) == sorted(values)[place]
+
+
 def test_every_run_is_a_candidate():
     middle = "deadbeef" * 4
     text = f"short aBcdefgh 12345678 lettersonly XY-{middle}_Tail99 end password=abcdefgh12,x"
