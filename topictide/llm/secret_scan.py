@@ -49,6 +49,8 @@ RECALL = 0.98
 DECAY = 2e-4
 #: Epochs, rate, findings of the more frequent label in a step: for the first group alone, then for all groups from there.
 FIRST, THEN = (8, 0.01, 48), (1, 0.004, 192)
+#: All groups train so often by turns that together they are as many as this, but once at least.
+ROUNDS = 16
 #: Steps after which no further epoch begins.
 STEPS = 4000
 SEED = 7
@@ -640,8 +642,8 @@ def train(findings: DataFrame) -> Network:
     if not (counts.get(True) and counts.get(False)):
         return net
     groups = dealt(findings, counts[False], counts[True])
-    trained = averaged(net, groups.where("group = 0"), *FIRST)
-    if max(counts.values()) > GROUP:
+    trained, n = averaged(net, groups.where("group = 0"), *FIRST), -(-max(counts.values()) // GROUP)
+    for _ in range(-(-ROUNDS // n) if n > 1 else 0):
         trained = averaged(trained, groups, *THEN)
     held = saved(held_logits(trained, groups))
     if trained is net or len(held.select("secret").distinct().take(2)) < 2:
