@@ -41,7 +41,7 @@ KEY_VALUE = re.compile(r"[:=]|(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9+]{1
 BEFORE, VALUE, AFTER = 24, 64, 12
 LENGTH = BEFORE + VALUE + AFTER
 #: Values that train one copy of the network; of the rarer label a group shares some with other groups.
-GROUP, SHARED = 8192, 256
+GROUP, SHARED = 8192, 128
 #: Values that a task holds before it passes them on.
 HELD = 200_000
 RECALL = 0.98
@@ -382,7 +382,7 @@ def descend(net: Network, codes: np.ndarray, inside: np.ndarray, labels: np.ndar
     """Adam. An epoch takes every finding of the more frequent label once, those of the other at least once; both weigh the same."""
     few, many = sorted((np.flatnonzero(labels == 0), np.flatnonzero(labels == 1)), key=len)
     steps = max(1, -(-len(many) // most))
-    beside = max(most // 4, -(-len(few) // steps))
+    beside = max(most // 6, 16, -(-len(few) // steps))
     first, second, step, used = [0.0] * 4, [0.0] * 4, 0, sizes(codes)
     for _ in range(min(epochs, -(-STEPS // steps))):
         others = np.concatenate([rng.permutation(few) for _ in range(-(-steps * beside // len(few)))])
@@ -536,11 +536,20 @@ def ordinary(value: str, other: str) -> str:
     """A number, a date, an address, or words joined as in file names and links, for an ordinary run."""
     mark = _rank(f"ordinary:{value}")
     digits = f"{_rank(f'digits:{value}') % 10**19:019d}"
-    forms = [
-        digits[: 8 + mark // 64 % 12], f"{digits[:4]}-{digits[4:6]}-{digits[6:8]}", ".".join(str(mark >> at & 255) for at in (8, 16, 24, 32)),
-        f"{value}.{digits[: 1 + mark // 64 % 2]}", f"{value}{'/-_.'[mark // 64 % 4]}{other}", f"{digits[:3]}-{digits[3:7]}", value.upper(),
-    ]
-    return forms[mark % len(forms)]
+    match mark % 7:
+        case 0:
+            return digits[: 8 + mark // 64 % 12]
+        case 1:
+            return f"{digits[:4]}-{digits[4:6]}-{digits[6:8]}"
+        case 2:
+            return ".".join(str(mark >> at & 255) for at in (8, 16, 24, 32))
+        case 3:
+            return f"{value}.{digits[: 1 + mark // 64 % 2]}"
+        case 4:
+            return f"{value}{'/-_.'[mark // 64 % 4]}{other}"
+        case 5:
+            return f"{digits[:3]}-{digits[3:7]}"
+    return value.upper()
 
 
 def training_rows(rows: list[tuple[str, str, str, bool]], kinds: tuple[str, ...] = tuple(ALPHABETS), held: bool | None = None) -> list[tuple[str, str, str, bool]]:
